@@ -56,3 +56,27 @@ def running_count(df: DataFrame, keys: list[str], order_col: str, flag: Column,
         .withColumn(name, F.col("_within") + F.coalesce("_carry", F.lit(0)))
         .drop("_chunk", "_one", "_within", "_carry")
     )
+
+
+def neighbour(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column, name: str, step: int = 1
+) -> DataFrame:
+    """Value of the next (``step=1``) or previous (``step=-1``) row of the group.
+
+    ``chunk`` must grow with ``order`` (a day, a block of numbers). Rows are windowed per
+    (group, chunk), so a hot group spreads over its chunks; the value at a chunk's edge comes
+    from a summary with one row per chunk.
+    """
+    df = df.withColumn("_chunk", chunk).withColumn("_value", F.struct(value.alias("v")))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    shift = F.lead if step > 0 else F.lag
+    edge = F.min_by if step > 0 else F.max_by
+    summary = df.groupBy(*keys, "_chunk").agg(edge("_value", F.struct(*order)).alias("_edge"))
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    carry = summary.select(*keys, "_chunk", shift("_edge").over(across).alias("_carry")).filter("_carry IS NOT NULL")
+    return (
+        df.withColumn("_inside", shift("_value").over(inside))
+        .join(carry, [*keys, "_chunk"], "left")
+        .withColumn(name, F.coalesce("_inside", "_carry")["v"])
+        .drop("_chunk", "_value", "_inside", "_carry")
+    )

@@ -165,6 +165,17 @@ SELECT table_id, schema_name AS parent_schema, table_name AS parent_table, schem
   left(concat(table_name, '_h'), 63) AS history_table
 FROM inv_tables WHERE kind IN ('PROMO', 'LARGE', 'SMALL')
 """
+VIEWS["inv_history_columns"] = """
+SELECT c.schema_name, m.history_table, c.column_name,
+  CASE WHEN c.ordinal_position = 4 AND t.size_class < 10 THEN 'bigint' ELSE c.data_type END AS data_type
+FROM inv_columns c JOIN inv_tables t ON t.table_id = c.table_id JOIN history_metadata m ON m.table_id = c.table_id
+WHERE NOT (c.column_name = 'kol_2' AND t.kind = 'PROMO')
+UNION ALL
+SELECT history_schema, history_table, 'h_typ', 'character' FROM history_metadata
+UNION ALL
+SELECT m.history_schema, m.history_table, 'borttagen', 'text'
+FROM history_metadata m JOIN inv_tables t ON t.table_id = m.table_id WHERE t.kind = 'LARGE'
+"""
 VIEWS["placeholder_register"] = """
 SELECT schema_name, table_name, CAST(table_id AS BIGINT) AS gid FROM inv_tables WHERE kind = 'LARGE'
 UNION ALL
