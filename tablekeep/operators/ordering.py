@@ -39,22 +39,23 @@ def dense_ids(
     )
 
 
-def running_count(df: DataFrame, keys: list[str], order_col: str, flag: Column, name: str, chunk: int) -> DataFrame:
-    """Running count of ``flag`` per group in the order of an integer column.
+def running_count(df: DataFrame, keys: list[str], order_col: str, flag: Column, name: str, piece: str) -> DataFrame:
+    """Running count of ``flag`` per group in the order of ``order_col``.
 
-    A group is cut into chunks of ``order_col`` values, so a group holding most of the table is
-    still many tasks. Chunk totals, one row per chunk, carry the count over.
+    ``piece`` names a column that grows with the order and cuts every group into bounded pieces,
+    so a group holding most of the table is still many tasks. Piece totals, one row per piece,
+    carry the count over.
     """
-    df = df.withColumn("_chunk", F.floor(F.col(order_col) / chunk)).withColumn("_one", flag.cast("int"))
-    within = Window.partitionBy(*keys, "_chunk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    totals = df.groupBy(*keys, "_chunk").agg(F.sum("_one").alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_chunk", F.sum("_total").over(earlier).alias("_carry"))
+    df = df.withColumn("_one", flag.cast("int"))
+    within = Window.partitionBy(*keys, piece).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    totals = df.groupBy(*keys, piece).agg(F.sum("_one").alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, piece, F.sum("_total").over(earlier).alias("_carry"))
     return (
         df.withColumn("_within", F.sum("_one").over(within))
-        .join(carry.filter("_carry IS NOT NULL"), [*keys, "_chunk"], "left")
+        .join(carry.filter("_carry IS NOT NULL"), [*keys, piece], "left")
         .withColumn(name, F.col("_within") + F.coalesce("_carry", F.lit(0)))
-        .drop("_chunk", "_one", "_within", "_carry")
+        .drop("_one", "_within", "_carry")
     )
 
 

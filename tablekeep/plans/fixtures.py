@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablekeep.session import materialize
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -452,10 +454,17 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")
 
+    def stored(self, name: str) -> DataFrame:
+        """The view written out once, like the stored table it stands for."""
+        if name not in self._stored:
+            self._stored[name] = materialize(self[name], name)
+        return self._stored[name]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
