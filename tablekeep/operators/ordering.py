@@ -81,3 +81,26 @@ def neighbour(
         .withColumn(name, F.coalesce("_inside", "_carry")["v"])
         .drop("_chunk", "_value", "_inside", "_carry")
     )
+
+
+def last_before(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column, name: str
+) -> DataFrame:
+    """Last non-NULL ``value`` among the earlier rows of the group.
+
+    Same cut as ``neighbour``: windows stay inside (group, chunk) and a summary with one row per
+    chunk carries the value over.
+    """
+    df = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summary = df.groupBy(*keys, "_chunk").agg(
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_end")
+    )
+    across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, "_chunk", F.last("_end", ignorenulls=True).over(across).alias("_carry"))
+    return (
+        df.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
+        .join(carry.filter("_carry IS NOT NULL"), [*keys, "_chunk"], "left")
+        .withColumn(name, F.coalesce("_inside", "_carry"))
+        .drop("_chunk", "_value", "_inside", "_carry")
+    )

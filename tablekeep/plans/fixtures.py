@@ -385,7 +385,7 @@ VIEWS["alerts"] = """
 SELECT event_id AS seq, ts, concat(event_type, '_', CAST(user_id % 3 AS STRING)) AS subject FROM events
 """
 VIEWS["call_outcomes"] = """
-SELECT user_id AS call_id, event_id AS seq, ts,
+SELECT CAST(floor(event_id / 5) AS BIGINT) AS call_id, event_id AS seq, ts,
   CASE event_type WHEN 'click' THEN 'timeout' WHEN 'view' THEN 'connection_error' ELSE 'response' END AS outcome,
   CASE event_type WHEN 'purchase' THEN 200 WHEN 'signup' THEN 404 WHEN 'error' THEN 503 END AS status_code,
   CASE WHEN event_id % 2 = 0 THEN 'schema_create' ELSE 'schema_drop' END AS channel
