@@ -1,0 +1,64 @@
+"""Writers for history and registers."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablekeep.operators.registers import merge_register
+
+
+def write_history(history: DataFrame, path: str, key: list[str], batch_id: int | None = None, salt: int = 16) -> None:
+    """Append history laid out for "one row's changes, newest first".
+
+    Folders by day prune by time; files sorted by key and descending time prune by key through
+    their min/max statistics. A day is spread over up to ``salt`` files by key hash, so a busy day
+    is not one task. With ``batch_id`` the write replaces exactly that batch's folder, which makes a
+    repeated streaming batch harmless.
+    """
+    dated = history.withColumn("h_date", F.to_date("h_ts"))
+    laid_out = dated.repartition(F.col("h_date"), F.pmod(F.xxhash64(*key, "h_ts"), F.lit(salt))).sortWithinPartitions(
+        "h_date", *key, F.col("h_ts").desc()
+    )
+    if batch_id is None:
+        laid_out.write.mode("append").partitionBy("h_date").parquet(path)
+    else:
+        laid_out.write.mode("overwrite").partitionBy("h_date").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_register(incoming: DataFrame, path: str, key: list[str], update: bool = True) -> str:
+    """New version of a register next to the old ones; readers take the highest.
+
+    Parquet has no MERGE: the merged rows go to ``path/version=N+1``, written completely before a
+    reader can see it, so a failed attempt leaves the previous version in force.
+    """
+    spark = incoming.sparkSession
+    version = latest_version(spark, path)
+    merged = incoming if version is None else merge_register(read_register(spark, path), incoming.select(*read_register(spark, path).columns), key, update)
+    target = f"{path}/version={0 if version is None else version + 1}"
+    merged.write.mode("overwrite").parquet(target)
+    return target
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    try:
+        files = spark.read.parquet(path).inputFiles()
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return max(int(v) for f in files for v in re.findall(r"/version=(\d+)/", f))
+
+
+def read_register(spark: SparkSession, path: str) -> DataFrame:
+    version = latest_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no register at {path}")
+    return spark.read.parquet(f"{path}/version={version}")
