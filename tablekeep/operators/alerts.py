@@ -52,7 +52,7 @@ def replay(t: np.ndarray, due: int, cooldown: int) -> list[int]:
     return sent
 
 
-def suppress_alerts(alerts: DataFrame, cooldown_seconds: int = 300, period_seconds: int = 6 * 3600) -> DataFrame:
+def suppress_alerts(alerts: DataFrame, cooldown_seconds: int = 300, period_seconds: int = 24 * 3600) -> DataFrame:
     """T3 in batch over ``alerts(seq, ts, subject)``: the alerts that go out."""
     cooldown, period = cooldown_seconds * MICROS, period_seconds * MICROS
     if period < cooldown:
