@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekeep.functions import naming
+from tablekeep.functions.compute import computed
 
 CHUNK = 4096
-# Fixed value: shape of a (possibly SRID-prefixed) text: type word, dimension mark, body.
-TEXT = r"(?is)^\s*(?:SRID=(\d+);)?\s*([A-Z]+?)\s*(ZM|Z|M)?\s*(\(.*\)|EMPTY)\s*$"
+# Fixed value: how a (possibly SRID-prefixed) text begins: type word, dimension mark, body.
+HEAD = r"(?i)^\s*(?:SRID=(\d+);)?\s*([A-Z]+?)\s*(ZM|Z|M)?\s*(?=\(|EMPTY\s*$)"
 FLAT_TYPES = naming.POINT_TYPES + naming.LINE_TYPES + naming.POLYGON_TYPES
 KNOWN_TYPES = FLAT_TYPES + naming.ARC_TYPES + ("GEOMETRYCOLLECTION",)
 
 
 def _marked_body() -> Column:
     """Coordinates as text with ``|`` between parts, ``;`` between rings, ``,`` between points."""
-    body, kind = F.col("_body"), F.col("geom_type")
+    body, kind = F.col("_body"), F.col("_kind")
     ring_gap = r"\)\s*,\s*\("
     polygons = F.regexp_replace(F.regexp_replace(body, r"\)\s*\)\s*,\s*\(\s*\(", "|"), ring_gap, ";")
     nested = F.array_join(F.regexp_extract_all(body, F.lit(r"\(([^()]*)\)"), F.lit(1)), "|")
@@ -31,80 +32,86 @@ def _marked_body() -> Column:
     return F.trim(F.regexp_replace(marked, r"[()]", " "))
 
 
-def _point(text: Column, part: Column, ring: Column, idx: Column) -> Column:
-    numbers = F.split(F.trim(text), r"\s+")
-
-    def number(i: int) -> Column:
-        return F.try_element_at(numbers, F.lit(i)).try_cast("double")
-
-    third_is_m = F.col("_mark") == "M"
-    return F.struct(
-        (part + 1).alias("part"),
-        (ring + 1).alias("ring"),
-        (idx + 1).alias("idx"),
-        number(1).alias("x"),
-        number(2).alias("y"),
-        F.when(~third_is_m, number(3)).alias("z"),
-        F.when(third_is_m, number(3)).otherwise(number(4)).alias("m"),
-        F.size(numbers).alias("_size"),
-    )
+# Fixed value: a decimal number.
+NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
 def parse_wkt(df: DataFrame, id_col: str, geom_col: str) -> DataFrame:
-    """One row per geometry with its type, SRID, dimension and array of points.
+    """One row per geometry: type, SRID, dimension, marked coordinate text, ``parse_error``.
 
-    A text that is not well-known text, or holds something that is no number, gets a
-    ``parse_error`` and no points. NULL stays NULL and is no error.
+    A text that is not well-known text, or holds something that is no number, gets an error and no
+    coordinates. NULL stays NULL and is no error.
     """
     text = F.col(geom_col)
-    head = df.select(
-        F.col(id_col).alias("feature_id"),
-        text.alias("_text"),
-        F.upper(F.regexp_extract(text, TEXT, 2)).alias("geom_type"),
-        F.regexp_extract(text, TEXT, 1).try_cast("int").alias("srid"),
-        F.upper(F.regexp_extract(text, TEXT, 3)).alias("_mark"),
-        F.regexp_extract(text, TEXT, 4).alias("_body"),
+    opened = F.instr("_text", "(")
+    head = computed(
+        df.select(F.col(id_col).alias("feature_id"), text.alias("_text")),
+        {
+            "_srid": F.regexp_extract("_text", HEAD, 1),
+            "_kind": F.upper(F.regexp_extract("_text", HEAD, 2)),
+            "_mark": F.upper(F.regexp_extract("_text", HEAD, 3)),
+            "_body": F.when(opened > 0, F.rtrim(F.substr("_text", opened))),
+        },
     )
-    known = F.col("geom_type").isin(*KNOWN_TYPES)
-    filled = known & (F.upper("_body") != "EMPTY")
-    parts = F.split(_marked_body(), r"\|")
-    points = F.flatten(
-        F.transform(
-            parts,
-            lambda part, p: F.flatten(
-                F.transform(
-                    F.split(part, ";"),
-                    lambda ring, r: F.transform(F.split(ring, ","), lambda point, i: _point(point, p, r, i)),
-                )
-            ),
-        )
+    known = F.col("_kind").isin(*KNOWN_TYPES) & (F.col("_body").isNull() | F.col("_body").endswith(")"))
+    marked = computed(head, {"_known": F.coalesce(known, F.lit(False)), "_marked": F.when(known, _marked_body())})
+    # Every number becomes "n"; what is left must be separators and 2 to 4 numbers per point.
+    shape = F.regexp_replace(F.regexp_replace("_marked", NUMBER, "n"), r"\s+", " ")
+    shaped = computed(marked, {"_shape": shape})
+    bad = (
+        F.col("_shape").rlike(r"[^n |;,]")
+        | F.col("_shape").contains("nn")
+        | F.col("_shape").rlike(r"(?:^|[|;,]) ?n? ?(?:[|;,]|$)")
+        | F.col("_shape").contains("n n n n n")
     )
-    parsed = head.withColumn("points", F.when(filled, points))
-    bad = F.exists("points", lambda p: p["x"].isNull() | p["y"].isNull() | (p["_size"] > 4))
-    error = F.when(F.col("_text").isNull(), None).when(~known, "not_wkt").when(F.coalesce(bad, F.lit(False)), "bad_coordinate")
-    judged = parsed.withColumn("parse_error", error)
-    sound = F.col("parse_error").isNull() & F.col("_text").isNotNull()
-    dim = F.coalesce(F.col("points")[0]["_size"], F.length("_mark") + 2)
+    known, null = F.col("_known"), F.col("_text").isNull()
+    error = F.when(null, None).when(~known, "not_wkt").when(F.coalesce(bad, F.lit(False)), "bad_coordinate")
+    judged = computed(shaped, {"parse_error": error})
+    sound = F.col("parse_error").isNull() & ~null
+    first = F.regexp_extract("_shape", r"^ ?([n ]+)", 1)
+    dim = F.when(F.col("_marked").isNull(), F.length("_mark") + 2).otherwise(F.length(F.replace(first, F.lit(" "), F.lit(""))))
     return judged.select(
         "feature_id",
-        F.when(sound, F.col("geom_type")).alias("geom_type"),
-        F.when(sound, F.coalesce("srid", F.lit(0))).alias("srid"),
+        F.when(sound, F.col("_kind")).alias("geom_type"),
+        F.when(sound, F.coalesce(F.col("_srid").try_cast("int"), F.lit(0))).alias("srid"),
         F.when(sound, dim).alias("coord_dim"),
-        F.when(sound, F.coalesce("points", F.expr("array()").cast(judged.schema["points"].dataType))).alias("points"),
+        "_mark",
+        F.when(sound, F.col("_marked")).alias("marked"),
+        sound.alias("_sound"),
         "parse_error",
     )
 
 
 def explode_wkt(df: DataFrame, id_col: str, geom_col: str) -> tuple[DataFrame, DataFrame]:
-    """G1: (features, vertices). Parsing is a projection: no shuffle, no Python."""
+    """G1: (features, vertices). Parsing is a chain of projections and explodes: no shuffle, no
+    Python, and no array of a whole geometry's points is ever built."""
     parsed = parse_wkt(df, id_col, geom_col)
+    n_points = F.when(F.col("marked").isNotNull(), F.length(F.regexp_replace("marked", r"[^|;,]", "")) + 1).otherwise(0)
     features = parsed.select(
         "feature_id", "geom_type", "srid", "coord_dim",
-        F.when(F.col("points").isNotNull(), F.size("points")).alias("n_points"),
-        (F.size("points") == 0).alias("is_empty"),
+        F.when(F.col("_sound"), n_points).alias("n_points"),
+        F.when(F.col("_sound"), F.col("marked").isNull()).alias("is_empty"),
         "parse_error",
     )
-    vertices = parsed.select("feature_id", F.inline("points")).drop("_size")
+    parts = parsed.filter("marked IS NOT NULL").select("feature_id", "_mark", F.posexplode(F.split("marked", r"\|")).alias("part", "_part"))
+    rings = parts.select("feature_id", "_mark", "part", F.posexplode(F.split("_part", ";")).alias("ring", "_ring"))
+    points = rings.select("feature_id", "_mark", "part", "ring", F.posexplode(F.split("_ring", ",")).alias("idx", "_point"))
+    numbers = points.select("feature_id", "_mark", "part", "ring", "idx", F.split(F.trim("_point"), r"\s+").alias("_n"))
+
+    def number(i: int) -> Column:
+        return F.get("_n", i).cast("double")
+
+    third_is_m = F.col("_mark") == "M"
+    vertices = numbers.select(
+        "feature_id",
+        (F.col("part") + 1).alias("part"),
+        (F.col("ring") + 1).alias("ring"),
+        (F.col("idx") + 1).alias("idx"),
+        number(0).alias("x"),
+        number(1).alias("y"),
+        F.when(~third_is_m, number(2)).alias("z"),
+        F.when(third_is_m, number(2)).otherwise(number(3)).alias("m"),
+    )
     return features, vertices
 
 
