@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,15 +18,18 @@ def dense_ids(
 ) -> DataFrame:
     """Consecutive ids in global order.
 
-    One range shuffle spreads the rows evenly whatever the key distribution; each row gets its
-    place inside its range partition; the result is written once to the shared folder so the
-    places are fixed; per-partition row counts (one row per partition) give the offsets.
+    One range shuffle spreads the rows evenly whatever the key distribution (equal keys are told
+    apart by a row hash, identical rows by where they were read, so even a value or row that fills
+    a third of the table is cut); each row gets its place inside its range partition; the result is
+    written once to the shared folder so the places are fixed; per-partition row counts (one row
+    per partition) give the offsets.
     """
-    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    placed = materialize(
-        ranged.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "dense-ids"
-    )
+    hashable = [f.name for f in df.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    tied = df.withColumns({"_hash": F.xxhash64(*hashable), "_read": F.monotonically_increasing_id()})
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by] + [F.col("_hash"), F.col("_read")]
+    ranged = tied.repartitionByRange(partitions, *order) if partitions else tied.repartitionByRange(*order)
+    sorted_rows = ranged.sortWithinPartitions(*order).drop("_hash", "_read")
+    placed = materialize(sorted_rows.withColumn("_place", F.monotonically_increasing_id()), "dense-ids")
     piece = F.shiftright("_place", _ROW_BITS)
     counts = placed.groupBy(piece.alias("_piece")).agg(F.count("*").alias("_n"))
     # One row per range partition, so a single-task running sum over it is bounded.

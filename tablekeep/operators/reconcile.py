@@ -30,11 +30,12 @@ def reconcile(schemas: DataFrame, workspaces: DataFrame, cfg: Config, known_else
     forward = both.select("schema_name", F.when(F.col("_t").isNull(), "create").otherwise("refresh").alias("action"))
     level = F.substring_index("schema_name", "_", 1).alias("_level")
     extra = theirs.join(known, "schema_name", "left_anti").filter(F.col("schema_name").rlike(cfg.schema_pattern()))
-    levels = ours.select(level).distinct()
+    # Names that publish start with a level of the standard, so there are at most MAX_ROWS levels.
+    levels = F.broadcast(ours.select(level).distinct())
     judged = extra.select("schema_name", level).join(levels, "_level", "left_semi").select("schema_name")
     if known_elsewhere is None:
         # One row at most: does this database publish anything at all?
-        nothing = ours.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(True).alias("_all"))
+        nothing = F.broadcast(ours.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(True).alias("_all")))
         judged = judged.unionByName(extra.withColumn("_all", F.lit(True)).join(nothing, "_all", "left_semi").select("schema_name"))
     return forward.unionByName(judged.select("schema_name", F.lit("orphan").alias("action")))
 

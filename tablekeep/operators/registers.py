@@ -204,11 +204,17 @@ def placeholder_geometry(inv_geometry: DataFrame) -> DataFrame:
 
 
 def tables_with_real_rows(rows: DataFrame, register: DataFrame) -> DataFrame:
-    """Registered tables that hold at least one row the register does not list."""
-    listed = register.select(*KEY).distinct()
-    ids = register.select(*KEY, "gid")
-    real = rows.select(*KEY, "gid").join(listed, KEY, "left_semi").join(ids, [*KEY, "gid"], "left_anti")
-    return real.select(*KEY).distinct()
+    """Registered tables that hold more rows than the register lists of them. Rows are counted
+    per table before anything is joined, so one table with most of the rows is no hot key."""
+    listed = register.select(*KEY, "gid").distinct()
+    total = rows.groupBy(*KEY).agg(F.count("*").alias("_n"))
+    known = rows.select(*KEY, "gid").join(listed, [*KEY, "gid"], "left_semi").groupBy(*KEY).agg(F.count("*").alias("_k"))
+    return (
+        total.join(listed.select(*KEY).distinct(), KEY, "left_semi")
+        .join(known, KEY, "left")
+        .filter(F.col("_n") > F.coalesce("_k", F.lit(0)))
+        .select(*KEY)
+    )
 
 
 def drop_placeholders(rows: DataFrame, register: DataFrame, as_of: str, user: str) -> dict[str, DataFrame]:
