@@ -112,6 +112,29 @@ def test_grid_finds_every_conflict(spark, monkeypatch, block):
     assert got == {k: meets(p) for k, p in rings.items()}
 
 
+@pytest.mark.parametrize("few", [32, 2])
+def test_parts_inside_each_other(spark, monkeypatch, few):
+    """Many square parts on a board, some holding a smaller one, found directly and by grid."""
+    monkeypatch.setattr(geometry, "FEW_PARTS", few)
+    rings, nested = [], set()
+    for n in range(30):
+        x, y = 10 * (n % 6), 10 * (n // 6)
+        rings.append((2 * n + 1, 1, x, y, 8))
+        if n % 4 == 0:
+            rings.append((2 * n + 2, 1, x + 2, y + 2, 3))
+            nested.add(2 * n + 2)
+        elif n % 4 == 1:  # an island in a hole is fine
+            rings += [(2 * n + 1, 2, x + 1, y + 1, 6), (2 * n + 2, 1, x + 2, y + 2, 3)]
+    corners = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    rows = [(1, p, r, i + 1, float(x + dx * w), float(y + dy * w)) for p, r, x, y, w in rings for i, (dx, dy) in enumerate(corners)]
+    vertices = spark.createDataFrame(rows, "feature_id long, part int, ring int, idx int, x double, y double")
+    features = spark.createDataFrame([(1, "MULTIPOLYGON")], "feature_id long, geom_type string")
+    segments = geometry.polygon_segments(features, vertices)
+    assert geometry.segment_conflicts(segments).count() == 0
+    found = geometry.misplaced_vertices(segments).collect()
+    assert {(r.part, r.part2, r.reason_code) for r in found} == {(p, p - 1, "parts_overlap") for p in nested}
+
+
 def test_wkt_round_trip(spark):
     texts = {k: v[0] for k, v in CASES.items() if v[0] and " Z" not in v[0] and "CIRC" not in v[0]}
     df = spark.createDataFrame(list(texts.items()), "name string, geom string")
