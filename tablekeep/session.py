@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,9 @@ SETTINGS = {
 }
 
 
+_ROOTS: set[str] = set()  # scratch folders of this process that are marked for deletion
+
+
 def build_session(app: str = "tablekeep", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -28,18 +32,29 @@ def build_session(app: str = "tablekeep", master: str | None = None, **extra: st
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (unit tests, a laptop) a temporary folder is chosen,
-    and then kept in the session so that later calls agree on it.
+    Only in local mode (unit tests, a laptop), where driver and executor are one process, an unset
+    folder is replaced by a temporary one, kept in the session so that later calls agree on it. On
+    a cluster an unset folder is an error: executors would each write to their own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tablekeep-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tablekeep/{label}-{uuid.uuid4().hex}"
+    """New path under this application's scratch folder, which goes when the application ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/tablekeep/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _ROOTS.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
