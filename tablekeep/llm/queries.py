@@ -1,0 +1,106 @@
+"""One query per operator over its whole table, with SQL for DuckDB where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablekeep.llm import bpe, contamination, exact, lines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CHECKS: dict[str, str] = {}
+
+
+def query(name: str, check: str | None = None):
+    def register(fn):
+        QUERIES[name] = fn
+        if check:
+            CHECKS[name] = check
+        return fn
+
+    return register
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def digest(column) -> F.Column:
+    return F.sha2(F.coalesce(column, F.lit("")), 256)
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_bpe_tokens")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    path = vocabulary()
+    tokens = bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path)
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        digest(F.col("text")).alias("decoded_sha256"),
+    )
+
+
+@query(
+    "op8_benchmark_containment",
+    r"""
+WITH d AS (SELECT doc_id, regexp_split_to_array(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS w
+    FROM documents),
+  b AS (SELECT item_id, regexp_split_to_array(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS w
+    FROM benchmark),
+  bn AS (SELECT item_id, w, least(5, len(w)) AS k FROM b WHERE w <> ['']),
+  bs AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
+    FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM bn)),
+  ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
+    FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i
+      FROM d, (SELECT DISTINCT k FROM bn) WHERE w <> [''])),
+  n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+  p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM p JOIN n USING (item_id) WHERE 5 * n_shared >= 4 * n_shingles
+""",
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    "op9_exact_duplicates",
+    r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS s FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  row_number() OVER (PARTITION BY s ORDER BY doc_id) = 1 AS kept, sha256(s) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY s)
+""",
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query(
+    "op10_frequent_lines",
+    r"""
+WITH t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+  k AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM t),
+  f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+  m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+""",
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.drop_frequent_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", digest(F.col("text")).alias("kept_sha256"))
