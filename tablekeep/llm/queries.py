@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeep.llm import bpe, contamination, exact, lines
+from tablekeep.llm import bpe, contamination, exact, lines, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -37,6 +37,29 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query(
+    "op2_repeated_windows",
+    r"""
+WITH t AS (SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM documents),
+  d AS (SELECT doc_id, CASE WHEN s = '' THEN [] ELSE regexp_split_to_array(s, '[\x20\x09-\x0D]+') END AS w FROM t),
+  r AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+  g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS later FROM r),
+  c AS (SELECT doc_id, i, w[i] AS word, coalesce(max(later::INT) OVER
+      (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) LEFT JOIN g USING (doc_id, i)),
+  k AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed,
+    string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN k USING (doc_id)
+""",
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.drop_repeated_windows(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", digest(F.col("text")).alias("kept_sha256"))
+
+
 @query("op3_bpe_tokens")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     path = vocabulary()
