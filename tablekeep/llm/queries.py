@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeep.llm import bpe, contamination, exact, lines, substrings
+from tablekeep.llm import bpe, contamination, exact, lines, minhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -72,6 +72,26 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "op5_near_duplicates",
+    r"""
+WITH RECURSIVE t AS (SELECT doc_id, translate(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
+  d AS (SELECT doc_id, CASE WHEN s = '' THEN [] ELSE regexp_split_to_array(s, '[\x20\x09-\x0D]+') END AS w FROM t),
+  h AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM h a JOIN h b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+  l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+  c(v, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.v)
+SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, documents.doc_id = m.component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT v AS doc_id, min(r) AS component_id FROM c GROUP BY v) m USING (doc_id)
+""",
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), length=2).drop("fp")
+
+
 @query(
     "op8_benchmark_containment",
     r"""
