@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeep.llm import bpe, contamination, exact, lines, minhash, substrings
+from tablekeep.llm import bpe, contamination, exact, html, lines, minhash, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -72,6 +72,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_main_text")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query(
     "op5_near_duplicates",
     r"""
@@ -92,6 +97,20 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), length=2).drop("fp")
 
 
+@query("op6_secret_spans")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 @query(
     "op8_benchmark_containment",
     r"""
