@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeep.llm.words import slices, take
+from tablekeep.llm.words import slices
 from tablekeep.session import materialize
 
 WHITE = b" \t\n\v\f\r"
@@ -56,21 +56,20 @@ def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "fp", "h1", "h2"])
 
 
+def kept_lines(text: str | None, gone: list[dict] | None) -> tuple[bytes, int, int]:
+    """(text without the lines whose hash is in ``gone``, lines, dropped lines)."""
+    lines = (text or "").encode().split(b"\n")
+    drop = {(g["h1"], g["h2"]) for g in gone or ()}
+    kept = [x for x in lines if line_hash(x) not in drop] if drop else lines
+    return b"\n".join(kept), len(lines), len(lines) - len(kept)
+
+
 def _dropper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            out: list[list] = [[], [], [], []]
-            for doc, text, gone in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "gone"))):
-                lines = (text or "").encode().split(b"\n")
-                if gone:
-                    drop = {(g["h1"], g["h2"]) for g in gone}
-                    kept = [x for x in lines if line_hash(x) not in drop]
-                else:
-                    kept = lines
-                for column, value in zip(out, (doc, b"\n".join(kept).decode(), len(lines), len(lines) - len(kept))):
-                    column.append(value)
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "text", "n_lines", "n_dropped"])
+            kept = [kept_lines(t, g) for t, g in zip(part.column("text").to_pylist(), part.column("gone").to_pylist())]
+            columns = [pa.array([k[0].decode() for k in kept], pa.string()), *(pa.array([k[i] for k in kept], pa.int64()) for i in (1, 2))]
+            yield pa.RecordBatch.from_arrays([part.column("row"), *columns], names=["row", "text", "n_lines", "n_dropped"])
 
 
 class LineRuns:
@@ -133,6 +132,22 @@ def frequent_lines(docs: DataFrame, min_docs: int, batches: int, fanout: int = 2
     return runs.finish()
 
 
+def _without(docs: DataFrame, row: Column, id_col: str, text_col: str, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """(row, text that stays, n_lines, n_dropped) for every row of ``docs``."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    keyed = plain.select(row.alias("row"), doc_id.cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("fp"))
+    known = frequent_lines(keyed.select("doc_id", "text"), min_docs, batches, fanout)
+    keys = keyed.select("doc_id", "fp", "text").mapInArrow(_line_keys, "doc_id long, fp long, h1 long, h2 long")
+    hits = materialize(keys.join(known, ["h1", "h2"], "left_semi"), "line-hits")
+    gone = hits.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    same = keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["fp"] == gone["fp"])
+    joined = keyed.join(gone.hint("shuffle_hash"), same, "left").select("row", "text", "gone")
+    schema = joined.select("row", "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
+    return joined.mapInArrow(_dropper, schema)
+
+
 def drop_frequent_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, batches: int = 4, fanout: int = 2
 ) -> DataFrame:
@@ -145,12 +160,15 @@ def drop_frequent_lines(
     table gives none. ``batches`` says how many batches arrive one after another; the result is the
     same for any number.
     """
-    docs = take(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    known = frequent_lines(docs, min_docs, batches, fanout)
-    keyed = docs.withColumn("fp", F.xxhash64("text"))
-    keys = keyed.mapInArrow(_line_keys, "doc_id long, fp long, h1 long, h2 long")
-    hits = materialize(keys.join(known, ["h1", "h2"], "left_semi"), "line-hits")
-    gone = hits.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    same = keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["fp"] == gone["fp"])
-    joined = keyed.join(gone.hint("shuffle_hash"), same, "left").select(keyed["doc_id"], "text", "gone")
-    return joined.mapInArrow(_dropper, "doc_id long, text string, n_lines long, n_dropped long")
+    row = F.col(f"c{docs.columns.index(id_col)}").cast("bigint")
+    return _without(docs, row, id_col, text_col, min_docs, batches, fanout).withColumnRenamed("row", "doc_id")
+
+
+def clean_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, batches: int = 4, fanout: int = 2
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, and the text without frequent lines; see ``drop_frequent_lines``."""
+    at, names = docs.columns.index(text_col), docs.columns
+    row = F.struct(*[F.col(f"c{i}") for i in range(len(names)) if i != at] or [F.lit(0).alias("c")])
+    kept = _without(docs, row, id_col, text_col, min_docs, batches, fanout)
+    return kept.select(*[(F.col("text") if i == at else F.col(f"row.c{i}")).alias(n) for i, n in enumerate(names)])

@@ -189,9 +189,9 @@ def near_duplicates(
     holds its distinct shingles of ``length`` words; with fewer words, all of them as one; without
     words (or null) it is empty and linked with nothing. Texts are linked where the shared shingles
     are at least ``threshold`` of the union. component_id is the smallest id reachable by links (null
-    only where no row of the component has an id); an empty set's is its own id. kept says that the
-    row has that id, so repeated rows of the kept document are all marked. Ids are bigint. Other
-    columns are ignored; an empty table gives none.
+    only where no row of the component has an id); an empty set's is its own id. kept marks the
+    document with that id (of several texts under it, the one of smallest fp; repeated rows of it
+    are all marked). Ids are bigint. Other columns are ignored; an empty table gives none.
     """
     docs = take(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     keyed = docs.withColumn("fp", F.xxhash64("text"))
@@ -230,12 +230,29 @@ def near_duplicates(
         search.round(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
         part *= 8
 
-    lowest = F.min("first.doc_id").alias("component_id")
     rooted = materialize(search.rooted(classes.select("node", "n", "f1", "f2", "first"), "node", "root"), "rooted")
-    named = materialize(rooted.groupBy("root").agg(lowest), "component-ids")
-    of_class = materialize(rooted.join(named, "root").select("n", "f1", "f2", "component_id"), "class-components")
+    named = materialize(rooted.groupBy("root").agg(F.min("first").alias("lowest")), "component-ids")
+    of_class = materialize(rooted.join(named, "root").select("n", "f1", "f2", "lowest"), "class-components")
     out = signed.select("doc_id", "fp", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    return out.select("doc_id", "fp", F.col("n").alias("n_shingles"), component).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    empty = F.col("n") == 0
+    is_lowest = F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & (F.col("fp") == F.col("lowest.fp"))
+    return out.select(
+        "doc_id",
+        "fp",
+        F.col("n").alias("n_shingles"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("lowest.doc_id")).alias("component_id"),
+        (empty | is_lowest).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps; repeated rows once."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    keyed = plain.withColumns({"id": doc_id.cast("bigint"), "fp": F.xxhash64(text)})
+    kept = near_duplicates(docs, id_col, text_col, length, threshold).filter("kept").select("doc_id", "fp").distinct()
+    kept = materialize(kept.toDF("kept_id", "kept_fp"), "kept")
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp"))
+    rows = keyed.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["id", "fp"])
+    return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
