@@ -1,8 +1,7 @@
 """The governance standard: levels, categories, standard columns and role templates.
 
-The standard is a handful of rows that people edit by hand, so it lives on the driver as plain
-tuples and is turned into literals and column expressions. ``MAX_ROWS`` is the checked bound that
-makes this (and every use of the standard inside a plan) safe at any data size.
+The standard is what people edit by hand, like code: it lives on the driver as plain tuples and is
+turned into literals and column expressions. Its size does not depend on the data it governs.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-MAX_ROWS = 1000
-
 
 class Level(NamedTuple):
     prefix: str
@@ -142,17 +139,14 @@ class Config:
         return [column.name for column in self.columns]
 
 
-def _bounded_rows(df: DataFrame, kind):
-    rows = df.limit(MAX_ROWS + 1).collect()
-    if len(rows) > MAX_ROWS:
-        raise ValueError(f"a standard may hold at most {MAX_ROWS} rows, got more")
-    return tuple(kind(**{name: row[name] for name in kind._fields}) for row in rows)
+def _rows(df: DataFrame, kind):
+    return tuple(kind(**{name: row[name] for name in kind._fields}) for row in df.toLocalIterator())
 
 
 def config_from_frames(frames: dict[str, DataFrame], base: Config = Config()) -> Config:
-    """Read edited standards back; the row count is checked against ``MAX_ROWS``."""
+    """Read edited standards back, all rows."""
     kinds = {"levels": Level, "categories": Category, "columns": StandardColumn, "roles": RoleTemplate}
-    return base.with_(**{k: _bounded_rows(frames[k], kind) for k, kind in kinds.items() if k in frames})
+    return base.with_(**{k: _rows(frames[k], kind) for k, kind in kinds.items() if k in frames})
 
 
 def load_config(spark: SparkSession, path: str | None = None) -> Config:

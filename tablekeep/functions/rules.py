@@ -42,6 +42,11 @@ def rule_problem(rule: str | None) -> str | None:
     return None
 
 
+def is_literal(text: str) -> bool:
+    """One string, number, boolean or NULL; defaults become code, so names and calls are refused."""
+    return bool(re.fullmatch(r"'(?:[^'\\]|'')*'|[+-]?\d+(\.\d+)?|(?i:true|false|null)", text.strip()))
+
+
 def escape_underscores(rule: str) -> str:
     """``strict`` form of a LIKE rule: ``_`` stands for itself instead of any one character."""
     return _LITERAL.sub(lambda m: m.group(0).replace("_", "\\\\_"), rule)

@@ -139,17 +139,18 @@ def roles_to_remove(dropped_schemas: DataFrame, inv_roles: DataFrame, cfg: Confi
     return candidates.join(inv_roles.select("role_name").distinct(), "role_name", "left_semi").select("schema_name", "role_name")
 
 
-def effective_roles(members: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Every role a member reaches, directly or through other groups.
+def effective_roles(members: DataFrame) -> DataFrame:
+    """Every role a member reaches, directly or through other groups, at any depth.
 
-    Each round extends only the pairs found in the round before, and is written to the shared
-    folder so that lineage stays short. Cycles end by themselves: known pairs are not repeated.
+    Each round extends the pairs found in the round before by all pairs known so far, so the reach
+    doubles; it is written to the shared folder so that lineage stays short. Cycles end by
+    themselves: known pairs are not repeated.
     """
     edges = members.select("member", "group_role").distinct()
     reached = materialize(edges, "roles")
     fresh = reached
-    hop = edges.select(F.col("member").alias("_via"), F.col("group_role").alias("_next"))
-    for _ in range(max_depth):
+    while True:
+        hop = reached.select(F.col("member").alias("_via"), F.col("group_role").alias("_next"))
         step = (
             fresh.join(hop, F.col("group_role") == F.col("_via"))
             .select("member", F.col("_next").alias("group_role"))
@@ -160,7 +161,6 @@ def effective_roles(members: DataFrame, max_depth: int = 64) -> DataFrame:
         if fresh.isEmpty():
             return reached
         reached = reached.unionByName(fresh)
-    raise ValueError(f"role memberships nest deeper than {max_depth}")
 
 
 def expected_layer_rules(schemas: DataFrame, cfg: Config) -> DataFrame:

@@ -2,11 +2,11 @@
 ``cooldown`` after the last one that went out.
 
 The rule is greedy, so each decision depends on the one before. A subject's timeline is cut into
-periods that are worked on in parallel: a period is first reduced to "if the last alert went out
-at L, the last one of this period goes out at E" (a short step table, because nearby starts run
-together), those tables are chained per subject, and then every period is replayed from its known
-start. A subject with most of all alerts is as many tasks as it has periods, and the chain it
-leaves is one small table per period.
+pieces of about equal row count that are worked on in parallel: a piece is first reduced to "if the
+last alert went out at L, the last one of this piece goes out at E" (a short step table, because
+nearby starts run together), those tables are chained per subject, and then every piece is replayed
+from its known start. A subject with most of all alerts lies in many pieces, and the chain it leaves
+is one small table per piece.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablekeep.operators.ordering import cut_by_rows
+
 MICROS = 1_000_000
 NEVER = np.iinfo(np.int64).min // 2
 
@@ -52,41 +54,34 @@ def replay(t: np.ndarray, due: int, cooldown: int) -> list[int]:
     return sent
 
 
-def suppress_alerts(alerts: DataFrame, cooldown_seconds: int = 300, period_seconds: int = 24 * 3600) -> DataFrame:
+def suppress_alerts(alerts: DataFrame, cooldown_seconds: int = 300) -> DataFrame:
     """T3 in batch over ``alerts(seq, ts, subject)``: the alerts that go out."""
-    cooldown, period = cooldown_seconds * MICROS, period_seconds * MICROS
-    if period < cooldown:
-        raise ValueError("a period must be at least one cooldown long")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    stamped = alerts.withColumn("t", micros).withColumn("period", F.floor(F.col("t") / period))
+    cooldown = cooldown_seconds * MICROS
+    stamped = alerts.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
     # Equal times of a subject act as one; only the time column travels to the workers.
-    times = stamped.select("subject", "period", "t").distinct()
+    times = cut_by_rows(stamped.select("subject", "t").distinct(), ["subject", "t"], "piece")
 
     def steps(key, rows):
         t = np.sort(rows["t"].to_numpy())
-        due, last = step_table(t, int(key[1]) * period, cooldown)
-        return pd.DataFrame({"subject": key[0], "period": key[1], "due": due, "last": last})
+        due, last = step_table(t, int(t[0]), cooldown)
+        return pd.DataFrame({"subject": key[0], "piece": key[1], "due": due, "last": last})
 
     def chain(key, rows):
         out, sent = [], NEVER
-        for number, table in rows.sort_values(["period", "due"]).groupby("period", sort=True):
+        for number, table in rows.sort_values(["piece", "due"]).groupby("piece", sort=True):
             out.append((key[0], number, sent + cooldown))
             hit = int(np.searchsorted(table["due"].to_numpy(), sent + cooldown))
             if hit < len(table):
                 sent = int(table["last"].iloc[hit])
-        return pd.DataFrame(out, columns=["subject", "period", "from_due"])
+        return pd.DataFrame(out, columns=["subject", "piece", "from_due"])
 
     def send(key, rows):
         t = np.sort(rows["t"].to_numpy())
         return pd.DataFrame({"subject": key[0], "t": replay(t, int(rows["from_due"].iloc[0]), cooldown)}, columns=["subject", "t"])
 
-    tables = times.groupBy("subject", "period").applyInPandas(steps, "subject string, period long, due long, last long")
-    starts = tables.groupBy("subject").applyInPandas(chain, "subject string, period long, from_due long")
-    sent = (
-        times.join(starts, ["subject", "period"])
-        .groupBy("subject", "period")
-        .applyInPandas(send, "subject string, t long")
-    )
+    tables = times.groupBy("subject", "piece").applyInPandas(steps, "subject string, piece int, due long, last long")
+    starts = tables.groupBy("subject").applyInPandas(chain, "subject string, piece int, from_due long")
+    sent = times.join(starts, ["subject", "piece"]).groupBy("subject", "piece").applyInPandas(send, "subject string, t long")
     first = stamped.join(sent, ["subject", "t"], "left_semi").groupBy("subject", "t").agg(F.min_by(F.struct("seq", "ts"), "seq").alias("a"))
     return first.select("a.seq", "a.ts", "subject")
 

@@ -102,17 +102,23 @@ def dropped_user_columns(inv_columns: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
+def default_value(text: str, as_of: str, user: str) -> Column:
+    """A default expression as a column: the session's time or user, or a literal; nothing else runs."""
+    # The defaults that depend on the session.
+    known = {"NOW()": F.lit(as_of).cast("timestamp"), "SESSION_USER": F.lit(user), "CURRENT_USER": F.lit(user)}
+    if text.upper() in known:
+        return known[text.upper()]
+    if not rules.is_literal(text):
+        raise ValueError(f"default {text!r} is neither a literal nor one of {sorted(known)}")
+    return F.expr(text)
+
+
 def default_column(column: StandardColumn, as_of: str, user: str) -> Column:
     """A default applies to new columns unless history fills the column later."""
     kind = types.spark_type(column.data_type)
     if column.track_history or column.default is None:
         return F.lit(None).cast(kind)
-    # The two defaults that depend on the session.
-    known = {"NOW()": F.lit(as_of).cast("timestamp"), "SESSION_USER": F.lit(user), "CURRENT_USER": F.lit(user)}
-    value = known.get(column.default.upper())
-    if value is None:
-        value = F.expr(column.default)
-    return value.cast(kind)
+    return default_value(column.default, as_of, user).cast(kind)
 
 
 def apply_defaults(df: DataFrame, schema: str, cfg: Config, as_of: str, user: str) -> DataFrame:

@@ -20,14 +20,16 @@ def classify_rules(inv_constraints: DataFrame, inv_attributes: DataFrame) -> Dat
     kind = F.lit(None).cast("string")
     for code, text in kinds.items():
         kind = F.when(F.col("contype") == code, text).otherwise(kind)
-    # conkey is a short list of column numbers inside the row: no explode, no shuffle.
-    attnums = F.array_sort(F.array_distinct(F.split("conkey", ",")))
+    # conkey is a short list of column numbers inside the row: no explode, no shuffle. Keys keep
+    # their column order; a CHECK has none.
+    given = F.transform(F.split("conkey", ","), lambda a: a.cast("int"))
+    attnums = F.when(F.col("contype") == "c", F.array_sort(F.array_distinct(given))).otherwise(given)
     from_constraints = inv_constraints.select(
         *KEY,
         F.col("constraint_name").alias("rule_name"),
         kind.alias("rule_kind"),
         F.when((F.col("contype") == "c") & (F.size(attnums) == 1), "column").otherwise("table").alias("rule_scope"),
-        F.array_join(attnums, ",").alias("columns"),
+        F.array_join(attnums.cast("array<string>"), ",").alias("columns"),
         "definition",
     )
     identity = F.when(F.col("identity_kind") == "a", "GENERATED ALWAYS AS IDENTITY").when(

@@ -6,6 +6,8 @@ history-tracked columns overwritten by the time and user of the delete; inserts
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +15,8 @@ from pyspark.sql.window import Window
 
 from tablekeep.config import Config
 from tablekeep.functions import naming, types
-from tablekeep.operators.conform import matching_columns, render_types
-from tablekeep.operators.ordering import neighbour
+from tablekeep.operators.conform import default_value, matching_columns, render_types
+from tablekeep.operators.ordering import cut_by_rows, neighbour
 
 KEY = ["schema_name", "table_name"]
 HEADER = ["h_type", "h_ts", "h_by"]
@@ -81,9 +83,16 @@ def history_layouts(inv_columns: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ from two snapshots
 def history_from_snapshots(
-    before: DataFrame, after: DataFrame, key: list[str], as_of: str, user: str, tracked: list[str]
+    before: DataFrame, after: DataFrame, key: list[str], as_of: str, user: str, tracked: list[str] | Mapping[str, str]
 ) -> DataFrame:
-    """H3: history that turns ``before`` into ``after``. One shuffle of each side by key."""
+    """H3: history that turns ``before`` into ``after``. One shuffle of each side by key.
+
+    A deleted row's tracked columns get their own default expressions: ``tracked`` maps columns to
+    them, or lists columns of the shipped standard.
+    """
+    if not isinstance(tracked, Mapping):
+        shipped = {c.name: c.default for c in Config().columns}
+        tracked = {c: shipped[c] for c in tracked}
     columns = before.columns
     tested = [c for c in columns if c not in key and c not in tracked]
     old = before.select(*key, F.struct(*columns).alias("_old"))
@@ -92,7 +101,7 @@ def history_from_snapshots(
     old_values = F.struct(*(F.col("_old")[c].alias(c) for c in tested))
     gone = F.col("_new").isNull()
     changed = joined.filter(gone | ~old_values.eqNullSafe(F.col("_new")))
-    stamp = {c: (F.lit(user) if isinstance(before.schema[c].dataType, T.StringType) else F.lit(as_of)) for c in tracked}
+    stamp = {c: default_value(text, as_of, user) for c, text in tracked.items()}
     images = [
         F.when(gone, stamp[c].cast(before.schema[c].dataType)).otherwise(F.col("_old")[c]).alias(c)
         if c in stamp
@@ -101,7 +110,7 @@ def history_from_snapshots(
     ]
     return changed.select(
         F.when(gone, "D").otherwise("U").alias("h_type"),
-        F.lit(as_of).cast("timestamp").alias("h_ts"),
+        F.lit(as_of).cast("timestamp_ntz").alias("h_ts"),
         F.lit(user).alias("h_by"),
         *images,
     )
@@ -113,15 +122,15 @@ def _last_before(value: Column, within) -> Column:
 
 
 class _Feed:
-    """A change feed cut into (key, time chunk) pieces.
+    """A change feed cut into pieces of bounded row count.
 
     Whether a change has any effect depends on whether the row exists at that moment, which only
     the last insert or delete before it decides. Inside a piece that is a window; across pieces it
-    is carried by a summary of one row per piece, kept for both possible starting states so that
-    the feed itself is read once and shuffled once.
+    is carried by a summary of one row per key and piece, kept for both possible starting states so
+    that the feed itself is read once; later passes read the pieces.
     """
 
-    def __init__(self, feed: DataFrame, key: list[str], data: list[str], chunk: str, current: DataFrame | None):
+    def __init__(self, feed: DataFrame, key: list[str], data: list[str], current: DataFrame | None):
         self.key, self.data, self.feed_types = key, data, feed.schema
         order = F.struct("ts", "seq")
         exists_op = F.when(F.col("op").isin("I", "D"), F.col("op"))
@@ -133,8 +142,7 @@ class _Feed:
         )
         born = F.struct(F.col("ts").alias("created_at"), F.col("changed_by").alias("created_by"))
         self.rows = (
-            feed.select(*key, "ts", "seq", "op", "changed_by", *data)
-            .withColumn("_chunk", F.date_trunc(chunk, "ts"))
+            cut_by_rows(feed.select(*key, "ts", "seq", "op", "changed_by", *data), [*key, "ts", "seq"], "_chunk")
             .withColumn("_prev", _last_before(exists_op, self.within))
             .withColumn("_image", image)
             .withColumn("_born", born)
@@ -230,7 +238,6 @@ def history_from_changes(
     key: list[str],
     data: list[str],
     current: DataFrame | None = None,
-    chunk: str = "day",
     created: tuple[str, str] = CREATED,
     modified: tuple[str, str] = MODIFIED,
 ) -> DataFrame:
@@ -239,7 +246,7 @@ def history_from_changes(
     Updates and deletes of a row that does not exist do nothing. ``current`` gives the rows that
     exist before the feed starts.
     """
-    f = _Feed(_with_ntz(feed), key, data, chunk, current)
+    f = _Feed(_with_ntz(feed), key, data, current)
     deleted = F.col("op") == "D"
     return f.effective(current, created, modified).select(
         F.col("op").alias("h_type"),
@@ -260,13 +267,12 @@ def apply_changes(
     feed: DataFrame,
     key: list[str],
     data: list[str],
-    chunk: str = "day",
     created: tuple[str, str] = CREATED,
     modified: tuple[str, str] = MODIFIED,
 ) -> DataFrame:
     """H5: the table after the feed. Inserts set the creation columns, updates the modification
     columns; rows nobody touched stay as they are."""
-    f = _Feed(_with_ntz(feed), key, data, chunk, current)
+    f = _Feed(_with_ntz(feed), key, data, current)
     latest = f.pieces.groupBy(*key).agg(
         F.max_by("_end", "_chunk").alias("_end"),
         F.max_by("_image", F.when(F.col("_image").isNotNull(), F.col("_chunk"))).alias("_image"),
@@ -423,7 +429,7 @@ def registers_after_drop(register: DataFrame, dropped: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ built on top
 def as_of(current: DataFrame, history: DataFrame, key: list[str], moment: str, created_at: str = CREATED[0]) -> DataFrame:
     """The table as it was at ``moment``: the earliest image logged after it, else the
-    current row, for rows that had been created by then."""
+    current row, for rows that had been created by then (or carry no creation time)."""
     columns = current.columns
     then = F.lit(moment).cast("timestamp_ntz")
     later = (
@@ -433,7 +439,8 @@ def as_of(current: DataFrame, history: DataFrame, key: list[str], moment: str, c
     )
     both = current.select(*key, F.struct(*columns).alias("_now")).join(later, key, "full_outer")
     row = F.coalesce("_past", "_now")
-    return both.select(row.alias("_row")).filter(F.col("_row")[created_at] <= then).select("_row.*")
+    born = F.coalesce(F.col("_row")[created_at] <= then, F.lit(True))
+    return both.select(row.alias("_row")).filter(born).select("_row.*")
 
 
 def change_summary(history: DataFrame) -> DataFrame:
@@ -441,10 +448,11 @@ def change_summary(history: DataFrame) -> DataFrame:
     return history.groupBy("h_by", F.to_date("h_ts").alias("day"), "h_type").agg(F.count("*").alias("n_changes"))
 
 
-def changed_columns(history: DataFrame, key: list[str], data: list[str], chunk: str = "day") -> DataFrame:
+def changed_columns(history: DataFrame, key: list[str], data: list[str]) -> DataFrame:
     """How often each column changed between one logged image and the next of the row."""
     image = F.struct(*data)
-    paired = neighbour(history, key, ["h_ts", "seq"], F.date_trunc(chunk, "h_ts"), image, "_next", 1)
+    cut = cut_by_rows(history.select(*key, "h_ts", "seq", "h_type", *data), [*key, "h_ts", "seq"])
+    paired = neighbour(cut, key, ["h_ts", "seq"], F.col("_piece"), image, "_next", 1)
     flags = paired.filter(F.col("_next").isNotNull() & (F.col("h_type") == "U")).agg(
         *(F.count_if(~F.col(c).eqNullSafe(F.col("_next")[c])).alias(c) for c in data)
     )

@@ -44,6 +44,18 @@ def dense_ids(
     )
 
 
+def cut_by_rows(df: DataFrame, order_by: list[str], name: str = "_piece", partitions: int | None = None) -> DataFrame:
+    """The rows with a piece number that grows with ``order_by`` and cuts the table by row count.
+
+    Pieces are range partitions, so whatever the keys and times are, a group that fills most of the
+    table lies in many pieces of about equal size. ``order_by`` has to tell rows apart (end it with a
+    sequence number). Written once to the shared folder, which fixes the pieces for all later uses.
+    Small tables end up in few pieces; ``partitions`` sets the number.
+    """
+    ranged = df.repartitionByRange(partitions, *order_by) if partitions else df.repartitionByRange(*order_by)
+    return materialize(ranged.withColumn(name, F.spark_partition_id()), "pieces")
+
+
 def running_count(df: DataFrame, keys: list[str], order_col: str, flag: Column, name: str, piece: str) -> DataFrame:
     """Running count of ``flag`` per group in the order of ``order_col``.
 
@@ -69,7 +81,7 @@ def neighbour(
 ) -> DataFrame:
     """Value of the next (``step=1``) or previous (``step=-1``) row of the group.
 
-    ``chunk`` must grow with ``order`` (a day, a block of numbers). Rows are windowed per
+    ``chunk`` must grow with ``order`` (a piece of ``cut_by_rows``, a block of numbers). Rows are windowed per
     (group, chunk), so a hot group spreads over its chunks; the value at a chunk's edge comes
     from a summary with one row per chunk.
     """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablekeep.config import Config
 from tablekeep.operators.names import publishable_schemas
-from tablekeep.operators.ordering import running_count
+from tablekeep.operators.ordering import cut_by_rows, running_count
 
 # The two event channels and the retry policy.
 CREATE, DROP = "schema_create", "schema_drop"
@@ -30,8 +30,7 @@ def reconcile(schemas: DataFrame, workspaces: DataFrame, cfg: Config, known_else
     forward = both.select("schema_name", F.when(F.col("_t").isNull(), "create").otherwise("refresh").alias("action"))
     level = F.substring_index("schema_name", "_", 1).alias("_level")
     extra = theirs.join(known, "schema_name", "left_anti").filter(F.col("schema_name").rlike(cfg.schema_pattern()))
-    # Names that publish start with a level of the standard, so there are at most MAX_ROWS levels.
-    levels = F.broadcast(ours.select(level).distinct())
+    levels = ours.select(level).distinct()  # one row per level, whatever the number of schemas
     judged = extra.select("schema_name", level).join(levels, "_level", "left_semi").select("schema_name")
     if known_elsewhere is None:
         # One row at most: does this database publish anything at all?
@@ -79,10 +78,10 @@ def dedupe_events(events: DataFrame) -> DataFrame:
     )
 
 
-def classify_attempts(outcomes: DataFrame, chunk: str = "hour") -> DataFrame:
+def classify_attempts(outcomes: DataFrame) -> DataFrame:
     """Every attempt of a call numbered and judged. Timeouts and connection errors are
     transient and wait 2, 5, 10 seconds for the next try; a response is final."""
-    ordered = outcomes.withColumn("_piece", F.date_trunc(chunk, "ts"))
+    ordered = cut_by_rows(outcomes, ["call_id", "seq"])
     numbered = running_count(ordered, ["call_id"], "seq", F.lit(True), "attempt", "_piece").drop("_piece")
     transient = F.col("outcome").isin("timeout", "connection_error")
     kind = F.when(transient, "transient").when(F.col("status_code") >= 400, "permanent").otherwise("delivered")

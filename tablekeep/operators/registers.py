@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablekeep.config import Config
 from tablekeep.functions import naming
 from tablekeep.operators.names import needs_geometry_validation
-from tablekeep.operators.ordering import last_before
+from tablekeep.operators.ordering import cut_by_rows, last_before
 
 KEY = ["schema_name", "table_name"]
 SESSION = ["session_user_name", "current_user_name", "application_name"]
@@ -42,9 +42,15 @@ def _clears() -> Column:
     return (F.col("command") == "DROP TABLE") | (arrived & ~_suffix_conflict())
 
 
+def governed() -> Column:
+    """Log rows the standard applies to: no table of the public or a temporary schema."""
+    return (F.col("schema_name") != "public") & ~F.col("schema_name").rlike("^pg_temp")
+
+
 def pending_from_log(ddl_log: DataFrame, cfg: Config) -> DataFrame:
     """M1: tables still waiting for their geometry. A system user created them with a geometry
     suffix but no geometry; the first such creation since the last clearing counts."""
+    ddl_log = ddl_log.filter(governed())
     last_clear = ddl_log.filter(_clears()).groupBy(*KEY).agg(F.max("seq").alias("_cleared"))
     created = ddl_log.filter(_creates_suffixed() & _by_system_user(cfg)).select(*KEY, "seq", "ts", "session_user_name")
     waiting = created.join(last_clear, KEY, "left").filter("_cleared IS NULL OR seq > _cleared")
@@ -54,19 +60,20 @@ def pending_from_log(ddl_log: DataFrame, cfg: Config) -> DataFrame:
 
 def rejected_creations(ddl_log: DataFrame, cfg: Config) -> DataFrame:
     """M1: the same creation by anyone else is refused: the suffix is reserved."""
-    return ddl_log.filter(_creates_suffixed() & ~_by_system_user(cfg)).select(
+    return ddl_log.filter(governed() & _creates_suffixed() & ~_by_system_user(cfg)).select(
         "seq", *KEY, F.lit("reserved_suffix").alias("code")
     )
 
 
-def geometry_arrivals(ddl_log: DataFrame, cfg: Config, chunk: str = "day") -> DataFrame:
+def geometry_arrivals(ddl_log: DataFrame, cfg: Config) -> DataFrame:
     """M2/M3: every added geometry column judged by whether its table was pending just then.
 
     Pending tables: a name whose suffix contradicts the type is a conflict and stays pending.
     Other tables: the usual suffix test, with the name to use instead.
     """
     mark = F.when(_clears(), F.lit(False)).when(_creates_suffixed() & _by_system_user(cfg), F.lit(True))
-    marked = last_before(ddl_log, KEY, ["ts", "seq"], F.date_trunc(chunk, "ts"), mark, "_pending")
+    log = cut_by_rows(ddl_log.filter(governed()), [*KEY, "seq"])
+    marked = last_before(log, KEY, ["seq"], F.col("_piece"), mark, "_pending")
     arrivals = marked.filter((F.col("command") == "ADD GEOMETRY") & F.col("geom_type").isNotNull())
     basal = naming.basal_type(F.col("geom_type"))
     wanted = naming.expected_suffix(basal)
@@ -161,10 +168,10 @@ def duplicate_spatial_indexes(inv_indexes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ SRID deviations
-def srid_deviations(inv_geometry: DataFrame, cfg: Config, as_of: str, user: str) -> DataFrame:
-    """Tables whose SRID is set and not the expected one, as register rows."""
+def srid_deviations(inv_geometry: DataFrame, cfg: Config, as_of: str, user: str, scope: DataFrame) -> DataFrame:
+    """Tables of ``scope`` (N15) whose SRID is set and not the expected one, as register rows."""
     return (
-        inv_geometry.filter(F.col("srid").isNotNull() & (F.col("srid") != cfg.expected_srid))
+        inv_geometry.join(scope.select(*KEY).distinct(), KEY, "left_semi").filter(F.col("srid").isNotNull() & (F.col("srid") != cfg.expected_srid))
         .groupBy(*KEY)
         .agg(F.min("srid").alias("srid"))
         .select(*KEY, "srid", F.lit(as_of).cast("timestamp_ntz").alias("registered_at"), F.lit(user).alias("registered_by"))

@@ -240,8 +240,9 @@ def _(fx):
 # ------------------------------------------------------------------ constraints on data
 @query("k01_classify_rules", """
 WITH k AS (SELECT table_id, schema_name, table_name, constraint_name, contype, definition,
-    count(DISTINCT a) AS n_columns, string_agg(DISTINCT a, ',' ORDER BY a) AS attnums
-  FROM (SELECT *, unnest(string_split(conkey, ',')) AS a FROM inv_constraints) GROUP BY 1, 2, 3, 4, 5, 6)
+    count(DISTINCT a) AS n_columns, CASE WHEN contype = 'c' THEN (SELECT string_agg(CAST(b AS VARCHAR), ',' ORDER BY b)
+      FROM (SELECT DISTINCT unnest(array_agg(CAST(a AS INT))) AS b)) ELSE conkey END AS attnums
+  FROM (SELECT *, unnest(string_split(conkey, ',')) AS a FROM inv_constraints) GROUP BY table_id, schema_name, table_name, constraint_name, contype, definition, conkey)
 SELECT schema_name, table_name, constraint_name AS rule_name, CASE WHEN contype = 'f' THEN 'foreign_key' WHEN contype = 'p' THEN 'primary_key'
     WHEN contype = 'u' THEN 'unique' ELSE 'check' END AS rule_kind,
   CASE WHEN contype = 'c' AND n_columns = 1 THEN 'column' ELSE 'table' END AS rule_scope, attnums AS columns, definition FROM k

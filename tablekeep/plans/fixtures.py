@@ -127,6 +127,12 @@ UNION ALL
 SELECT table_id, schema_name, table_name, concat(table_name, '_c3'), 'c', '4,4', 'CHECK (kol_4 > 1 OR kol_4 < 0)'
 FROM inv_tables WHERE kind = 'ECONOMY'
 UNION ALL
+SELECT table_id, schema_name, table_name, concat(table_name, '_c4'), 'c', '12,2,10,2', 'CHECK (kol_12 > kol_2 + kol_10)'
+FROM inv_tables WHERE kind = 'PROMO'
+UNION ALL
+SELECT table_id, schema_name, table_name, concat(table_name, '_uq2'), 'u', '10,2', 'UNIQUE (kol_10, kol_2)'
+FROM inv_tables WHERE kind = 'PROMO'
+UNION ALL
 SELECT table_id, schema_name, table_name, concat(table_name, '_fk'), 'f', '6', 'FOREIGN KEY (kol_6) REFERENCES t(a)'
 FROM inv_tables WHERE kind IN ('STANDARD', 'SMALL')
 """

@@ -16,7 +16,8 @@ AS_OF = "2024-02-01 00:00:00"
 LOG = """
 WITH e AS MATERIALIZED (SELECT *, lower(session_user_name) = 'fme' OR lower(current_user_name) = 'fme' OR lower(application_name) = 'fme' AS sysuser,
     CASE WHEN regexp_matches(table_name, '_[plyg]$') THEN right(table_name, 2) END AS own,
-    CASE geom_type WHEN 'POINT' THEN '_p' WHEN 'LINESTRING' THEN '_l' WHEN 'POLYGON' THEN '_y' END AS wanted FROM ddl_log),
+    CASE geom_type WHEN 'POINT' THEN '_p' WHEN 'LINESTRING' THEN '_l' WHEN 'POLYGON' THEN '_y' END AS wanted FROM ddl_log
+  WHERE schema_name <> 'public' AND NOT starts_with(schema_name, 'pg_temp')),
 m AS MATERIALIZED (SELECT *, CASE WHEN command = 'DROP TABLE' OR (command = 'ADD GEOMETRY' AND (own IS NULL OR own = wanted)) THEN 'clear'
     WHEN command = 'CREATE TABLE' AND own IS NOT NULL AND sysuser THEN 'set' END AS mark FROM e),
 s AS MATERIALIZED (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY schema_name, table_name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
@@ -113,12 +114,16 @@ def _(fx):
 
 
 SRIDS = f"""(SELECT schema_name, table_name, min(srid) AS srid, TIMESTAMP '{AS_OF}' AS registered_at, 'steward' AS registered_by FROM inv_geometry
-  WHERE srid <> 3007 GROUP BY 1, 2)"""
+  WHERE srid <> 3007 AND schema_name <> 'public' AND NOT starts_with(schema_name, 'pg_temp')
+    AND (schema_name, table_name) IN (SELECT (schema_name, table_name) FROM inv_tables)
+    AND (schema_name, table_name) NOT IN (SELECT (schema_name, concat(table_name, '_h')) FROM inv_tables)
+    AND (schema_name, table_name) NOT IN (SELECT (schema_name, table_name) FROM inv_columns WHERE column_name LIKE '%_temp0001')
+  GROUP BY 1, 2)"""
 
 
 @query("g11_srid_deviations", f"SELECT * FROM {SRIDS}")
 def _(fx):
-    return registers.srid_deviations(fx["inv_geometry"], CFG, AS_OF, "steward")
+    return registers.srid_deviations(fx["inv_geometry"], CFG, AS_OF, "steward", names.in_scope(fx["inv_tables"], fx["inv_columns"]))
 
 
 REGISTER = """SELECT schema_name, table_name, 9999 AS srid, CAST('2023-05-05 00:00:00' AS TIMESTAMP) AS registered_at, 'old' AS registered_by
@@ -132,7 +137,7 @@ FROM ({REGISTER}) o FULL OUTER JOIN {SRIDS} n ON n.schema_name = o.schema_name A
 """)
 def _(fx):
     old = fx.sql(REGISTER).withColumn("registered_at", F.col("registered_at").cast("timestamp_ntz"))
-    return registers.merge_register(old, registers.srid_deviations(fx["inv_geometry"], CFG, AS_OF, "steward"), registers.KEY)
+    return registers.merge_register(old, registers.srid_deviations(fx["inv_geometry"], CFG, AS_OF, "steward", names.in_scope(fx["inv_tables"], fx["inv_columns"])), registers.KEY)
 
 
 @query("s06_register_ignore", f"""
@@ -142,7 +147,7 @@ FROM ({REGISTER}) o FULL OUTER JOIN {SRIDS} n ON n.schema_name = o.schema_name A
 """)
 def _(fx):
     old = fx.sql(REGISTER).withColumn("registered_at", F.col("registered_at").cast("timestamp_ntz"))
-    return registers.merge_register(old, registers.srid_deviations(fx["inv_geometry"], CFG, AS_OF, "steward"), registers.KEY, update=False)
+    return registers.merge_register(old, registers.srid_deviations(fx["inv_geometry"], CFG, AS_OF, "steward", names.in_scope(fx["inv_tables"], fx["inv_columns"])), registers.KEY, update=False)
 
 
 @query("g12_placeholder_geometry", f"""

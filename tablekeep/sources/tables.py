@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablekeep.operators.registers import merge_register
 
 
-def write_history(history: DataFrame, path: str, key: list[str], batch_id: int | None = None, salt: int = 16) -> None:
+def write_history(history: DataFrame, path: str, key: list[str], batch_id: int | None = None) -> None:
     """Append history laid out for "one row's changes, newest first".
 
     Folders by day prune by time; files sorted by key and descending time prune by key through
-    their min/max statistics. A day is spread over up to ``salt`` files by key hash, so a busy day
-    is not one task. With ``batch_id`` the write replaces exactly that batch's folder, which makes a
+    their min/max statistics. Files are ranges of (day, key, time) of about equal row count, so a busy
+    day or key is many tasks. With ``batch_id`` the write replaces exactly that batch's folder, which makes a
     repeated streaming batch harmless.
     """
     dated = history.withColumn("h_date", F.to_date("h_ts"))
-    laid_out = dated.repartition(F.col("h_date"), F.pmod(F.xxhash64(*key, "h_ts"), F.lit(salt))).sortWithinPartitions(
-        "h_date", *key, F.col("h_ts").desc()
-    )
+    order = [F.col("h_date"), *(F.col(k) for k in key), F.col("h_ts").desc()]
+    laid_out = dated.repartitionByRange(*order).sortWithinPartitions(*order)
     if batch_id is None:
         laid_out.write.mode("append").partitionBy("h_date").parquet(path)
     else:
@@ -48,13 +44,11 @@ def write_register(incoming: DataFrame, path: str, key: list[str], update: bool
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
-    try:
-        files = spark.read.parquet(path).inputFiles()
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return max(int(v) for f in files for v in re.findall(r"/version=(\d+)/", f))
+    """Highest version written to its end, told from folder names: data files are not listed."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "version=*/_SUCCESS")) or []
+    return max((int(f.getPath().getParent().getName().removeprefix("version=")) for f in found), default=None)
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:

@@ -7,13 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablekeep.operators.alerts import suppress_alerts
-from tablekeep.operators.ordering import dense_ids, last_before, neighbour, running_count
+from tablekeep.operators.ordering import cut_by_rows, dense_ids, last_before, neighbour, running_count
 
 START = dt.datetime(2024, 1, 1)
 
 
-@pytest.mark.parametrize("spread,period", [(3, 300), (40, 900), (400, 3600)])
-def test_suppression_matches_loop(spark, spread, period):
+@pytest.mark.parametrize("spread", [3, 40, 400])
+def test_suppression_matches_loop(spark, spread):
     rng = np.random.default_rng(spread)
     rows = []
     for subject, n in (("hot", 900), ("b", 40), ("c", 1)):
@@ -27,10 +27,20 @@ def test_suppression_matches_loop(spark, spread, period):
             want.add((seq, subject))
             last[subject] = ts
     alerts = spark.createDataFrame(rows, "seq long, ts timestamp_ntz, subject string")
-    got = {(r.seq, r.subject) for r in suppress_alerts(alerts, 300, period).collect()}
+    got = {(r.seq, r.subject) for r in suppress_alerts(alerts, 300).collect()}
     assert got == want
 
 
+def test_pieces_cut_a_busy_moment(spark):
+    """60% of the rows are one key in one second; no piece holds more than a share of them."""
+    rows = [("hot" if i % 5 < 3 else f"k{i % 97}", START, i) for i in range(4000)]
+    cut = cut_by_rows(spark.createDataFrame(rows, "k string, ts timestamp_ntz, seq long"), ["k", "ts", "seq"], partitions=8)
+    sizes = [r["count"] for r in cut.groupBy("_piece").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1200
+    ordered = cut.orderBy("k", "ts", "seq").select("_piece").collect()
+    assert [r[0] for r in ordered] == sorted(r[0] for r in ordered)
+
+
 def test_dense_ids(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), F.lit("x").alias("v"))
     got = dense_ids(df, ["k"], start=5, partitions=13).orderBy("gid").collect()

@@ -1,11 +1,14 @@
 """The standard, its rules, and single-table conforming."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablekeep.config import Config, Level, StandardColumn, config_from_frames, load_config, save_config
+from tablekeep.functions import rules
 from tablekeep.functions.rules import rule_problem
-from tablekeep.operators import conform, names
+from tablekeep.operators import access, conform, constraints, history, names, reconcile, registers
 from tablekeep.session import scratch_path
 from tablekeep.sources.inventory import inventory_of_frames
 from tablekeep.sources.text import decode_text
@@ -94,10 +97,54 @@ def test_config_round_trip(spark):
     assert Config(levels=()).schema_pattern("kept") == "kept"
 
 
-def test_config_bound(spark, monkeypatch):
-    monkeypatch.setattr("tablekeep.config.MAX_ROWS", 3)
+def test_config_of_any_size(spark):
+    many = spark.range(3000).selectExpr("concat('l', id) AS prefix", "'d' AS description", "true AS publish", "false AS anonymous_read")
+    assert len(config_from_frames({"levels": many}).levels) == 3000
+
+
+def test_defaults_run_only_literals():
+    assert rules.is_literal("'it''s'") and rules.is_literal("-1.5") and rules.is_literal("NULL") and rules.is_literal("true")
+    assert not any(map(rules.is_literal, ["f(1)", "a", "'a' || 'b'", "1; 2", "'\\'"]))
     with pytest.raises(ValueError):
-        config_from_frames({"levels": CFG.frames(spark)["levels"]})
+        conform.default_value("java_method('a', 'b')", AS_OF, "u")
+
+
+def test_check_columns_sort_as_numbers(spark):
+    rows = [("s", "t", "c", "c", "12,2,10,2", ""), ("s", "t", "u", "u", "10,2", "")]
+    given = spark.createDataFrame(rows, "schema_name string, table_name string, constraint_name string, contype string, conkey string, definition string")
+    none = spark.createDataFrame([], "schema_name string, table_name string, column_name string, ordinal_position int, not_null boolean, default_expr string, identity_kind string")
+    assert {r.rule_name: r["columns"] for r in constraints.classify_rules(given, none).collect()} == {"c": "2,10,12", "u": "10,2"}
+
+
+def test_roles_at_any_depth(spark):
+    chain = [(f"r{i}", f"r{i + 1}") for i in range(100)] + [("r100", "r0")]
+    assert access.effective_roles(spark.createDataFrame(chain, "member string, group_role string")).count() == 101 * 101
+
+
+def test_attempts_follow_the_sequence(spark):
+    rows = [("c", i + 1, dt.datetime(2024, 1, 1, *t), "timeout", None, "x") for i, t in enumerate([(10, 0, 5), (9, 59, 59), (10, 0, 10)])]
+    calls = spark.createDataFrame(rows, "call_id string, seq long, ts timestamp_ntz, outcome string, status_code int, channel string")
+    assert [r.attempt for r in reconcile.classify_attempts(calls).orderBy("seq").collect()] == [1, 2, 3]
+
+
+def test_as_of_keeps_rows_without_creation_time(spark):
+    now = spark.createDataFrame([(1, None), (2, dt.datetime(2024, 1, 1)), (3, dt.datetime(2025, 1, 1))], "gid long, skapad_tidpunkt timestamp_ntz")
+    log = spark.createDataFrame([], "h_ts timestamp_ntz, seq long, gid long, skapad_tidpunkt timestamp_ntz")
+    assert sorted(r.gid for r in history.as_of(now, log, ["gid"], "2024-06-01 00:00:00").collect()) == [1, 2]
+
+
+def test_deleted_rows_carry_own_defaults(spark):
+    before = spark.createDataFrame([(1, "x", "old")], "gid long, v string, note string")
+    out = history.history_from_snapshots(before, before.limit(0), ["gid"], AS_OF, "anna", {"note": "'gone'"}).collect()
+    assert [(r.h_type, r.v, r.note) for r in out] == [("D", "x", "gone")]
+
+
+def test_public_and_temporary_tables_are_not_judged(spark):
+    rows = [(i, s, "a_p", "CREATE TABLE", u, None) for i, (s, u) in enumerate([("public", "fme"), ("pg_temp_3", "fme"), ("public", "anna"), ("sk0_ext_a", "fme"), ("sk0_ext_b", "anna")])]
+    log = spark.createDataFrame(rows, "seq long, schema_name string, table_name string, command string, session_user_name string, geom_type string")
+    log = log.selectExpr("*", "'anna' AS current_user_name", "'psql' AS application_name", "timestamp_ntz '2024-01-01' AS ts")
+    assert [r.schema_name for r in registers.pending_from_log(log, CFG).collect()] == ["sk0_ext_a"]
+    assert [r.schema_name for r in registers.rejected_creations(log, CFG).collect()] == ["sk0_ext_b"]
 
 
 def test_custom_default_and_rule(spark):
