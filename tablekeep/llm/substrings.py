@@ -30,8 +30,9 @@ NULL_ID = np.iinfo(np.int64).min  # null ids come first
 # of the chunk, and which windows repeat inside it. BLOCK: places and fingerprints for the bucket, or
 # as an answer only the places that start earlier elsewhere.
 TABLE, BLOCK = 0, 1
-ROW = [("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32())] + [(n, pa.binary()) for n in ("docs", "sizes", "at", "prints", "extra")]
-ROW_DDL = "bucket int, chunk long, kind int, docs binary, sizes binary, at binary, prints binary, extra binary"
+ROW = [("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32())] + [(n, pa.binary()) for n in ("docs", "sizes", "at", "prints")]
+ROW_DDL = "bucket int, chunk long, kind int, docs binary, sizes binary, at binary, prints binary"
+LEAST_BUCKETS = 256  # from here on the bucket stands for the first byte of a fingerprint
 
 
 def _ordered(ids: np.ndarray, fps: np.ndarray, sizes: np.ndarray, prints: np.ndarray, extra: np.ndarray):
@@ -62,6 +63,27 @@ def _later(group: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return (ids > least) | (pos > np.minimum.reduceat(at_least, first)[group])
 
 
+def _high_bytes(buckets: int) -> int:
+    """Bytes of a fingerprint's upper half that the bucket leaves open."""
+    return 4 - (buckets.bit_length() - 1) // 8 if buckets < 1 << 32 else 0
+
+
+def _pack_prints(prints: np.ndarray, extra: np.ndarray, bucket: int, buckets: int) -> bytes:
+    low = (prints & np.uint64(0xFFFFFFFF)).astype("<u4")
+    rest = ((prints >> np.uint64(32)) - np.uint64(-(-(bucket << 32) // buckets))).astype("<u4")
+    high = rest.view(np.uint8).reshape(-1, 4)[:, : _high_bytes(buckets)]
+    return high.tobytes() + low.tobytes() + extra.astype("<u2").tobytes()
+
+
+def _unpack_prints(packed: bytes, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of one bucket: equal where the whole ones are."""
+    k = _high_bytes(buckets)
+    high = np.zeros((n, 4), np.uint8)
+    high[:, :k] = np.frombuffer(packed, np.uint8, n * k).reshape(n, k)
+    low = np.frombuffer(packed, "<u4", n, n * k).astype(np.uint64)
+    return high.view("<u4").ravel().astype(np.uint64) << np.uint64(32) | low, np.frombuffer(packed, "<u2", n, n * (k + 4))
+
+
 def _chunk_rows(chunk: int, parts: list[tuple], buckets: int) -> Iterator[tuple]:
     ids, fps, sizes, prints, extra = _ordered(*(np.concatenate(x) for x in zip(*parts)))
     starts = np.cumsum(sizes) - sizes
@@ -72,7 +94,7 @@ def _chunk_rows(chunk: int, parts: list[tuple], buckets: int) -> Iterator[tuple]
         own[order] = _later(group, ids[doc[order]], (np.arange(len(doc)) - starts[doc])[order])
     home = int(mix(np.array([chunk], np.uint64))[0] % np.uint64(buckets))
     table = np.concatenate([ids, fps.view(np.int64)]).tobytes()
-    yield home, chunk, TABLE, table, pack(sizes), pack(np.flatnonzero(own)), None, None
+    yield home, chunk, TABLE, table, pack(sizes), pack(np.flatnonzero(own)), None
     ask = np.flatnonzero(~own)  # repeated rows tie for the earliest place, then both ask
     bucket = ((prints[ask] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
@@ -81,7 +103,7 @@ def _chunk_rows(chunk: int, parts: list[tuple], buckets: int) -> Iterator[tuple]
     for b in np.flatnonzero(np.diff(edges)):
         at = ask[edges[b] : edges[b + 1]]
         used = np.unique(doc[at])
-        yield int(b), chunk, BLOCK, pack(ids[used]), pack(starts[used]), pack(at), prints[at].tobytes(), extra[at].tobytes()
+        yield int(b), chunk, BLOCK, pack(ids[used]), pack(starts[used]), pack(at), _pack_prints(prints[at], extra[at], int(b), buckets)
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -121,31 +143,32 @@ def _windows(window: int, chunk_windows: int, buckets: int):
     return run
 
 
-def _answers(rows: pa.Table) -> pa.Table:
-    """For one bucket: the places of each chunk whose fingerprint starts earlier elsewhere."""
-    tables = rows.filter(pc.equal(rows["kind"], TABLE))
-    blocks = rows.filter(pc.equal(rows["kind"], BLOCK)).to_pylist()
-    if not blocks:
-        return tables
-    ids, pos, at, edges = [], [], [], [0]
-    for b in blocks:
-        places, starts = unpack(b["at"]), unpack(b["sizes"])
-        doc = np.searchsorted(starts, places, "right") - 1
-        ids.append(unpack(b["docs"])[doc])
-        pos.append(places - starts[doc])
-        at.append(places)
-        edges.append(edges[-1] + len(places))
-    order, group = _groups(
-        np.concatenate([np.frombuffer(b["prints"], np.uint64) for b in blocks]),
-        np.concatenate([np.frombuffer(b["extra"], np.uint16) for b in blocks]),
-    )
-    later = np.zeros(len(order), bool)
-    later[order] = _later(group, np.concatenate(ids)[order], np.concatenate(pos)[order])
-    out = []
-    for b, places, start, stop in zip(blocks, at, edges, edges[1:]):
-        if later[start:stop].any():
-            out.append((b["bucket"], b["chunk"], BLOCK, None, None, pack(places[later[start:stop]]), None, None))
-    return pa.concat_tables([tables.cast(pa.schema(ROW)), _table(out)])
+def _answers(buckets: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """For one bucket: the places of each chunk whose fingerprint starts earlier elsewhere."""
+        tables = rows.filter(pc.equal(rows["kind"], TABLE)).cast(pa.schema(ROW))
+        blocks = rows.filter(pc.equal(rows["kind"], BLOCK)).to_pylist()
+        if not blocks:
+            return tables
+        ids, pos, at, prints, edges = [], [], [], [], [0]
+        for b in blocks:
+            places, starts = unpack(b["at"]), unpack(b["sizes"])
+            doc = np.searchsorted(starts, places, "right") - 1
+            ids.append(unpack(b["docs"])[doc])
+            pos.append(places - starts[doc])
+            at.append(places)
+            prints.append(_unpack_prints(b["prints"], len(places), buckets))
+            edges.append(edges[-1] + len(places))
+        order, group = _groups(*(np.concatenate(x) for x in zip(*prints)))
+        later = np.zeros(len(order), bool)
+        later[order] = _later(group, np.concatenate(ids)[order], np.concatenate(pos)[order])
+        out = []
+        for b, places, start, stop in zip(blocks, at, edges, edges[1:]):
+            if later[start:stop].any():
+                out.append((b["bucket"], b["chunk"], BLOCK, None, None, pack(places[later[start:stop]]), None))
+        return pa.concat_tables([tables, _table(out)])
+
+    return run
 
 
 def intervals(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +202,9 @@ def removals(docs: DataFrame, window: int, chunk_windows: int, bucket_bytes: int
     """(id, fp, begins, ends) for the docs(doc_id, fp, text) that lose words."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * partitions, -(-total // bucket_bytes))
+    buckets = max(LEAST_BUCKETS, 4 * partitions, -(-total // bucket_bytes))
     rows = docs.mapInArrow(_windows(window, chunk_windows, buckets), ROW_DDL)
-    answers = rows.groupBy("bucket").applyInArrow(_answers, ROW_DDL)
+    answers = rows.groupBy("bucket").applyInArrow(_answers(buckets), ROW_DDL)
     merged = answers.groupBy("chunk").applyInArrow(_merge(window), "id long, fp long, begins array<int>, ends array<int>")
     return merged.dropDuplicates(["id", "fp"])
 
