@@ -32,6 +32,15 @@ CASES = {
     "hole far above": ("POLYGON((0 0, 9 0, 9 9, 0 9, 0 0), (1 11, 2 11, 2 12, 1 11))", "hole_outside_shell"),
     "part in hole": ("MULTIPOLYGON(((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 8 1, 8 8, 1 8, 1 1)), ((3 3, 4 3, 4 4, 3 3)))", None),
     "part inside": ("MULTIPOLYGON(((0 0, 9 0, 9 9, 0 9, 0 0)), ((3 3, 4 3, 4 4, 3 3)))", "parts_overlap"),
+    "part inside by corners": ("MULTIPOLYGON(((0 0, 10 0, 10 10, 0 10, 0 0)), ((5 0, 10 5, 5 10, 0 5, 5 0)))", "parts_overlap"),
+    "hole in a notch": ("POLYGON((0 0, 10 0, 10 10, 6 10, 6 5, 4 5, 4 10, 0 10, 0 0), (4 7, 5 5, 6 7, 4 7))", "hole_outside_shell"),
+    "hole in a hole": ("POLYGON((0 0, 10 0, 10 10, 0 10, 0 0), (1 1, 9 1, 9 9, 1 9, 1 1), (3 3, 4 3, 4 4, 3 4, 3 3))", "holes_nested"),
+    "hole in a hole by corners": ("POLYGON((0 0, 10 0, 10 10, 0 10, 0 0), (1 1, 9 1, 9 9, 1 9, 1 1), (5 1, 9 5, 5 9, 1 5, 5 1))", "holes_nested"),
+    "interior cut by one hole": ("POLYGON((0 0, 10 0, 10 10, 0 10, 0 0), (5 0, 6 5, 5 10, 4 5, 5 0))", "interior_cut"),
+    "interior cut by three holes": (
+        "POLYGON((0 0, 12 0, 12 12, 0 12, 0 0), (2 2, 6 2, 4 4, 2 2), (6 2, 10 2, 8 4, 6 2), (4 4, 8 4, 6 8, 4 4))", "interior_cut"),
+    "hole touching once": ("POLYGON((0 0, 10 0, 10 10, 0 10, 0 0), (5 0, 6 5, 4 5, 5 0))", None),
+    "chain of touching holes": ("POLYGON((0 0, 12 0, 12 12, 0 12, 0 0), (0 6, 2 5, 4 6, 2 7, 0 6), (4 6, 6 5, 8 6, 6 7, 4 6))", None),
     "touching parts": ("MULTIPOLYGON(((0 0, 1 0, 1 1, 0 0)), ((1 1, 2 1, 2 2, 1 1)))", None),
     "shared edge": ("MULTIPOLYGON(((0 0, 1 0, 1 1, 0 1, 0 0)), ((1 0, 2 0, 2 1, 1 1, 1 0)))", "parts_overlap"),
 }
@@ -107,7 +116,7 @@ def test_grid_finds_every_conflict(spark, monkeypatch, block):
     rows = [(k, 1, 1, i + 1, float(x), float(y)) for k, p in rings.items() for i, (x, y) in enumerate(p)]
     vertices = spark.createDataFrame(rows, "feature_id long, part int, ring int, idx int, x double, y double")
     features = spark.createDataFrame([(k, "POLYGON") for k in rings], "feature_id long, geom_type string")
-    found = geometry.segment_conflicts(geometry.polygon_segments(features, vertices)).collect()
+    found = geometry.segment_conflicts(geometry.meetings(geometry.polygon_segments(features, vertices))).collect()
     got = {k: {(r.i, r.i2) for r in found if r.feature_id == k} for k in rings}
     assert got == {k: meets(p) for k, p in rings.items()}
 
@@ -130,7 +139,7 @@ def test_parts_inside_each_other(spark, monkeypatch, few):
     vertices = spark.createDataFrame(rows, "feature_id long, part int, ring int, idx int, x double, y double")
     features = spark.createDataFrame([(1, "MULTIPOLYGON")], "feature_id long, geom_type string")
     segments = geometry.polygon_segments(features, vertices)
-    assert geometry.segment_conflicts(segments).count() == 0
+    assert geometry.segment_conflicts(geometry.meetings(segments)).count() == 0
     found = geometry.misplaced_vertices(segments).collect()
     assert {(r.part, r.part2, r.reason_code) for r in found} == {(p, p - 1, "parts_overlap") for p in nested}
 
