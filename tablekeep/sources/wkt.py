@@ -32,6 +32,37 @@ def _marked_body() -> Column:
     return F.trim(F.regexp_replace(marked, r"[()]", " "))
 
 
+def _without_empty(body: Column) -> Column:
+    """Body without EMPTY members; NULL when there is no other member."""
+    left = F.regexp_replace(F.regexp_replace(body, r"(?i)EMPTY\s*,\s*", ""), r"(?i),\s*EMPTY", "")
+    return F.when(~left.rlike(r"(?i)^\(\s*EMPTY\s*\)$"), left)
+
+
+def _well_nested(skeleton: Column, kind: Column) -> Column:
+    """Are the brackets those of the type? ``skeleton`` has ``t`` per point and ``E`` per EMPTY member.
+
+    Lists are folded by plain replacement, inside out, so a text of any length is checked in a few
+    passes: points into a line ``(t)``, lines into ``r``, rings into a polygon ``(r)``, and so on.
+    """
+
+    def fold(text: Column, *steps: tuple[str, str]) -> Column:
+        for old, new in steps:
+            text = F.replace(text, F.lit(old), F.lit(new))
+        return text
+
+    lines = [(",t", ""), ("(t)", "r")]
+    rings = fold(skeleton, *lines, (",r", ""))
+    return (
+        F.when(kind == "POINT", skeleton == "(t)")
+        .when(kind == "LINESTRING", fold(skeleton, (",t", "")) == "(t)")
+        .when(kind == "POLYGON", rings == "(r)")
+        .when(kind == "MULTIPOINT", (skeleton == "(t)") | (fold(skeleton, ("(t)", "t"), ("E", "t"), (",t", "")) == "(t)"))
+        .when(kind == "MULTILINESTRING", fold(skeleton, *lines, ("E", "r"), (",r", "")) == "(r)")
+        .when(kind == "MULTIPOLYGON", fold(rings, ("(r)", "p"), ("E", "p"), (",p", "")) == "(p)")
+        .otherwise(F.length(F.replace(skeleton, F.lit("("), F.lit(""))) == F.length(F.replace(skeleton, F.lit(")"), F.lit(""))))
+    )
+
+
 # Fixed value: a decimal number.
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
@@ -54,7 +85,13 @@ def parse_wkt(df: DataFrame, id_col: str, geom_col: str) -> DataFrame:
         },
     )
     known = F.col("_kind").isin(*KNOWN_TYPES) & (F.col("_body").isNull() | F.col("_body").endswith(")"))
-    marked = computed(head, {"_known": F.coalesce(known, F.lit(False)), "_marked": F.when(known, _marked_body())})
+    points = F.regexp_replace(F.regexp_replace(F.regexp_replace("_body", NUMBER, "n"), r"\s+", " "), r"n(?: n)*+", "t")
+    skeleton = F.regexp_replace(F.regexp_replace(points, "(?i)EMPTY", "E"), " ", "")
+    head = computed(head, {"_known": F.coalesce(known, F.lit(False)), "_skeleton": skeleton})
+    flat = F.col("_kind").isin(*FLAT_TYPES)
+    head = computed(head, {"_nested": F.coalesce(_well_nested(F.col("_skeleton"), F.col("_kind")), F.lit(True))})
+    head = head.withColumn("_body", F.when(flat, _without_empty(F.col("_body"))).otherwise(F.col("_body")))
+    marked = computed(head, {"_marked": F.when(F.col("_known"), _marked_body())})
     # Every number becomes "n"; what is left must be separators and 2 to 4 numbers per point.
     shape = F.regexp_replace(F.regexp_replace("_marked", NUMBER, "n"), r"\s+", " ")
     shaped = computed(marked, {"_shape": shape})
@@ -64,8 +101,14 @@ def parse_wkt(df: DataFrame, id_col: str, geom_col: str) -> DataFrame:
         | F.col("_shape").rlike(r"(?:^|[|;,]) ?n? ?(?:[|;,]|$)")
         | F.col("_shape").contains("n n n n n")
     )
+    # One dimension for all points, and the one that the mark announces.
+    longest = F.regexp_replace(F.regexp_replace(F.regexp_replace("_shape", "n n n n", "4"), "n n n", "3"), "n n", "2")
+    per_point = F.array_distinct(F.filter(F.split(F.regexp_replace(longest, "[^234]+", ","), ","), lambda x: x != ""))
+    announced = F.when(F.col("_mark") == "ZM", 4).when(F.col("_mark") != "", 3)
+    bad = bad | (F.size(per_point) > 1) | F.coalesce(F.get(per_point, 0).cast("int") != announced, F.lit(False))
     known, null = F.col("_known"), F.col("_text").isNull()
     error = F.when(null, None).when(~known, "not_wkt").when(F.coalesce(bad, F.lit(False)), "bad_coordinate")
+    error = error.when(~F.col("_nested"), "not_wkt")
     judged = computed(shaped, {"parse_error": error})
     sound = F.col("parse_error").isNull() & ~null
     first = F.regexp_extract("_shape", r"^ ?([n ]+)", 1)
@@ -115,12 +158,23 @@ def explode_wkt(df: DataFrame, id_col: str, geom_col: str) -> tuple[DataFrame, D
     return features, vertices
 
 
+def _plain(value: Column) -> Column:
+    """A double in decimal notation: large and small ones would print with an exponent."""
+    text = value.cast("string")
+    big = value.cast("decimal(38,15)").cast("string")
+    small = value.cast("decimal(38,30)").cast("string")
+    decimal = F.when(F.abs(value).between(1e7, 1e22), big).when(F.abs(value).between(1e-25, 1e-3), small).otherwise(text)
+    return F.regexp_replace(F.regexp_replace(F.coalesce(decimal, text), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
 def assemble_wkt(features: DataFrame, vertices: DataFrame) -> DataFrame:
     """Text of each feature. Coordinates are joined in order inside pieces of a ring, pieces into
     rings, rings into parts, parts into the feature, so sorting is always over few values; only
     the finished text, which is one value by definition, ends up in one row."""
     ordinates = [c for c in ("x", "y", "z", "m") if c in vertices.columns]
-    number = F.concat_ws(" ", *(F.regexp_replace(F.col(c).cast("string"), r"\.0$", "") for c in ordinates))
+    number = F.concat_ws(" ", *(_plain(F.col(c)) for c in ordinates))
+    m_only = F.max(F.col("z").isNull() & F.col("m").isNotNull()) if {"z", "m"} <= set(ordinates) else F.max(F.lit(False))
+    measured = vertices.groupBy("feature_id").agg(m_only.alias("_m_only"))
 
     def joined(df: DataFrame, keys: list[str], order: str, text: str, sep: str) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
@@ -132,7 +186,8 @@ def assemble_wkt(features: DataFrame, vertices: DataFrame) -> DataFrame:
     parts = joined(rings, ["feature_id", "part"], "ring", "text", "), (")
     whole = joined(parts, ["feature_id"], "part", "text", "|")
     kind = F.col("geom_type")
-    mark = F.when(F.col("coord_dim") == 4, " ZM").when(F.col("coord_dim") == 3, " Z").otherwise("")
+    three = F.when(F.col("_m_only"), " M").otherwise(" Z")
+    mark = F.when(F.col("coord_dim") == 4, " ZM").when(F.col("coord_dim") == 3, three).otherwise("")
     body = (
         F.when(kind.isin("POLYGON"), F.concat(F.lit("(("), "text", F.lit("))")))
         .when(kind.isin("MULTILINESTRING", "MULTIPOINT"), F.concat(F.lit("(("), F.replace("text", F.lit("|"), F.lit("), (")), F.lit("))")))
@@ -140,4 +195,4 @@ def assemble_wkt(features: DataFrame, vertices: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("("), "text", F.lit(")")))
     )
     text = F.when(F.col("text").isNull(), F.concat(kind, mark, F.lit(" EMPTY"))).otherwise(F.concat(kind, mark, body))
-    return features.join(whole, "feature_id", "left").select("feature_id", F.when(kind.isin(*FLAT_TYPES), text).alias("wkt"))
+    return features.join(whole.join(measured, "feature_id"), "feature_id", "left").select("feature_id", F.when(kind.isin(*FLAT_TYPES), text).alias("wkt"))

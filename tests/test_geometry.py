@@ -171,3 +171,55 @@ def test_nonfinite(spark):
     vertices = spark.createDataFrame(rows, "feature_id long, part int, ring int, idx int, x double, y double")
     features = spark.createDataFrame([(1, "POLYGON")], "feature_id long, geom_type string")
     assert geometry.explain_geometry(features, vertices).first().reason_code == "nonfinite_coordinate"
+
+
+WELL_FORMED = [
+    "POINT(1 2)",
+    "POINT M(1 2 3)",
+    "POINT ZM (1 2 3 4)",
+    "POINT Z(10000000 0.0001 3.25)",
+    "LINESTRING(0 0, 1 1)",
+    "POLYGON((0 0, 1 0, 1 1, 0 0))",
+    "MULTIPOINT(1 2, 3 4)",
+    "MULTIPOINT((1 2), (3 4))",
+    "MULTIPOINT(1 2)",
+    "MULTIPOINT((1 2))",
+    "MULTIPOINT(EMPTY, (1 2))",
+    "MULTILINESTRING((0 0,1 1),EMPTY)",
+    "MULTIPOLYGON(EMPTY,((0 0,1 0,1 1,0 0)))",
+    "MULTIPOLYGON(((0 0, 1 0, 1 1, 0 0),(0 0, 1 0, 1 1, 0 0)),((0 0, 1 0, 1 1, 0 0)))",
+    "MULTIPOLYGON(EMPTY)",
+    "POINT EMPTY",
+    "GEOMETRYCOLLECTION(POINT(1 2), LINESTRING(0 0, 1 1))",
+    "COMPOUNDCURVE((0 0, 1 1),CIRCULARSTRING(1 1, 2 2, 3 1))",
+    " SRID=3006; point ( 1  2 ) ",
+]
+MALFORMED = [
+    "POLYGON((0 0, 1 0, 1 1, 0 0)",
+    "POLYGON(0 0, 1 0, 1 1, 0 0)",
+    "LINESTRING((0 0),(1 1))",
+    "LINESTRING(0 0, 1 1 1)",
+    "POINT(1 2)(3 4)",
+    "POINT((1 2))",
+    "POINT(1 2, 3 4)",
+    "POINT Z(1 2)",
+    "MULTIPOLYGON((0 0, 1 0, 1 1, 0 0))",
+    "POINT(1)",
+    "POINT(a b)",
+    "LINESTRING(0 0,,1 1)",
+    "POLYGON((0 0, 1 0, 1 1, 0 0),)",
+]
+
+
+def test_brackets_dimensions_and_empty_members(spark):
+    df = spark.createDataFrame(list(enumerate(WELL_FORMED + MALFORMED)), "id long, geom string")
+    features, vertices = explode_wkt(df, "id", "geom")
+    errors = {r.feature_id: r.parse_error for r in features.collect()}
+    assert [x for i, x in enumerate(WELL_FORMED) if errors[i]] == []
+    assert [x for i, x in enumerate(MALFORMED, len(WELL_FORMED)) if not errors[i]] == []
+    text = {r.feature_id: r.wkt for r in assemble_wkt(features, vertices).collect()}
+    back = {WELL_FORMED[i]: text[i] for i in range(len(WELL_FORMED))}
+    for same in ("POINT M(1 2 3)", "POINT Z(10000000 0.0001 3.25)", "LINESTRING(0 0, 1 1)", "POINT EMPTY"):
+        assert back[same] == same
+    assert back["MULTIPOLYGON(EMPTY,((0 0,1 0,1 1,0 0)))"] == "MULTIPOLYGON(((0 0, 1 0, 1 1, 0 0)))"
+    assert back["MULTIPOLYGON(EMPTY)"] == "MULTIPOLYGON EMPTY"
