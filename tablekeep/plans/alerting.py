@@ -69,7 +69,7 @@ def _(fx):
 
 @query("t03_suppress_alerts_stream", GREEDY)
 def _(fx):
-    return drained(stateful.suppress_alerts_stream(stream_of(fx, "alerts")))
+    return drained(stateful.suppress_alerts_stream(stream_of(fx, "alerts"))).filter("NOT is_late").drop("is_late")
 
 
 @query("t02_lifecycle_stream", f"""

@@ -26,6 +26,7 @@ from tablekeep.operators.registers import (
     _clears,
     _creates_suffixed,
     drop_placeholders,
+    governed,
 )
 
 
@@ -34,20 +35,24 @@ def _in_order(batches: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
 
 
 def suppress_alerts_stream(alerts: DataFrame, cooldown_seconds: int = 300) -> DataFrame:
-    """T3 as a stream over ``alerts(seq, ts, subject)``: the alerts that go out."""
+    """T3 as a stream over ``alerts(seq, ts, subject)``: the alerts that go out, and with ``is_late``
+    those that came behind what was already decided for their subject."""
     cooldown = cooldown_seconds * MICROS
     keyed = alerts.select("subject", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
 
     def step(key, batches, state: GroupState):
-        rows = _in_order(batches, "t", "seq").drop_duplicates("t")
-        last = state.get[0] if state.exists else None
-        sent, last = fold_alerts((int(t) for t in rows["t"]), last, cooldown)
-        state.update((last,))
-        yield rows[rows["t"].isin(sent)].assign(subject=key[0])[["subject", "seq", "t"]]
+        rows = _in_order(batches, "t", "seq")
+        last, seen = state.get if state.exists else (None, None)
+        late = rows["t"] < seen if seen is not None else pd.Series(False, rows.index)
+        timely = rows[~late & (rows["t"] != seen)].drop_duplicates("t")
+        sent, last = fold_alerts((int(t) for t in timely["t"]), last, cooldown)
+        state.update((last, max([int(rows["t"].max())] + ([seen] if seen is not None else []))))
+        out = pd.concat([timely[timely["t"].isin(sent)].assign(is_late=False), rows[late].assign(is_late=True)])
+        yield out.assign(subject=key[0])[["subject", "seq", "t", "is_late"]]
 
     return keyed.groupBy("subject").applyInPandasWithState(
-        step, "subject string, seq long, t long", "last_sent long", "append", GroupStateTimeout.NoTimeout
-    ).select("seq", F.timestamp_micros("t").alias("ts"), "subject")
+        step, "subject string, seq long, t long, is_late boolean", "last_sent long, seen long", "append", GroupStateTimeout.NoTimeout
+    ).select("seq", F.timestamp_micros("t").alias("ts"), "subject", "is_late")
 
 
 def pending_monitor(ddl_stream: DataFrame, cfg: Config, threshold: str = "2 hours", lateness: str = "0 seconds") -> DataFrame:
@@ -59,7 +64,8 @@ def pending_monitor(ddl_stream: DataFrame, cfg: Config, threshold: str = "2 hour
     limit = int(pd.Timedelta(threshold).total_seconds() * MICROS)
     mark = F.when(_clears(), "clear").when(_creates_suffixed() & _by_system_user(cfg), "set")
     marked = (
-        ddl_stream.withWatermark("ts", lateness)
+        ddl_stream.filter(governed())
+        .withWatermark("ts", lateness)
         .withColumn("mark", mark)
         .filter("mark IS NOT NULL")
         .select(*KEY, "seq", "ts", F.unix_micros(F.col("ts")).alias("t"), "mark")
@@ -104,61 +110,57 @@ def pending_monitor(ddl_stream: DataFrame, cfg: Config, threshold: str = "2 hour
     return found.withColumns({"since": F.timestamp_micros("since"), "at": F.timestamp_micros("at")})
 
 
+# Row images travel as JSON text: exact for 64-bit numbers with NULLs, and open to any column name.
+IMAGE_OPTIONS = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def history_stream(feed: DataFrame, key: str, data: list[str]) -> DataFrame:
     """T5: history rows from a live feed (``key, ts, seq, op, changed_by`` + data).
 
     State per key: does the row exist, its image, its creation and last modification, and how far
     it has been processed. An event behind that point comes out with ``is_late`` and no effect.
     """
-    kinds = {c: feed.schema[c].dataType for c in data}
-    state_type = T.StructType(
-        [T.StructField("live", T.BooleanType())]
-        + [T.StructField(c, kinds[c]) for c in data]
-        + [T.StructField(n, t) for n, t in (
-            ("born", T.LongType()), ("born_by", T.StringType()), ("changed", T.LongType()), ("changed_by", T.StringType()),
-            ("done_t", T.LongType()), ("done_seq", T.LongType()),
-        )]
-    )
-    out_type = T.StructType(
-        [T.StructField("h_type", T.StringType()), T.StructField("t", T.LongType()), T.StructField("h_by", T.StringType()),
-         T.StructField(key, feed.schema[key].dataType), T.StructField("seq", T.LongType())]
-        + [T.StructField(c, kinds[c]) for c in data]
-        + [T.StructField(n, t) for n, t in (
-            ("born", T.LongType()), ("born_by", T.StringType()), ("changed", T.LongType()), ("changed_by", T.StringType()),
-            ("is_late", T.BooleanType()),
-        )]
-    )
-    names = out_type.fieldNames()
-    width = len(data)
+    stamps = "born long, born_by string, changed long, changed_by string"
+    key_type = feed.schema[key].dataType.simpleString()
+    out_type = f"h_type string, t long, h_by string, k {key_type}, seq long, image string, {stamps}, is_late boolean"
+    names = T._parse_datatype_string(out_type).fieldNames()
 
     def step(k, batches, state: GroupState):
-        live, *rest = state.get if state.exists else (False, *([None] * (width + 6)))
-        image, (born, born_by, changed, changed_by, done_t, done_seq) = tuple(rest[:width]), rest[width:]
+        state_ = state.get if state.exists else (False, *([None] * 7))
+        live, image, born, born_by, changed, changed_by, done_t, done_seq = state_
         out = []
-        for row in _in_order(batches, "t", "seq").itertuples(index=False):
-            t, seq, now = int(row.t), int(row.seq), tuple(getattr(row, c) for c in data)
+        for t, seq, op, by, now in _in_order(batches, "t", "seq")[["t", "seq", "op", "by", "image"]].itertuples(index=False):
+            t, seq = int(t), int(seq)
             if done_t is not None and (t, seq) <= (done_t, done_seq):
-                out.append((row.op, t, row.by, k[0], seq, *now, None, None, None, None, True))
+                out.append((op, t, by, k[0], seq, now, None, None, None, None, True))
                 continue
             done_t, done_seq = t, seq
-            if row.op == "I" and not live:
-                live, image, born, born_by, changed, changed_by = True, now, t, row.by, None, None
-            elif row.op == "U" and live:
-                out.append(("U", t, row.by, k[0], seq, *image, born, born_by, changed, changed_by, False))
-                image, changed, changed_by = now, t, row.by
-            elif row.op == "D" and live:
-                out.append(("D", t, row.by, k[0], seq, *image, born, born_by, t, row.by, False))
+            if op == "I" and not live:
+                live, image, born, born_by, changed, changed_by = True, now, t, by, None, None
+            elif op == "U" and live:
+                out.append(("U", t, by, k[0], seq, image, born, born_by, changed, changed_by, False))
+                image, changed, changed_by = now, t, by
+            elif op == "D" and live:
+                out.append(("D", t, by, k[0], seq, image, born, born_by, t, by, False))
                 live = False
-        state.update((live, *image, born, born_by, changed, changed_by, done_t, done_seq))
+        state.update((live, image, born, born_by, changed, changed_by, done_t, done_seq))
         frame = pd.DataFrame(out, columns=names)
         for c in ("born", "changed", "t", "seq"):
             frame[c] = frame[c].astype("Int64")
         yield frame
 
-    rows = feed.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "seq", "op", F.col("changed_by").alias("by"), *data)
-    history = rows.groupBy(key).applyInPandasWithState(step, out_type, state_type, "append", GroupStateTimeout.NoTimeout)
-    return history.select(
-        "h_type", F.timestamp_micros("t").alias("h_ts"), "h_by", key, "seq", *data,
+    image = F.to_json(F.struct(*data), IMAGE_OPTIONS).alias("image")
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
+    rows = feed.select(F.col(key).alias("k"), micros, "seq", "op", F.col("changed_by").alias("by"), image)
+    state_type = f"live boolean, image string, {stamps}, done_t long, done_seq long"
+    history = rows.groupBy("k").applyInPandasWithState(step, out_type, state_type, "append", GroupStateTimeout.NoTimeout)
+    back = F.from_json("image", feed.select(*data).schema, IMAGE_OPTIONS)
+    return history.withColumn("image", back).select(
+        "h_type", F.timestamp_micros("t").alias("h_ts"), "h_by", F.col("k").alias(key), "seq", *(F.col("image")[c].alias(c) for c in data),
         F.timestamp_micros("born").alias("skapad_tidpunkt"), F.col("born_by").alias("skapad_av"),
         F.timestamp_micros("changed").alias("andrad_tidpunkt"), F.col("changed_by").alias("andrad_av"), "is_late",
     )

@@ -78,3 +78,21 @@ def test_pending_timer_fires_without_new_rows_of_the_table(spark):
     drain(found.writeStream.format("parquet").option("path", path).outputMode("append"), spark)
     got = sorted((r.table_name, r.event, r.at) for r in spark.read.parquet(path).collect())
     assert got == [("slow_p", "cleared", at(6)), ("slow_p", "overdue", at(2))]
+
+
+def test_late_alerts_are_marked(spark):
+    schema = "seq long, ts timestamp, subject string"
+    found = stateful.suppress_alerts_stream(stream(spark, [[(1, at(5), "a")], [(2, at(0), "a"), (3, at(6), "a")]], schema))
+    path = scratch_path(spark, "alerts")
+    drain(found.writeStream.format("parquet").option("path", path).outputMode("append"), spark)
+    assert sorted((r.seq, r.is_late) for r in spark.read.parquet(path).collect()) == [(1, False), (2, True), (3, False)]
+
+
+def test_images_are_exact_under_any_name(spark):
+    schema = "gid long, ts timestamp, seq long, op string, changed_by string, _x long, t timestamp_ntz, image decimal(38,10)"
+    big, moment = 9007199254740993, dt.datetime(2024, 1, 1, 1, 2, 3, 456789)
+    rows = [[(1, at(1), 1, "I", "a", big, moment, None), (2, at(1), 2, "I", "a", None, None, None)], [(1, at(2), 3, "U", "b", 1, None, None), (2, at(2), 4, "D", "b", None, None, None)]]
+    found = stateful.history_stream(stream(spark, rows, schema), "gid", ["_x", "t", "image"])
+    path = scratch_path(spark, "exact")
+    drain(found.writeStream.format("parquet").option("path", path).outputMode("append"), spark)
+    assert sorted((r.gid, r.h_type, r["_x"], r.t) for r in spark.read.parquet(path).select("gid", "h_type", "_x", "t").collect()) == [(1, "U", big, moment), (2, "D", None, None)]
