@@ -2,11 +2,12 @@
 
 Documents with the same shingle set form a class, and classes are compared. Each class has MinHash
 minima; runs of minima make band keys, and of every minimum only the low bits are kept, packed in
-bit planes. In a bucket of classes with one band key, every class is first paired with the smallest
-one (a star, so a bucket of any size gives no more pairs than members). Pairs whose
-collision-corrected estimate, counted in bits, can reach the threshold are confirmed on the full
-sets. Buckets that still hold several components are then searched further: pairs between
-different components only, from ever larger parts of the bucket, until every such pair is tested.
+bit planes. Every class is first paired with one smaller class of its buckets (stars, so a group of
+any size gives no more pairs than members). Pairs whose collision-corrected estimate, counted in
+bits, can reach the threshold are confirmed on the full sets; pairs with too many shingles that no
+other candidate has are known to fail before. Buckets that still hold several
+components are then searched further: pairs between different components only, from ever larger
+parts of the bucket, until every such pair is tested.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.llm.components import components
+from tablekeep.llm.components import components, compose, forest_roots, rename
 from tablekeep.llm.words import mix, run_hashes, slices, take, word_hashes
 from tablekeep.session import materialize
 
-LANES = 256  # minima per set
-ROWS = 6  # minima per band: a pair at 0.8 is missed by all 42 bands with probability 3e-6
-BANDS = LANES // ROWS
+LANES = 512  # minima per set; all of them estimate, the first BANDS * ROWS make bands
+ROWS, BANDS = 6, 42  # a pair at 0.8 is missed by all bands with probability 3e-6
 BITS = 2
 SIGMAS = 5  # how far below the threshold an estimate may be
 BLOCK = 1 << 16  # shingles hashed at once
@@ -135,49 +135,78 @@ def _node_sets(length: int):
 
 
 class _Search:
-    """Tested pairs, confirmed links and components of one run."""
+    """Confirmed links of one run, as the components they make: (node, root) for every node but the roots."""
 
     def __init__(self, classes: DataFrame, sets: DataFrame, threshold: float):
         self.classes, self.sets, self.threshold = classes, sets, threshold
-        self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that can reach the threshold by size and by estimate, each once."""
-        sketch = self.classes.select("node", "n", "planes")
-        a = sketch.toDF("a", "na", "pa")
-        b = sketch.toDF("b", "nb", "pb")
-        joined = pairs.distinct().join(a, "a").join(b, "b")
-        ratio = F.least("na", "nb") >= self.threshold * F.greatest("na", "nb") - 1e-9
-        kept = joined.filter(ratio).withColumn("estimate", similarity_estimate("pa", "pb"))
-        return materialize(kept.filter(F.col("estimate") >= estimate_floor(self.threshold)).select("a", "b", "na", "nb", "estimate"), "likely")
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Adds the links among the pairs, compared on full sets, and renews the components."""
+        """Pairs (a, b) that can reach the threshold."""
+        sketch = self.classes.select("node", "n", "common", "planes")
+        joined = pairs.join(sketch.toDF("a", "na", "ca", "pa"), "a").join(sketch.toDF("b", "nb", "cb", "pb"), "b")
+        return joined.filter(self.can_reach("na", "nb", "ca", "cb", "pa", "pb")).select("a", "b", "na", "nb")
+
+    def can_reach(self, na: str, nb: str, ca: str, cb: str, pa: str, pb: str) -> F.Column:
+        """By the bound that sizes and shingles of a single class set, which is sure, and by the estimate."""
+        shared = F.least(ca, cb)
+        bound = shared >= self.threshold * (F.col(na) + F.col(nb) - shared) - 1e-9
+        return bound & (similarity_estimate(pa, pb) >= estimate_floor(self.threshold))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are links, compared on full sets."""
         a = self.sets.toDF("a", "sa")
         b = self.sets.toDF("b", "sb")
         shared = F.size(F.array_intersect("sa", "sb"))
         exact = pairs.join(b, "b").join(a, "a").withColumn("shared", shared)
         union = F.col("na") + F.col("nb") - F.col("shared")
-        found = materialize(exact.filter(F.col("shared") >= self.threshold * union - 1e-9).select("a", "b"), "near-links")
-        self.links = found if self.links is None else self.links.union(found)
-        self.roots = components(self.links)
-
-    def rooted(self, nodes: DataFrame, name: str, root: str) -> DataFrame:
-        return nodes.join(self.roots.toDF(name, "r"), name, "left").withColumn(root, F.coalesce("r", name)).drop("r")
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose classes are not in one component yet."""
-        return self.rooted(self.rooted(pairs, "a", "ra"), "b", "rb").filter("ra <> rb").drop("ra", "rb")
-
-    def round(self, pairs: DataFrame) -> None:
-        """Tests the pairs: first the likeliest one of each class, then what is still apart."""
-        likely = self.likely(pairs)
-        best = likely.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), "estimate").alias("x")).select("b", "x.*")
-        self.confirm(best)
-        rest = materialize(self.apart(likely.join(best, ["a", "b"], "left_anti")), "apart")
-        if not rest.isEmpty():
-            self.confirm(rest)
+        return exact.filter(F.col("shared") >= self.threshold * union - 1e-9).select("a", "b")
+
+    def rooted(self, nodes: DataFrame) -> DataFrame:
+        return nodes.join(self.roots.toDF("node", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+
+    def stars(self, members: DataFrame) -> None:
+        """Tests every class against one smaller class: the pivot it shares most buckets with."""
+        pivots = materialize(members.groupBy("key").agg(F.min("node").alias("pivot")), "pivots")
+        shared = members.select("key", "node").join(pivots, "key").filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
+        best = shared.groupBy("node").agg(F.max_by("pivot", "n").alias("a")).withColumnRenamed("node", "b")
+        self.roots = forest_roots(self.links(self.likely(best)).toDF("root", "node"))
+
+    def rest(self, members: DataFrame) -> None:
+        """Tests what the stars left: pairs of different components that meet in a bucket.
+
+        First against one class of the bucket's component of smallest root, most likely the largest.
+        Then in each round one class of a pair is among about ``part`` of its bucket, and the
+        components found lessen the pairs of the next round, with eight times the part. When no
+        part is left out, every pair has been tested or is within one component.
+        """
+        sketch = self.classes.select("node", "n", "common", "planes", "bands")
+        last, part = 0, 0
+        while True:
+            inside = materialize(self.rooted(members.select("key", "node")), "inside")
+            mixed = inside.groupBy("key").agg(F.count("*").alias("left"), F.max("root").alias("high"), F.min(F.struct("root", F.xxhash64("node").alias("h"), "node")).alias("pivot"))
+            mixed = mixed.filter((F.col("pivot.root") != F.col("high")) & (F.col("left") > last))
+            mixed = materialize(mixed.select("key", "left", F.col("pivot.node").alias("pivot")), "mixed")
+            if mixed.isEmpty():
+                return
+            draw = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)
+            drawn = (draw * F.col("left") < part if part else F.col("node") == F.col("pivot")).alias("drawn")
+            some = materialize(inside.join(mixed, "key").select("key", "node", "root", drawn).join(sketch, "node"), "open")
+            x = some.filter("drawn").select(*(F.col(c).alias(f"x_{c}") for c in ("key", "node", "root", "n", "common", "planes", "bands")))
+            agreed = F.zip_with("x_bands", "bands", lambda p, q: p == q)
+            meet = (
+                (F.col("key") == F.col("x_key"))
+                & (F.col("root") != F.col("x_root"))
+                & ((F.col("x_node") < F.col("node")) | ~F.col("drawn"))
+                & self.can_reach("x_n", "n", "x_common", "common", "x_planes", "planes")
+                # In the first band they share, so that a pair comes once.
+                & (F.element_at("bands", F.array_position(agreed, F.lit(True)).cast("int")) == F.col("key"))
+            )
+            pairs = some.join(x, meet).select(F.col("x_node").alias("a"), F.col("node").alias("b"), F.col("x_n").alias("na"), F.col("n").alias("nb"))
+            links = materialize(rename(self.links(pairs), self.roots).toDF("a", "b"), "near-links")
+            if not links.isEmpty():
+                self.roots = compose(self.roots, components(links))
+            last, part = part, part * 8 or 8
 
 
 def near_duplicates(
@@ -204,7 +233,7 @@ def near_duplicates(
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
 
     keys = classes.select("node", F.explode("bands").alias("key"))
-    buckets = materialize(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1"), "buckets")
+    buckets = materialize(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "buckets")
     members = materialize(keys.join(buckets, "key"), "bucket-members")
     needed = members.select("node").distinct().join(classes.select("node", "first.doc_id", "first.fp"), "node")
     needed = materialize(needed, "needed")
@@ -212,25 +241,23 @@ def near_duplicates(
     texts = keyed.join(needed.hint("shuffle_hash"), same).select("node", "text")
     sets = materialize(texts.mapInArrow(_node_sets(length), "node long, shingles array<long>").dropDuplicates(["node"]), "node-sets")
 
-    search = _Search(classes, sets, threshold)
-    search.round(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    part = 64
-    while True:
-        # Buckets whose members but the pivot are of several components; there, pairs of which one
-        # class is among about ``part`` per bucket. Smaller parts were searched in earlier rounds.
-        inside = materialize(search.rooted(members.filter("node <> pivot AND size > 2"), "node", "root"), "inside")
-        mixed = inside.groupBy("key").agg(F.count("*").alias("left"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        mixed = materialize(mixed.filter(F.col("left") > (0 if part == 64 else part / 8)).select("key", "left"), "mixed")
-        if mixed.isEmpty():
-            break
-        draw = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)
-        open_ = materialize(inside.join(mixed, "key").select("key", "node", "root", (draw * F.col("left") < part).alias("drawn")), "open")
-        a = open_.filter("drawn").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-        pairs = open_.join(a, "key").filter("root <> rx AND (x < node OR NOT drawn)")
-        search.round(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
-        part *= 8
-
-    rooted = materialize(search.rooted(classes.select("node", "n", "f1", "f2", "first"), "node", "root"), "rooted")
+    # How many of a class's shingles another candidate has at all: no link can share more.
+    shingles = sets.select("node", F.explode("shingles").alias("s"))
+    alone = shingles.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    candidates = classes.select("node", "n", "planes", "bands").join(needed.select("node"), "node")
+    sized = candidates.join(materialize(alone, "alone"), "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    candidates = materialize(sized.drop("alone"), "candidates")
+    # In a bucket, a class meets none smaller than the smallest; where even that bound says no, it leaves.
+    placed = materialize(members.join(candidates.select("node", "n", "common"), "node"), "placed-members")
+    smallest = materialize(placed.groupBy("key").agg(F.min("n").alias("least")), "bucket-sizes")
+    other = F.greatest(F.col("least"), threshold * F.col("n"))
+    able = F.col("common") >= threshold * (F.col("n") + other - F.col("common")) - 1e-9
+    members = materialize(placed.join(smallest, "key").filter(able).select("key", "node"), "able-members")
+
+    search = _Search(candidates, sets, threshold)
+    search.stars(members)
+    search.rest(members)
+    rooted = materialize(search.rooted(classes.select("node", "n", "f1", "f2", "first")), "rooted")
     named = materialize(rooted.groupBy("root").agg(F.min("first").alias("lowest")), "component-ids")
     of_class = materialize(rooted.join(named, "root").select("n", "f1", "f2", "lowest"), "class-components")
     out = signed.select("doc_id", "fp", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
