@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeep.llm import bpe, contamination, exact, html, lines, minhash, quality, secrets, substrings
+from tablekeep.llm import bpe, contamination, exact, html, licenses, lines, minhash, quality, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -116,6 +116,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_licence_notices")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licence_notices(table(spark, folder, "documents"))
+
+
 @query(
     "op8_benchmark_containment",
     r"""
