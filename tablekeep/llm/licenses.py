@@ -8,7 +8,7 @@ counts only if a template of the family confirms it by shared n-grams.
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -69,12 +69,12 @@ def fit(rows: list[tuple[list[str], int]], steps: int = 300, ridge: float = 1e-3
 
 
 def train(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[dict[str, list[float]], list[float], dict[str, list[list[str]]]]:
-    """Model and templates. Ordinary paragraphs are the distinct lines without a cue of smallest hash."""
+    """Model and templates. Ordinary paragraphs are the lines without a cue of smallest hash."""
     spark = docs.sparkSession
     notices = [(t, FAMILIES.index(f)) for f, texts in NOTICES.items() for t in texts]
     marked = spark.createDataFrame(notices, "text string, c int").select(ngrams(F.col("text")).alias("g"), "c").collect()
     lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).filter((F.col("line") != "") & ~F.col("line").rlike(CUES))
-    some = lines.select(F.xxhash64("line").alias("h"), ngrams(F.col("line")).alias("g")).orderBy("h").limit(max_ordinary).collect()
+    some = lines.orderBy(F.xxhash64("line")).limit(max_ordinary).select(ngrams(F.col("line")).alias("g")).collect()
     rows = [(r.g, r.c) for r in marked] + [(r.g, 0) for r in some]
     templates: dict[str, list[list[str]]] = {}
     for r in marked:
@@ -92,23 +92,27 @@ def licence_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = take(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     weights, bias, templates = train(docs)
-    table = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")
-    own = {f: [F.array(*[F.lit(g) for g in t]) for t in ts] for f, ts in templates.items()}
-
-    def classify(grams: Column) -> Column:
-        hits = F.filter(F.transform(grams, lambda g: F.try_element_at(table, g)), lambda h: h.isNotNull())
-        scores = [_sum(hits, k, b) for k, b in enumerate(bias)]
-        best = F.greatest(*scores)
-        family = F.lit("unknown")
-        for name, score in list(zip(FAMILIES, scores))[:0:-1]:
-            share = [F.size(F.array_intersect(t, grams)) / F.size(t) for t in own[name]]
-            confirmed = (F.greatest(*share) if len(share) > 1 else share[0]) >= CONFIRM
-            family = F.when((score == best) & (score > scores[0]), F.when(confirmed, name).otherwise("unknown")).otherwise(family)
-        return family
+    vocabulary = F.array(*[F.lit(g) for g in weights])
+    table = F.array(*[_numbers(w) for w in weights.values()])
+    none = F.array().cast("array<array<string>>")
+    known = F.array(*[F.array(*[F.array(*[F.lit(g) for g in t]) for t in templates[f]]) if f in templates else none for f in FAMILIES])
+    names = F.array(*[F.lit(f) for f in FAMILIES])
+
+    def scores(grams: Column) -> Column:
+        places = F.filter(F.transform(grams, lambda g: F.array_position(vocabulary, g)), lambda p: p > 0)
+        return F.aggregate(places, _numbers(bias), lambda s, p: F.zip_with(s, F.element_at(table, p.cast("int")), lambda x, y: x + y))
+
+    def judge(grams: Column, best: Column) -> Column:
+        confirmed = F.exists(F.element_at(known, best), lambda t: F.size(F.array_intersect(t, grams)) >= CONFIRM * F.size(t))
+        return F.when((best > 1) & confirmed, F.element_at(names, best)).otherwise("unknown")
+
+    def classify(line: Column) -> Column:
+        first = lambda s: F.array_position(s, F.array_max(s)).cast("int")
+        return _let(ngrams(line), lambda g: _let(scores(g), lambda s: _let(first(s), lambda best: judge(g, best))))
 
     lines = F.split("text", "\n")
     cued = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))), lambda p: p["line"].rlike(CUES))
-    judged = F.transform(cued, lambda p: F.struct(p["paragraph"].alias("paragraph"), classify(ngrams(p["line"])).alias("family")))
+    judged = F.transform(cued, lambda p: F.struct(p["paragraph"].alias("paragraph"), classify(p["line"]).alias("family")))
     scanned = docs.select(
         "doc_id",
         F.size(lines).cast("bigint").alias("n_paragraphs"),
@@ -120,5 +124,10 @@ def licence_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return scanned.select("doc_id", "n_paragraphs", F.size("notices").cast("bigint").alias("n_notices"), families.alias("families"), "notices")
 
 
-def _sum(hits: Column, k: int, bias: float) -> Column:
-    return F.aggregate(hits, F.lit(float(bias)), lambda s, h: s + h[k])
+def _numbers(values: list[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.transform(F.array(value), use)[0]
