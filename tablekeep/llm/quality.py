@@ -1,9 +1,9 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
 A document's score is linear in features of its whole text. The weights are learned from preference
-pairs (a good document over a bad one) by logistic loss on the difference of their features; the
-score quantile at the share of bad documents becomes the threshold, which the reported score maps
-to a fixed number. Features are computed where the texts lie; only they travel.
+pairs (a good document over a bad one) by logistic loss on the difference of their features, on a
+bounded sample; the score quantile at the share of bad documents, both taken over all labelled
+documents, becomes the threshold, which the reported score maps to a fixed number. Features are computed where the texts lie; only they travel.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from tablekeep.session import materialize
 
 MAX_LABELLED = 20_000  # labelled documents that the weights are fitted on, at most, of each label half
 PAIRS = 60_000  # preference pairs
+BINS = 4096  # of a histogram that an order statistic is looked up in
 RIDGE = 1e-3
 CUT = 0.3  # the reported score at the threshold
 FEATURES = 15
@@ -108,22 +109,25 @@ class Model:
 
     def score(self, x: Column) -> Column:
         """0 to 1; CUT where the ranking score is at the threshold."""
-        terms = [F.lit(float(w)) * x[i] for i, w in enumerate(self.weights)]
-        rank = F.lit(-self.threshold)
-        for t in terms:
-            rank = rank + t
+        rank = ranking(self.weights, x) - self.threshold
         return 1 / (1 + F.exp(-(rank + float(np.log(CUT / (1 - CUT))))))
 
 
-def fit(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE) -> Model:
+def ranking(weights: np.ndarray, x: Column) -> Column:
+    """The ranking score, linear in the features."""
+    terms = [F.lit(float(w)) * x[i] for i, w in enumerate(weights)]
+    return sum(terms[1:], terms[0])
+
+
+def fit(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE) -> np.ndarray:
     """Bradley-Terry weights by Newton steps on the logistic loss of good - bad feature differences.
 
     Every good row is paired with bad rows in turn until there are ``pairs`` pairs. Without rows of
-    both kinds all weights are zero and every text has the score of the threshold.
+    both kinds all weights are zero.
     """
     w = np.zeros(FEATURES)
     if not len(good) or not len(bad):
-        return Model(w, 0.0)
+        return w
     n = min(pairs, len(good) * len(bad))
     i = np.arange(n)
     differences = good[i % len(good)] - bad[(i + i // len(good)) % len(bad)]
@@ -135,8 +139,33 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, ridge: float = RI
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    ranks = np.concatenate([good, bad]) @ w
-    return Model(w, float(np.quantile(ranks, len(bad) / len(ranks))))
+    return w
+
+
+def order_statistic(ranks: DataFrame, place: int, bins: int = BINS) -> float:
+    """The value at ``place`` (from 0) of ranks(r) in ascending order, exactly.
+
+    The bin that holds the place is divided again until all its values are equal; a pass brings at
+    most ``bins`` rows to the driver.
+    """
+    low, high = ranks.agg(F.min("r"), F.max("r")).first()
+    while low < high:
+        # The ends fall into different bins, so each pass narrows the range.
+        bin_of = F.least(F.floor((F.col("r") - low) / (high - low) * bins), F.lit(bins - 1))
+        inside = ranks.filter(F.col("r").between(low, high)).groupBy(bin_of.alias("bin"))
+        for found in inside.agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).orderBy("bin").collect():
+            if place < found["n"]:
+                break
+            place -= found["n"]
+        low, high = found["low"], found["high"]
+    return low
+
+
+def quantile(ranks: DataFrame, share: float, n: int) -> float:
+    """Quantile of the n rows of ranks(r), linear between neighbours."""
+    place = share * (n - 1)
+    below = order_statistic(ranks, int(place))
+    return below if place == int(place) else below + (place - int(place)) * (order_statistic(ranks, int(place) + 1) - below)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -147,7 +176,9 @@ def held_out(doc_id: Column) -> Column:
 def train(featured: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Model from featured(doc_id, x) and labels(doc_id, quality) outside the held-out fold.
 
-    At most ``max_labelled`` rows of each label, in the order of a hash of the id, are collected.
+    The weights are fitted on at most ``max_labelled`` rows of each label, in the order of a hash of
+    the id; the share of bad rows and the quantile are of all rows. Without rows of both labels every
+    text has the score of the threshold.
     """
     marked = labels.filter("quality IN (0, 1)").filter(~held_out(F.col("doc_id")))
     rows = materialize(featured.join(marked, "doc_id").select("quality", "x", F.xxhash64("doc_id").alias("h")), "labelled-features")
@@ -155,7 +186,13 @@ def train(featured: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     for quality in (1, 0):
         some = rows.filter(F.col("quality") == quality).orderBy("h").limit(max_labelled).select("x").toPandas()["x"]
         sample.append(np.array(some.tolist()).reshape(-1, FEATURES))
-    return fit(*sample)
+    weights = fit(*sample)
+    counts = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    if len(counts) < 2:
+        return Model(weights, 0.0)
+    n = sum(counts.values())
+    ranks = materialize(rows.select(ranking(weights, F.col("x")).alias("r")), "labelled-ranks")
+    return Model(weights, quantile(ranks, counts[0] / n, n))
 
 
 def _good_only(model: Model, text_col: str):

@@ -285,6 +285,26 @@ def test_quality_learns_and_holds_out(spark):
     assert {r.doc_id for r in good.collect() if r.doc_id is not None} == {r.doc_id for r in got if r.predicted and r.doc_id is not None}
 
 
+def test_quality_threshold_is_of_all_labelled_rows(spark):
+    rng = random.Random(5)
+    plain, junk = "the house stood quietly near an old river".split(), "!!! $$$ ### FREE 99 win|win".split()
+    labels = [(i, int(i % 10 > 0)) for i in range(1500)]
+    # A tenth is bad; one in ten of either label looks like the other.
+    docs = [(i, " ".join(rng.choice(plain if (rng.random() < 0.9) == bool(q) or rng.random() < 0.3 else junk) for _ in range(12))) for i, q in labels]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    texts = spark.createDataFrame(docs, SCHEMA)
+    whole, capped = ({r.doc_id: r.predicted for r in quality.quality_scores(texts, marks, max_labelled=n).collect()} for n in (20_000, 40))
+    rejected = [sum(p == 0 for i, p in got.items() if not quality_held(i)) for got in (whole, capped)]
+    known = [(i, q) for i, q in labels if not quality_held(i)]
+    bad = sum(q == 0 for _, q in known)
+    assert all(abs(n - bad) <= 3 for n in rejected), (rejected, bad)
+    assert sum(whole[i] != capped[i] for i in whole) <= 0.05 * len(docs)
+    for values, shares in (([2.0] * 7, [0.5]), ([rng.gauss(0, 1) for _ in range(500)] + [1e9], [0.14, 1.0]), ([1.0, 1.0 + 2**-52, 1e300], [0.5])):
+        ranks = spark.createDataFrame([(v,) for v in values], "r double").coalesce(2)
+        for share in shares:
+            assert quality.quantile(ranks, share, len(values)) == pytest.approx(float(np.quantile(values, share)), rel=1e-12)
+
+
 def quality_held(i):
     import zlib
 
