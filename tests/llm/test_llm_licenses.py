@@ -26,3 +26,20 @@ def test_notices(spark):
     assert found[91] == [(k + 1, f) for k, (_, f) in enumerate(PLANTED)] and found[None] == [(0, "mit")]
     assert not any(found[50 + i] for i in range(len(ORDINARY))) and not found[90] and not any(found[i] for i, _ in corpus)
     assert licenses.licence_notices(frame.limit(0)).count() == 0
+
+
+def test_short_wrapped_and_uncued_notices(spark):
+    cases = [
+        ("Licensed under Apache 2.0", [(0, "apache")]),
+        ("MIT License", [(0, "mit")]),
+        ("a title\n\nLicensed under the Apache\nLicense, Version 2.0", [(2, "apache")]),
+        ("CC BY-SA 4.0", [(0, "cc-by-sa")]),
+        ("Distributed under the GPL", [(0, "gpl")]),
+        ("one\n \nThis library is distributed in the hope\nthat it will be useful", [(2, "lgpl")]),
+        ("Released under the MIT License.\nLicensed under the Apache\nLicense, Version 2.0", [(0, "mit"), (1, "apache")]),
+    ]
+    hard = [f"driving licence number {i}, permission is still out, and they were released under cover of night {i}" for i in range(40)]
+    docs = [(i, t) for i, (t, _) in enumerate(cases)] + [(100 + i, t) for i, t in enumerate(hard)]
+    got = {r.doc_id: [(n.paragraph, n.family) for n in r.notices] for r in licenses.licence_notices(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+    assert not any(got[100 + i] for i in range(len(hard)))
