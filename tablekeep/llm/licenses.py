@@ -2,7 +2,8 @@
 
 Lines, and runs of lines up to a blank one, are classified by logistic regression over their sparse
 word n-grams into licence families and an unknown class. The model is trained on labelled notices of
-each family and on ordinary lines of the corpus; the unknown class is calibrated on the latter. A prediction counts only if a template of the
+each family and on ordinary passages of the corpus that are scored like any other; the unknown class
+is calibrated on a part of them that was not fitted. A prediction counts only if a template of the
 family confirms it by shared n-grams.
 """
 
@@ -131,7 +132,8 @@ def passages(block: Column, pattern: str) -> Column:
 
 
 def train(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[dict[str, list[float]], list[float], dict[str, list[list[str]]]]:
-    """Model and templates. Ordinary are the lines of smallest hash that the gate leaves out."""
+    """Model and templates. Ordinary are the distinct passages of smallest hash that no template confirms;
+    every second one is held back for calibration."""
     spark = docs.sparkSession
     notices = [(t, FAMILIES.index(f)) for f, texts in NOTICES.items() for t in texts]
     marked = spark.createDataFrame(notices, "text string, c int").select(ngrams(F.col("text")).alias("g"), "c").collect()
@@ -139,10 +141,13 @@ def train(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[dict[str,
     for r in marked:
         templates.setdefault(FAMILIES[r.c], []).append(r.g)
     pattern = gate([r.g for r in marked])
-    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).filter((F.col("line") != "") & ~F.lower("line").rlike(pattern))
-    some = [r.g for r in lines.orderBy(F.xxhash64("line")).limit(max_ordinary).select(ngrams(F.col("line")).alias("g")).collect()]
-    rows = [(r.g, r.c) for r in marked] + [(g, 0) for g in some]
-    return *fit(rows, some), templates
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.lower("text").rlike(pattern))
+    blocks = texts.select(F.explode(F.split("text", BLANK)).alias("block")).filter(F.lower("block").rlike(pattern))
+    scored = blocks.select(F.explode(passages(F.col("block"), pattern)).alias("p")).select("p.text").distinct().select("text", ngrams(F.col("text")).alias("g"))
+    ordinary = scored.filter(~confirmed(F.col("g"), template_array([r.g for r in marked])))
+    some = [r.g for r in ordinary.orderBy(F.xxhash64("text"), "text").limit(max_ordinary).select("g").collect()]
+    rows = [(r.g, r.c) for r in marked] + [(g, 0) for g in some[::2]]
+    return *fit(rows, some[1::2]), templates
 
 
 def licence_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

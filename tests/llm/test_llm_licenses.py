@@ -43,3 +43,13 @@ def test_short_wrapped_and_uncued_notices(spark):
     got = {r.doc_id: [(n.paragraph, n.family) for n in r.notices] for r in licenses.licence_notices(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
     assert not any(got[100 + i] for i in range(len(hard)))
+
+
+def test_ordinary_sample_is_distinct_and_scored(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(licenses, "fit", lambda rows, held: seen.append(([g for g, c in rows if not c], held)) or ({}, []))
+    docs = ["a driving license for all"] * 300 + [f"the license of driver {i}" for i in range(30)] + ["no such word here", "MIT License"] * 30
+    licenses.train(spark.createDataFrame([(t,) for t in docs], "text string"))
+    fitted, held = ([tuple(g) for g in x] for x in seen[0])
+    assert len(fitted) + len(held) == len({*fitted, *held}) == 31 and abs(len(fitted) - len(held)) <= 1
+    assert all("license" in g for g in fitted + held) and not any("mit" in g for g in fitted + held)
