@@ -26,7 +26,7 @@ BLOCKS = set(
     "h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = set(
-    "script style head title noscript template nav footer aside form button select option textarea iframe object embed svg math canvas "
+    "script style head title noscript template nav footer aside button select option textarea iframe object embed svg math canvas "
     "audio video menu dialog input label".split()
 )
 MARKED = set(
@@ -36,6 +36,9 @@ MARKED = set(
     "skip disclaimer".split()
 )
 KEPT_WHOLE = {"html", "body", "main", "article", "h1"}  # never dropped for a name
+# What the measures must say of a subtree that a part of a name marks, to drop it: link share from, characters below, characters a tag below (of the page's).
+LINKED, FEW, SPARSE = 1 / 3, 80, 0.5
+NO, HINT, NAMED, CERTAIN = range(4)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # An implied end tag does not reach beyond these.
 SCOPES = set("html body article section div main table ul ol dl td th aside nav form blockquote".split())
@@ -49,19 +52,24 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
-def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    """Elements whose whole subtree is not content, by tag or by marks in the attributes."""
+def furniture(tag: str, attributes: str, in_article: bool) -> int:
+    """CERTAIN for elements that are not content, by tag or hidden; NAMED for forms and for whole names that
+    mark furniture, HINT for parts of names ("has-header"): candidates that the measures decide on."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return CERTAIN
     if not attributes or tag in KEPT_WHOLE:
-        return False
+        return NAMED if tag == "form" else NO
+    found = NAMED if tag == "form" else NO
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id", "role") and MARKED.intersection(re.split(r"[^a-z]+", value)):
-            return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return CERTAIN
+        if name in ("class", "id", "role"):
+            if MARKED.intersection(value.split()):
+                found = NAMED
+            elif MARKED.intersection(re.split(r"[^a-z]+", value)):
+                found = max(found, HINT)
+    return found
 
 
 class Page:
@@ -70,6 +78,8 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tags, self.links, self.chars, self.link_chars = [-1], [0], [0], [0], [0]
         self.body = 0
+        self.marked: dict[int, int] = {}  # candidates: HINT or NAMED by node
+        self.titles: list[int] = []  # nodes of h1
         self.texts: list[tuple[int, str]] = []  # (node, text of one block)
         self.pieces: list[str] = []
         self.open: list[tuple[str, int]] = []  # (tag, its node or the one around it)
@@ -84,6 +94,7 @@ class Page:
         if at < len(source):
             self.text(source[at:])
         self.flush()
+        self.drop_furniture()
 
     def node(self) -> int:
         return self.open[-1][1] if self.open else 0
@@ -123,19 +134,26 @@ class Page:
         if tag in VOID:
             self.tags[node] += 1
             return
-        if is_furniture(tag, attributes, any(t in ("article", "main") for t, _ in self.open)):
+        mark = furniture(tag, attributes, any(t in ("article", "main") for t, _ in self.open))
+        if mark == CERTAIN:
             self.flush()
             self.open.append((tag, node))
             self.skipping = len(self.open)
             return
-        if block:
+        if block or mark:
+            self.flush()
             self.parent.append(node)
             for column in (self.tags, self.links, self.chars, self.link_chars):
                 column.append(0)
             node = len(self.parent) - 1
             self.tags[node] = 1
+            self.links[node] = int(tag == "a")
             if tag == "body":
                 self.body = node
+            if tag == "h1":
+                self.titles.append(node)
+            if mark:
+                self.marked[node] = mark
         else:
             self.tags[node] += 1
             self.links[node] += tag == "a"
@@ -157,12 +175,57 @@ class Page:
                 return None
 
     def close(self, keep: int) -> None:
-        if not self.skipping and any(t in BLOCKS for t, _ in self.open[keep:]):
+        if not self.skipping and any(t in BLOCKS or n in self.marked for t, n in self.open[keep:]):
             self.flush()
         del self.open[keep:]
         if self.skipping > keep:
             self.skipping = 0
 
+    def drop_furniture(self) -> None:
+        """Takes the candidates out that are furniture: their counts and texts.
+
+        A candidate stays if it holds the node of the largest density sum or most of the page's text, and is
+        not mostly links; with a whole name only if it holds several blocks, or all the text there is. Otherwise a whole name is enough, and a part of a name where the subtree has no
+        title and is short, mostly links or sparse.
+        """
+        if not self.marked:
+            return
+        n = len(self.parent)
+        chars, links, tags = self.chars[:], self.link_chars[:], self.tags[:]
+        for i in range(n - 1, 0, -1):
+            for column in (chars, links, tags):
+                column[self.parent[i]] += column[i]
+        _, sums = self.density_sums()
+        holds, titled = set(), set()
+        top = max(range(n), key=sums.__getitem__)
+        for nodes, above in (([top], holds), (self.titles, titled)):
+            for node in nodes:
+                while node >= 0 and node not in above:
+                    above.add(node)
+                    node = self.parent[node]
+        inner: list[set[int]] = [set() for _ in range(n)]  # nodes with text in each candidate, two at most
+        for node in {node for node, _ in self.texts}:
+            at = node
+            while at >= 0:
+                if at in self.marked and len(inner[at]) < 2:
+                    inner[at].add(node)
+                at = self.parent[at]
+        gone = [False] * n
+        for i in range(1, n):
+            gone[i] = gone[self.parent[i]]
+            if gone[i] or i not in self.marked:
+                continue
+            linked = links[i] >= LINKED * max(chars[i], 1)
+            wraps = self.marked[i] == HINT or len(inner[i]) > 1 or chars[i] == chars[0]
+            if (i in holds or 2 * chars[i] > chars[0]) and not linked and wraps:
+                continue
+            sparse = chars[i] * tags[0] < SPARSE * chars[0] * tags[i]
+            gone[i] = self.marked[i] == NAMED or i not in titled and (linked or sparse or chars[i] < FEW)
+        for i in range(n):
+            if gone[i]:
+                self.chars[i] = self.link_chars[i] = self.tags[i] = self.links[i] = 0
+        self.texts = [(node, text) for node, text in self.texts if not gone[node]]
+
     def density_sums(self) -> tuple[list[float], list[float]]:
         """(composite text density, density sum) of every node."""
         n = len(self.parent)
@@ -229,7 +292,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     text is the article's: blocks in page order joined by \\n, character references decoded, white
     space inside a block as one space. Menus, page headers, footers, sidebars, notices, adverts,
-    forms, comments, scripts and styles are left out, by element and by their class, id or role.
+    forms, comments, scripts and styles are left out, by element; by class, id or role only where the
+    measures agree, see ``Page.drop_furniture``.
     A null or empty page, or one without content, has the empty text. Cut or unbalanced markup is
     read as far as it goes. Repeated pages are extracted each; other columns are ignored; an empty
     table gives none. Page ids are bigint and may be null.

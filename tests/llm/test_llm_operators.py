@@ -230,6 +230,18 @@ def test_main_text_drops_unmarked_furniture():
     assert html.main_text(f"<body><div>{links}</div><div><div>{body}</div></div></body>").count("\n") == 5
 
 
+def test_main_text_names_only_mark_candidates():
+    body = "".join(f"<p>{'word ' * 60}{i}</p>" for i in range(6))
+    work = "".join(f"<p>{'other work ' * 20}{i}</p>" for i in range(2))
+    for wrapped in ("<div class='content with-sidebar'>{}</div>", "<div id='page' class='site has-header'>{}</div>", "<form action=/>{}</form>", "<div class=banner><div>{}</div></div>"):
+        page = wrapped.format(f"<div>{body}</div>") + "<div class='cookie-bar'>We use cookies</div><div class=ad>Buy</div>"
+        assert html.main_text(f"<body>{page}</body>").split("\n") == [f"{'word ' * 60}{i}" for i in range(6)], wrapped
+    text = html.main_text(f"<body><article>{body}<section class='related-work'>{work}</section><div class='nav-list'><a href=/>one link</a></div></article></body>")
+    assert text.count("word") == 360 and text.count("other work") == 40 and "link" not in text
+    title = html.main_text(f"<body><div><div class='entry-header'><h1>The title of all this {'long ' * 10}</h1></div>{body}</div></body>")
+    assert title.startswith("The title") and title.count("word") == 360
+
+
 def base(text):
     assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     found = [(m.start(), 0, m.end()) for m in re.finditer(assign, text, re.A) if len(m[2]) >= 6]
