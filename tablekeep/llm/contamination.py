@@ -1,7 +1,8 @@
 """Benchmark decontamination: which documents contain a test item, by containment of word shingles.
 
-Items are partitioned by the size of their shingle set. An item of n shingles is sketched by its
-k smallest shingle hashes (bottom-k MinHash), k depending on the size partition: a document that
+An index of prefixes, not a size-partitioned MinHash: an item of n shingles is sketched by its
+k smallest shingle hashes (bottom-k), k depending on n; items of one run length share an index,
+whatever their size, and documents get no sketch. A document that
 holds a share t of the item misses all k of them with probability below (1 - t)^k, and never where
 k exceeds (1 - t) n, which holds for every item up to SKETCH / (1 - t) shingles. Every shingle of
 every document is looked up in the sketches; documents with a hit are then compared with the full

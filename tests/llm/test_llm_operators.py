@@ -148,6 +148,16 @@ def test_contaminated(spark, rows, block):
     assert rows_of(clean, "doc_id", "text") == sorted([r for r in docs if tuple(r) not in bad], key=repr)
 
 
+def test_contained_just_at_the_threshold_in_long_items(spark):
+    items, docs = [], []
+    for k, n in enumerate((200, 400, 1000)):  # shingles; a multiple of 5, beyond the size of certain sketches
+        item = [f"w{k}x{i}" for i in range(n + 4)]
+        items.append((k, " ".join(item)))
+        docs += [(10 * k, " ".join(item[: n * 4 // 5 + 4])), (10 * k + 1, " ".join(item[: n * 4 // 5 + 3])), (10 * k + 2, " ".join(item[n // 5 :]))]
+    got = contamination.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows_of(got, "doc_id", "item_id", "containment") == sorted(((10 * k + d, k, 0.8) for k in range(3) for d in (0, 2)), key=repr)
+
+
 def test_sketch_is_certain_for_short_items():
     for n in range(1, 160):
         assert contamination.sketch_size(n, 0.8) > n - np.ceil(0.8 * n - 1e-9)
