@@ -273,7 +273,11 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps; repeated rows once."""
+    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps.
+
+    Rows without a word all stay. Of repeated rows (same id and text) one stays, that of the smallest
+    hash of all columns.
+    """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     doc_id, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
@@ -281,5 +285,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     kept = near_duplicates(docs, id_col, text_col, length, threshold).filter("kept").select("doc_id", "fp").distinct()
     kept = materialize(kept.toDF("kept_id", "kept_fp"), "kept")
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp"))
-    rows = keyed.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["id", "fp"])
+    wordless = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    whole = F.struct(*[F.col(c) for c in plain.columns])
+    repeats = keyed.filter(~wordless).join(kept.hint("shuffle_hash"), same, "left_semi").groupBy("id", "fp")
+    one = repeats.agg(F.min_by(whole, F.xxhash64(whole.cast("string"))).alias("r")).select("r.*")
+    rows = one.unionByName(plain.filter(wordless))
     return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

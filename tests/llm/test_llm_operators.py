@@ -158,6 +158,14 @@ def test_contained_just_at_the_threshold_in_long_items(spark):
     assert rows_of(got, "doc_id", "item_id", "containment") == sorted(((10 * k + d, k, 0.8) for k in range(3) for d in (0, 2)), key=repr)
 
 
+def test_keep_one_keeps_wordless_rows_and_chooses(spark):
+    rows_ = [(None, None, "a"), (None, "", "b"), (None, "", "b"), (1, " ", "c"), (1, " ", "d"), (2, "one two three", "e"), (2, "one two three", "f")]
+    kept = [minhash.keep_one(spark.createDataFrame(r, "doc_id long, text string, more string").repartition(n)).collect() for r, n in ((rows_, 1), (rows_[::-1], 3))]
+    for got in kept:
+        assert sorted(r.more for r in got if r.doc_id != 2) == ["a", "b", "b", "c", "d"] and len(got) == 6
+    assert {r.more for r in kept[0]} == {r.more for r in kept[1]}
+
+
 def test_sketch_is_certain_for_short_items():
     for n in range(1, 160):
         assert contamination.sketch_size(n, 0.8) > n - np.ceil(0.8 * n - 1e-9)
