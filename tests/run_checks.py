@@ -10,7 +10,8 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
 from compare import connect, differences  # noqa: E402
 
-from tablekeep.plans import CHECKS, QUERIES  # noqa: E402
+from __spark_entry__ import ALL_CHECKS as CHECKS  # noqa: E402
+from __spark_entry__ import ALL_QUERIES as QUERIES  # noqa: E402
 from tablekeep.session import build_session  # noqa: E402
 
 if __name__ == "__main__":
