@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeep.llm import bpe, contamination, exact, html, licenses, lines, minhash, quality, secrets, substrings
+from tablekeep.llm import alignment, bpe, contamination, exact, html, licenses, lines, minhash, quality, secrets, sharding, spelling, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -31,10 +31,22 @@ def digest(column) -> F.Column:
     return F.sha2(F.coalesce(column, F.lit("")), 256)
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+# CRC-32 in SQL: byte values of a hexadecimal text, folded over the table of 256 remainders.
+CRC_TABLE = """crc AS (SELECT list(v ORDER BY c) AS t FROM (SELECT c, list_reduce(list_prepend(c, range(8)),
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) AS r(c)))"""
+
+
+def crc_of(text: str) -> str:
+    """SQL for the CRC-32 of a text's UTF-8 bytes; needs ``CRC_TABLE`` in scope."""
+    values = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)"
+    step = "lambda x, y: xor(x >> 8, t[xor(x & 255, y) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {values}), {step}), 4294967295)"
 
 
 @query("op1_quality_scores")
@@ -176,3 +188,67 @@ FROM m GROUP BY doc_id
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.drop_frequent_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", digest(F.col("text")).alias("kept_sha256"))
+
+
+@query(
+    "op11_spelling_variants",
+    f"""
+WITH RECURSIVE {CRC_TABLE},
+  z AS (SELECT string_agg(chr((192 + i)::INT), '' ORDER BY i) AS wide, string_agg(chr((33 + i)::INT), '' ORDER BY i) AS plain
+    FROM range(64) AS r(i)),
+  d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+  h AS (SELECT run, k, {crc_of("doc_id || ':' || run")} AS h FROM (SELECT doc_id, run, count(*) AS k FROM d GROUP BY ALL), crc),
+  w AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 199 = 0
+      THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+  v AS (SELECT word, n, translate(word, wide, plain) AS bytes, unnest(list_distinct(list_prepend(word, list_transform(
+    range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))))) AS key FROM w, z),
+  p AS (SELECT DISTINCT a.word, b.word AS near, b.n FROM v AS a JOIN v AS b USING (key)
+    WHERE a.word <> b.word AND levenshtein(a.bytes, b.bytes) = 1),
+  g AS (SELECT word, count(*) AS n_near, max(n) AS n_best, min(near) FILTER (WHERE n = top) AS best
+    FROM (SELECT *, max(n) OVER (PARTITION BY word) AS top FROM p) GROUP BY word),
+  o AS (SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN n_best >= 5 * w.n THEN best END AS form,
+    CASE WHEN n_best >= 5 * w.n THEN n_best END AS form_n FROM w LEFT JOIN g USING (word)),
+  r(word, root) AS (SELECT word, word FROM o UNION ALL SELECT r.word, o.form FROM r JOIN o ON o.word = r.root WHERE o.form IS NOT NULL)
+SELECT o.word, o.form, r.root, o.n, o.n_near, o.form_n
+FROM o JOIN r USING (word) JOIN o AS e ON e.word = r.root WHERE e.form IS NULL
+""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = spelling.spelling_variants(table(spark, folder, "documents"), drop_every=199)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def _round(i: int, moved: str, by: str, size: str) -> str:
+    return f"({moved} + ('0x' || substr(sha256('0:{i}:' || {by}), 1, 15))::BIGINT % {size}) % {size} AS {moved}"
+
+
+@query(
+    "op12_shuffled_shards",
+    f"""
+WITH RECURSIVE {CRC_TABLE},
+  d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {crc_of("coalesce(text, '')")} AS text_crc32
+    FROM documents, crc),
+  m AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, size, text_crc32) - 1 AS x FROM d),
+  s AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM d)),
+  c0 AS (SELECT x, n, a, b, x // b AS l, x % b AS r FROM (SELECT *, unnest(range(a * b)) AS x FROM s)),
+  c1 AS (SELECT x, n, a, b, {_round(0, "l", "r", "a")}, r FROM c0),
+  c2 AS (SELECT x, n, a, b, l, {_round(1, "r", "l", "b")} FROM c1),
+  c3 AS (SELECT x, n, a, b, {_round(2, "l", "r", "a")}, r FROM c2),
+  c4 AS (SELECT x, n, a, b, l, {_round(3, "r", "l", "b")} FROM c3),
+  c5 AS (SELECT x, n, a, b, {_round(4, "l", "r", "a")}, r FROM c4),
+  c6 AS (SELECT x, n, a, b, l, {_round(5, "r", "l", "b")} FROM c5),
+  e AS (SELECT x, n, l * b + r AS y FROM c6),
+  k(x, y, n) AS (SELECT x, y, n FROM e WHERE x < n UNION ALL SELECT k.x, e.y, k.n FROM k JOIN e ON e.x = k.y WHERE k.y >= k.n)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (y % 24)::INT AS shard, y // 24 AS slot, NULL::INT AS grown_shard
+FROM m JOIN k USING (x) WHERE y < n
+""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, folder, "documents"))
+
+
+@query("op13_aligned_tokens")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
