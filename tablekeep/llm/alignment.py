@@ -11,9 +11,11 @@ in every text is one row per chunk.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablekeep.llm.bpe import byte_symbols
-from tablekeep.llm.words import slices, take
+from tablekeep.llm.words import ranges, slices, take
 from tablekeep.session import materialize
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+CACHE_UNITS = 200_000  # units whose pieces a worker knows; when full, it starts anew
+# Fixed value: where byte-level BPE cuts a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PAIR_SHIFT = 32  # a pair is a_id << 32 | b_id
 
 CHUNKS = """chunk string, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>,
@@ -42,46 +47,78 @@ class Side:
         self.size = pc.binary_length(self.raw).cast(pa.int64())
         self.written = pa.array(range(len(tokens))).cast(pa.string())
 
-    def encode(self, texts: list[str]) -> pa.ListArray:
-        ids = self._ids(texts)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for own in ids for i in own), np.int32, int(sizes.sum()))
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
-
 
 class ByteSide(Side):
-    """Byte-level BPE of a tokenizers JSON, on space and text; special tokens' strings are plain text."""
+    """Byte-level BPE of a tokenizers JSON, on space and text; special tokens' strings are plain text.
+
+    In such a vocabulary an id is the rank of its merge, so the merges run in tiktoken, which gives
+    the same ids as the tokenizers library and keeps no offsets and token texts.
+    """
 
     def __init__(self, data: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tiktoken import Encoding
 
-        self.model = Tokenizer.from_str(data)
-        self.model.encode_special_tokens = True
+        content = json.loads(data)
         byte = {c: b for b, c in enumerate(byte_symbols())}
-        vocab = self.model.get_vocab(with_added_tokens=False)
-        tokens = [b""] * self.model.get_vocab_size(with_added_tokens=True)
-        for token, i in vocab.items():
-            tokens[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        ranks = {bytes(byte[c] for c in token): i for token, i in content["model"]["vocab"].items() if all(c in byte for c in token)}
+        for special in content["added_tokens"]:
+            ranks.pop(special["content"].encode(), None)
+        self.model = Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
         super().__init__(tokens)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        ids = [self.model.encode_to_numpy(f" {t}", disallowed_special=()) for t in texts]
+        return lists(pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)), np.fromiter(map(len, ids), np.int64, len(ids)))
 
 
 class PieceSide(Side):
-    """SentencePiece model, which puts the space before the text itself; byte pieces count as their byte."""
+    """SentencePiece model, which puts the space before the text itself; byte pieces count as their byte.
+
+    A piece with a space inside, not only in front, would join what lies on both sides of it; where the
+    vocabulary has none, runs of spaces with the word behind them are encoded apart, each known one once.
+    """
 
     def __init__(self, data: bytes):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_proto=data)
-        every = range(self.model.get_piece_size())
-        piece = lambda i: bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(i) else self.model.id_to_piece(i).replace("▁", " ").encode()
-        super().__init__([piece(i) for i in every])
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.unit = re.compile("(?s).+") if any(re.search("[^▁]▁", p) for p in names) else re.compile(" *[^ ]+| +")
+        super().__init__([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, units: list[str]) -> None:
+        # The empty text has no pieces, but a lone space at the end of a text is one.
+        ids = [i or [self.model.piece_to_id("▁")] for i in self.model.encode([u[1:] for u in units], num_threads=1)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units))))
+        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.pool = np.append(self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        units = [self.unit.findall(f" {t}") if t else [] for t in texts]
+        every = list(chain.from_iterable(units))
+        new = set(every) - self.known.keys()
+        if new and len(self.known) + len(new) > CACHE_UNITS:
+            self.forget()
+            new = set(every)
+        if new:
+            self.learn(list(new))
+        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        ends = np.append(0, np.cumsum(self.sizes[at]))[np.append(0, np.cumsum(np.fromiter(map(len, units), np.int64, len(units))))]
+        return lists(pa.array(self.pool[ranges(self.starts[at], self.sizes[at])]), np.diff(ends))
+
+
+def lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
 
 
 @lru_cache(maxsize=2)
@@ -109,10 +146,6 @@ def written_groups(side: Side, ids: pa.ListArray, last: np.ndarray) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(offsets, side.written.take(ids.flatten())), ",")
 
 
-def lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
-
-
 def align(a: ByteSide, b: PieceSide, texts: list[str]) -> dict[str, np.ndarray | list]:
     """Counts and groups per text, and the linked id pairs of all texts one after another."""
     expected = pa.array([f" {t}".encode() for t in texts], pa.binary())

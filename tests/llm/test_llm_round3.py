@@ -277,3 +277,19 @@ def test_empty_tables(spark):
     assert sharding.shard_documents(empty).count() == 0 and sharding.shard_documents(blank).count() == 2
     assert alignment.align_tokens(empty, BYTE_BPE, PIECES).count() == 0
     assert collected(alignment.align_tokens(blank, BYTE_BPE, PIECES)) == [(1, *[0] * 6, ""), (None, *[0] * 6, "")]
+
+
+def test_sides_agree_with_the_libraries():
+    """Every code point between letters, digits, spaces and itself; units known and unknown."""
+    tokenizers, sentencepiece = pytest.importorskip("tokenizers"), pytest.importorskip("sentencepiece")
+    with open(BYTE_BPE, encoding="utf-8") as f, open(PIECES, "rb") as g:
+        a, b = alignment._loaded(f.read(), g.read())
+    whole = tokenizers.Tokenizer.from_file(BYTE_BPE)
+    whole.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    points = [*range(0x3100), *range(0x3100, 0xD800, 97), *range(0xE000, 0x110000, 997)]
+    texts = [f"{c}a{c}b {c} 1{c}\n{c}{c}  {c}!  " for c in map(chr, points)]
+    texts += [t for _, t in brute.awkward(4) if t] + ["<|endoftext|>", "<s>", "▁▁ ▁", "   "]
+    assert a.encode(texts).to_pylist() == [e.ids for e in whole.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
+    for _ in range(2):  # the second time from what is known
+        assert b.encode(texts).to_pylist() == pieces.encode(texts)
