@@ -79,6 +79,7 @@ class PieceSide(Side):
 
     A piece with a space inside, not only in front, would join what lies on both sides of it; where the
     vocabulary has none, runs of spaces with the word behind them are encoded apart, each known one once.
+    U+2581 in a text counts as a space in pieces but not in units; such a text's bytes differ anyway.
     """
 
     def __init__(self, data: bytes):
