@@ -29,7 +29,7 @@ from tablekeep.llm.words import ranges, slices, take
 from tablekeep.session import materialize
 
 CHUNK_BYTES = 1 << 20
-CACHE_UNITS = 200_000  # units whose pieces a worker knows; when full, it starts anew
+CACHE_UNITS = 100_000  # units whose pieces a worker knows; when full, it starts anew
 # Fixed value: where byte-level BPE cuts a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PAIR_SHIFT = 32  # a pair is a_id << 32 | b_id
@@ -198,6 +198,8 @@ def _chunks(sent_a, sent_b, chunk_bytes: int):
                 }
                 types = [pa.string(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 2]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row.values(), types)], names=list(row))
+                del found, links, counts, row
+                pa.default_memory_pool().release_unused()  # a chunk's arrays, or the pool keeps them
 
     return run
 
