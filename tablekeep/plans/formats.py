@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablekeep.operators import geometry
 from tablekeep.plans.catalog import query
-from tablekeep.session import scratch_path
+from tablekeep.session import materialize, scratch_path
 from tablekeep.sources import inventory, tables, text, wkt
 
 # One geometry text per order: a = order key, b = customer key.
@@ -51,7 +52,64 @@ UNION ALL SELECT f, 1, 1, t.i, CASE t.i WHEN 1 THEN a ELSE b END, CASE t.i WHEN
 SELECT f AS feature_id, part, ring, idx, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, CAST(NULL AS DOUBLE) AS m FROM v
 """)
 def _(fx):
-    return wkt.explode_wkt(fx.sql(TEXTS), "fid", "geom")[1]
+    return wkt.explode_wkt(fx.sql(TEXTS), "fid", "geom")[1].drop("member", "member_type")
+
+
+# One collection or curve per order: a = order key, b = customer key, both raised by one, so above 0.
+NESTED = """SELECT o_orderkey AS fid, CASE o_orderkey % 11
+  WHEN 0 THEN concat('GEOMETRYCOLLECTION(POINT(', a, ' ', b, '), POLYGON((0 0, 2 2, 2 0, 0 2, 0 0)))')
+  WHEN 1 THEN concat('GEOMETRYCOLLECTION(POINT(', a, ' ', b, '), POLYGON((0 0, ', a, ' 0, ', a, ' 1, 0 0)), POLYGON((0 0, ', a, ' 0, ', a, ' 1, 0 0)))')
+  WHEN 2 THEN concat('COMPOUNDCURVE((0 0, 1 ', a, '), (1 ', a, ', 2 ', b, '))')
+  WHEN 3 THEN concat('COMPOUNDCURVE((0 0, 1 ', a, '), CIRCULARSTRING(1 ', a, ', 2 5, 3 0))')
+  WHEN 4 THEN concat('CURVEPOLYGON(COMPOUNDCURVE((0 0, ', a, ' 0), (', a, ' 0, ', a, ' 9, 0 0)), (-1 1, -2 1, -2 ', b, ', -1 1))')
+  WHEN 5 THEN concat('MULTISURFACE(((0 0, ', a, ' 0, ', a, ' ', a, ', 0 0)), CURVEPOLYGON((-9 0, -8 0, -8 ', b, ', -9 0)))')
+  WHEN 6 THEN concat('GEOMETRYCOLLECTION(GEOMETRYCOLLECTION(LINESTRING(0 0, ', a, ' 0, ', a, ' 0, 1 1)), MULTIPOINT(1 1, 1 1), POINT EMPTY)')
+  WHEN 7 THEN 'GEOMETRYCOLLECTION(POINT EMPTY, GEOMETRYCOLLECTION(POLYGON EMPTY))'
+  WHEN 8 THEN concat('GEOMETRYCOLLECTION(POINT(', a, ' 1), CIRCULARSTRING(0 0, 1 1, ', b, ' 0))')
+  WHEN 9 THEN concat('GEOMETRYCOLLECTION(POINT(', a, ' 1)')
+  ELSE concat('COMPOUNDCURVE((0 0, 1 1), (2 2, 3 ', a, '))') END AS geom
+FROM (SELECT o_orderkey, CAST(o_orderkey + 1 AS STRING) AS a, CAST(o_custkey + 1 AS STRING) AS b FROM orders) q"""
+
+
+@query("g01_explode_wkt_members", """
+WITH o AS (SELECT o_orderkey AS f, o_orderkey % 11 AS k, CAST(o_orderkey + 1 AS DOUBLE) AS a, CAST(o_custkey + 1 AS DOUBLE) AS b FROM orders),
+t AS (SELECT * FROM (VALUES
+  (0, 1, 'POINT', 1, 1, 'a b'), (0, 2, 'POLYGON', 2, 1, '0 0,2 2,2 0,0 2,0 0'),
+  (1, 1, 'POINT', 1, 1, 'a b'), (1, 2, 'POLYGON', 2, 1, '0 0,a 0,a 1,0 0'), (1, 3, 'POLYGON', 3, 1, '0 0,a 0,a 1,0 0'),
+  (2, 1, 'LINESTRING', 1, 1, '0 0,1 a,2 b'), (3, 1, 'COMPOUNDCURVE', 1, 1, '0 0,1 a,2 5,3 0'),
+  (4, 1, 'POLYGON', 1, 1, '0 0,a 0,a 9,0 0'), (4, 1, 'POLYGON', 1, 2, '-1 1,-2 1,-2 b,-1 1'),
+  (5, 1, 'MULTIPOLYGON', 1, 1, '0 0,a 0,a a,0 0'), (5, 1, 'MULTIPOLYGON', 2, 1, '-9 0,-8 0,-8 b,-9 0'),
+  (6, 1, 'LINESTRING', 1, 1, '0 0,a 0,a 0,1 1'), (6, 2, 'MULTIPOINT', 2, 1, '1 1'), (6, 2, 'MULTIPOINT', 3, 1, '1 1'),
+  (8, 1, 'POINT', 1, 1, 'a 1'), (8, 2, 'CIRCULARSTRING', 2, 1, '0 0,1 1,b 0')) AS v(k, member, member_type, part, ring, pts)),
+p AS (SELECT k, member, member_type, part, ring, unnest(string_split(pts, ',')) AS p, generate_subscripts(string_split(pts, ','), 1) AS idx FROM t)
+SELECT f AS feature_id, member, member_type, part, ring, idx,
+  CASE split_part(p, ' ', 1) WHEN 'a' THEN a WHEN 'b' THEN b ELSE CAST(split_part(p, ' ', 1) AS DOUBLE) END AS x,
+  CASE split_part(p, ' ', 2) WHEN 'a' THEN a WHEN 'b' THEN b ELSE CAST(split_part(p, ' ', 2) AS DOUBLE) END AS y
+FROM o JOIN p ON p.k = o.k
+""")
+def _(fx):
+    return wkt.explode_wkt(fx.sql(NESTED), "fid", "geom")[1].drop("z", "m")
+
+
+@query("g08_explain_members", """
+SELECT o_orderkey AS feature_id, CASE o_orderkey % 11 WHEN 0 THEN 'ring_self_intersection' WHEN 3 THEN 'arc' WHEN 4 THEN 'hole_outside_shell'
+    WHEN 6 THEN 'repeated_points' WHEN 7 THEN 'empty' WHEN 8 THEN 'arc' END AS reason_code,
+  CASE o_orderkey % 11 WHEN 0 THEN 'part 2 ring 1 segment 1 and part 2 ring 1 segment 3' WHEN 3 THEN 'COMPOUNDCURVE' WHEN 4 THEN 'part 1 ring 2 against part 1'
+    WHEN 6 THEN 'part 1 ring 1 point 2' WHEN 8 THEN 'CIRCULARSTRING' END AS detail
+FROM orders
+""")
+def _(fx):
+    features, vertices = (materialize(df, "nested-texts") for df in wkt.explode_wkt(fx.sql(NESTED), "fid", "geom"))
+    return geometry.explain_geometry(features, vertices)
+
+
+@query("g04_has_arc_members", """
+SELECT o_orderkey AS feature_id, CASE o_orderkey % 11 WHEN 3 THEN 'COMPOUNDCURVE' ELSE 'GEOMETRYCOLLECTION' END AS geom_type
+FROM orders WHERE o_orderkey % 11 IN (3, 8)
+""")
+def _(fx):
+    features, vertices = wkt.explode_wkt(fx.sql(NESTED), "fid", "geom")
+    return geometry.has_arc(features, vertices)
 
 
 @query("g01_assemble_wkt", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablekeep.functions import naming
 from tablekeep.functions.compute import computed
+from tablekeep.sources import members
 
 CHUNK = 4096
 # Fixed value: how a (possibly SRID-prefixed) text begins: type word, dimension mark, body.
@@ -20,7 +21,7 @@ def _marked_body() -> Column:
     body, kind = F.col("_body"), F.col("_kind")
     ring_gap = r"\)\s*,\s*\("
     polygons = F.regexp_replace(F.regexp_replace(body, r"\)\s*\)\s*,\s*\(\s*\(", "|"), ring_gap, ";")
-    nested = F.array_join(F.regexp_extract_all(body, F.lit(r"\(([^()]*)\)"), F.lit(1)), "|")
+    nested = F.nullif(F.array_join(F.regexp_extract_all(body, F.lit(r"\(([^()A-DF-Za-df-z]*)\)"), F.lit(1)), "|"), F.lit(""))
     marked = (
         F.when(kind == "MULTIPOINT", F.replace(F.regexp_replace(body, r"[()]", " "), F.lit(","), F.lit("|")))
         .when(kind == "MULTILINESTRING", F.regexp_replace(body, ring_gap, "|"))
@@ -67,16 +68,11 @@ def _well_nested(skeleton: Column, kind: Column) -> Column:
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
-def parse_wkt(df: DataFrame, id_col: str, geom_col: str) -> DataFrame:
-    """One row per geometry: type, SRID, dimension, marked coordinate text, ``parse_error``.
-
-    A text that is not well-known text, or holds something that is no number, gets an error and no
-    coordinates. NULL stays NULL and is no error.
-    """
-    text = F.col(geom_col)
+def heads(df: DataFrame, id_col: str, geom_col: str) -> DataFrame:
+    """feature_id, _text, and the text's SRID, type word, dimension mark and body."""
     opened = F.instr("_text", "(")
-    head = computed(
-        df.select(F.col(id_col).alias("feature_id"), text.alias("_text")),
+    return computed(
+        df.select(F.col(id_col).alias("feature_id"), F.col(geom_col).alias("_text")),
         {
             "_srid": F.regexp_extract("_text", HEAD, 1),
             "_kind": F.upper(F.regexp_extract("_text", HEAD, 2)),
@@ -84,6 +80,16 @@ def parse_wkt(df: DataFrame, id_col: str, geom_col: str) -> DataFrame:
             "_body": F.when(opened > 0, F.rtrim(F.substr("_text", opened))),
         },
     )
+
+
+def parse_wkt(df: DataFrame, id_col: str, geom_col: str) -> DataFrame:
+    """One row per geometry: type, SRID, dimension, marked coordinate text, ``parse_error``.
+
+    A text that is not well-known text, or holds something that is no number, gets an error and no
+    coordinates. NULL stays NULL and is no error. How the brackets of collections and curve types are nested
+    is judged in ``members``.
+    """
+    head = heads(df, id_col, geom_col)
     known = F.col("_kind").isin(*KNOWN_TYPES) & (F.col("_body").isNull() | F.col("_body").endswith(")"))
     points = F.regexp_replace(F.regexp_replace(F.regexp_replace("_body", NUMBER, "n"), r"\s+", " "), r"n(?: n)*+", "t")
     skeleton = F.regexp_replace(F.regexp_replace(points, "(?i)EMPTY", "E"), " ", "")
@@ -126,35 +132,48 @@ def parse_wkt(df: DataFrame, id_col: str, geom_col: str) -> DataFrame:
 
 
 def explode_wkt(df: DataFrame, id_col: str, geom_col: str) -> tuple[DataFrame, DataFrame]:
-    """G1: (features, vertices). Parsing is a chain of projections and explodes: no shuffle, no
-    Python, and no array of a whole geometry's points is ever built."""
+    """G1: (features, vertices). Parsing is a chain of projections and explodes: no Python, and no
+    array of a whole geometry's points is ever built.
+
+    A vertex says which member of its feature it belongs to, and of what type that member is: flat
+    geometries are their own single member, collections and curve types are taken apart (``members``), and a curve
+    without any arc has the flat type of the same structure. Only their texts are shuffled.
+    """
     parsed = parse_wkt(df, id_col, geom_col)
     n_points = F.when(F.col("marked").isNotNull(), F.length(F.regexp_replace("marked", r"[^|;,]", "")) + 1).otherwise(0)
-    features = parsed.select(
-        "feature_id", "geom_type", "srid", "coord_dim",
-        F.when(F.col("_sound"), n_points).alias("n_points"),
-        F.when(F.col("_sound"), F.col("marked").isNull()).alias("is_empty"),
-        "parse_error",
-    )
-    parts = parsed.filter("marked IS NOT NULL").select("feature_id", "_mark", F.posexplode(F.split("marked", r"\|")).alias("part", "_part"))
-    rings = parts.select("feature_id", "_mark", "part", F.posexplode(F.split("_part", ";")).alias("ring", "_ring"))
-    points = rings.select("feature_id", "_mark", "part", "ring", F.posexplode(F.split("_ring", ",")).alias("idx", "_point"))
-    numbers = points.select("feature_id", "_mark", "part", "ring", "idx", F.split(F.trim("_point"), r"\s+").alias("_n"))
+    structure, lists = members.nested(heads(df, id_col, geom_col))
+    broken = structure.filter(~F.col("well_formed")).select("feature_id", F.lit("not_wkt").alias("_broken"))
+    judged = parsed.join(broken, "feature_id", "left").withColumn("_sound", F.col("_sound") & F.col("_broken").isNull())
+    sound = F.col("_sound")
+    features = judged.select(
+        "feature_id", *(F.when(sound, F.col(c)).alias(c) for c in ("geom_type", "srid", "coord_dim")),
+        F.when(sound, n_points).alias("n_points"),
+        F.when(sound, F.col("marked").isNull()).alias("is_empty"),
+        F.coalesce("_broken", "parse_error").alias("parse_error"),
+    )
+    flat = parsed.filter(F.col("marked").isNotNull() & ~F.col("geom_type").isin(*members.NESTED_TYPES))
+    own = [F.lit(1).alias("member"), F.col("geom_type").alias("member_type")]
+    parts = flat.select("feature_id", "_mark", *own, F.posexplode(F.split("marked", r"\|")).alias("part", "_part"))
+    rings = parts.select("feature_id", "_mark", "member", "member_type", "part", F.posexplode(F.split("_part", ";")).alias("ring", "_ring"))
+    points = rings.select("feature_id", "_mark", "member", "member_type", (F.col("part") + 1).alias("part"), (F.col("ring") + 1).alias("ring"),
+                          F.posexplode(F.split("_ring", ",")).alias("idx", "_point"))
+    place = ["feature_id", "member", "member_type", "part", "ring"]
+    numbers = points.select(*place, (F.col("idx") + 1).alias("idx"), "_mark", F.split(F.trim("_point"), r"\s+").alias("_n"))
+    whole = judged.filter(sound & F.col("geom_type").isin(*members.NESTED_TYPES)).select("feature_id", "_mark")
+    inner = members.points(lists).join(whole, "feature_id").select(*place, "idx", "_mark", "_n")
 
     def number(i: int) -> Column:
         return F.get("_n", i).cast("double")
 
     third_is_m = F.col("_mark") == "M"
-    vertices = numbers.select(
-        "feature_id",
-        (F.col("part") + 1).alias("part"),
-        (F.col("ring") + 1).alias("ring"),
-        (F.col("idx") + 1).alias("idx"),
+    vertices = numbers.unionByName(inner).select(
+        "feature_id", "part", "ring", "idx",
         number(0).alias("x"),
         number(1).alias("y"),
         F.when(~third_is_m, number(2)).alias("z"),
         F.when(third_is_m, number(2)).otherwise(number(3)).alias("m"),
-    )
+        "member", "member_type",
+    )
     return features, vertices
 
 

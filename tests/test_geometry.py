@@ -16,6 +16,21 @@ CASES = {
     "short line": ("LINESTRING(0 0, 0.0005 0)", None),
     "crossing line": ("LINESTRING(0 0, 10 10, 10 0, 0 10)", None),
     "arc": ("CIRCULARSTRING(0 0, 1 1, 2 0)", "arc"),
+    "straight compound curve": ("COMPOUNDCURVE((0 0, 1 1), (1 1, 2 0))", None),
+    "compound curve with an arc": ("COMPOUNDCURVE((0 0, 1 1), CIRCULARSTRING(1 1, 2 2, 3 1))", "arc"),
+    "straight curve polygon": ("CURVEPOLYGON(COMPOUNDCURVE((0 0, 9 0), (9 0, 9 9, 0 9, 0 0)), (1 1, 2 1, 2 2, 1 1))", None),
+    "curve polygon with a hole outside": ("CURVEPOLYGON((0 0, 9 0, 9 9, 0 9, 0 0), (11 1, 12 1, 12 2, 11 1))", "hole_outside_shell"),
+    "multisurface with parts inside": ("MULTISURFACE(((0 0, 9 0, 9 9, 0 9, 0 0)), CURVEPOLYGON((3 3, 4 3, 4 4, 3 3)))", "parts_overlap"),
+    "multicurve": ("MULTICURVE((0 0, 1 1), COMPOUNDCURVE((0 0, 5 0), CIRCULARSTRING(5 0, 6 1, 7 0)))", "arc"),
+    "collection": ("GEOMETRYCOLLECTION(POINT(1 2), LINESTRING(0 0, 1 1), POLYGON((0 0, 1 0, 1 1, 0 0)), POLYGON((0 0, 1 0, 1 1, 0 0)))", None),
+    "collection with a bowtie": ("GEOMETRYCOLLECTION(POINT(1 2), POLYGON((0 0, 2 2, 2 0, 0 2, 0 0)))", "ring_self_intersection"),
+    "collection in a collection": ("GEOMETRYCOLLECTION(GEOMETRYCOLLECTION(POINT EMPTY), GEOMETRYCOLLECTION(POLYGON((0 0, 2 2, 2 0, 0 2, 0 0))))", "ring_self_intersection"),
+    "collection with a multipolygon": (
+        "GEOMETRYCOLLECTION(MULTIPOLYGON(((0 0, 9 0, 9 9, 0 9, 0 0)), ((3 3, 4 3, 4 4, 3 3))), POINT(1 1))", "parts_overlap"),
+    "collection of overlapping polygons": ("GEOMETRYCOLLECTION(POLYGON((0 0, 9 0, 9 9, 0 9, 0 0)), POLYGON((3 3, 4 3, 4 4, 3 3)))", None),
+    "collection with an arc": ("GEOMETRYCOLLECTION(LINESTRING(0 0, 1 1), CIRCULARSTRING(0 0, 1 1, 2 0))", "arc"),
+    "collection with repeats": ("GEOMETRYCOLLECTION(POINT(0 0), MULTIPOINT(1 1, 1 1), LINESTRING(0 0, 10 0, 10 0, 20 0))", "repeated_points"),
+    "empty collection": ("GEOMETRYCOLLECTION(POINT EMPTY, POLYGON EMPTY)", "empty"),
     "square": ("POLYGON((0 0, 100 0, 100 100, 0 100, 0 0))", None),
     "line": ("LINESTRING(0 0, 100 100)", None),
     "point": ("POINT(100 200)", None),
@@ -116,7 +131,7 @@ def test_grid_finds_every_conflict(spark, monkeypatch, block):
     rows = [(k, 1, 1, i + 1, float(x), float(y)) for k, p in rings.items() for i, (x, y) in enumerate(p)]
     vertices = spark.createDataFrame(rows, "feature_id long, part int, ring int, idx int, x double, y double")
     features = spark.createDataFrame([(k, "POLYGON") for k in rings], "feature_id long, geom_type string")
-    found = geometry.segment_conflicts(geometry.meetings(geometry.polygon_segments(features, vertices))).collect()
+    found = geometry.segment_conflicts(geometry.judged_pairs(geometry.polygon_segments(features, vertices))).collect()
     got = {k: {(r.i, r.i2) for r in found if r.feature_id == k} for k in rings}
     assert got == {k: meets(p) for k, p in rings.items()}
 
@@ -145,7 +160,7 @@ def test_parts_inside_each_other(spark, monkeypatch, few):
 
 
 def test_wkt_round_trip(spark):
-    texts = {k: v[0] for k, v in CASES.items() if v[0] and " Z" not in v[0] and "CIRC" not in v[0]}
+    texts = {k: v[0] for k, v in CASES.items() if v[0] and " Z" not in v[0] and "CIRC" not in v[0] and "COLL" not in v[0] and "CURVE" not in v[0] and "SURF" not in v[0]}
     df = spark.createDataFrame(list(texts.items()), "name string, geom string")
     features, vertices = explode_wkt(df, "name", "geom")
     back = assemble_wkt(features, vertices.drop("z", "m")).withColumnRenamed("feature_id", "name")
@@ -192,6 +207,10 @@ WELL_FORMED = [
     "POINT EMPTY",
     "GEOMETRYCOLLECTION(POINT(1 2), LINESTRING(0 0, 1 1))",
     "COMPOUNDCURVE((0 0, 1 1),CIRCULARSTRING(1 1, 2 2, 3 1))",
+    "GEOMETRYCOLLECTION(POINT EMPTY)",
+    "GEOMETRYCOLLECTION Z(POINT Z (1 2 3), MULTIPOINT Z((1 2 3), EMPTY))",
+    "GEOMETRYCOLLECTION(POINT(1e3 -2E+4))",
+    "MULTISURFACE(((0 0, 1 0, 1 1, 0 0)), CURVEPOLYGON(CIRCULARSTRING(0 0, 1 1, 0 0)))",
     " SRID=3006; point ( 1  2 ) ",
 ]
 MALFORMED = [
@@ -208,6 +227,19 @@ MALFORMED = [
     "POINT(a b)",
     "LINESTRING(0 0,,1 1)",
     "POLYGON((0 0, 1 0, 1 1, 0 0),)",
+    "GEOMETRYCOLLECTION(POINT(1 2)",
+    "GEOMETRYCOLLECTION(POINT(1 2)) POINT(1 2)",
+    "GEOMETRYCOLLECTION(POINT(1 2),)",
+    "GEOMETRYCOLLECTION((1 2))",
+    "GEOMETRYCOLLECTION(POINT(1 2, 3 4))",
+    "GEOMETRYCOLLECTION(POLYGON(0 0, 1 0, 1 1, 0 0))",
+    "GEOMETRYCOLLECTION(POINT(1 2) LINESTRING(0 0, 1 1))",
+    "GEOMETRYCOLLECTION(CIRCLE(1 2))",
+    "GEOMETRYCOLLECTION(7, POINT(1 2))",
+    "COMPOUNDCURVE((0 0, 1 1), (2 2, 3 3))",
+    "COMPOUNDCURVE(LINESTRING(0 0, 1 1))",
+    "CURVEPOLYGON(COMPOUNDCURVE((0 0, 4 0), (5 0, 4 4, 0 0)))",
+    "MULTISURFACE((0 0, 1 0, 1 1, 0 0))",
 ]
 
 
@@ -223,3 +255,71 @@ def test_brackets_dimensions_and_empty_members(spark):
         assert back[same] == same
     assert back["MULTIPOLYGON(EMPTY,((0 0,1 0,1 1,0 0)))"] == "MULTIPOLYGON(((0 0, 1 0, 1 1, 0 0)))"
     assert back["MULTIPOLYGON(EMPTY)"] == "MULTIPOLYGON EMPTY"
+
+
+def exact_side(x, y, x2, y2, px, py):
+    from fractions import Fraction as Q
+
+    d = (Q(x2) - Q(x)) * (Q(py) - Q(y)) - (Q(px) - Q(x)) * (Q(y2) - Q(y))
+    return (d > 0) - (d < 0)
+
+
+def test_side_is_exact(spark):
+    """Points on a segment, one step of a double beside it, and everything in between, near 6,395,000."""
+    from pyspark.sql import functions as F
+
+    from tablekeep.functions.exact import side
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(600):
+        ox, oy = (6_395_000.0, 150_000.0) if k % 3 else (0.1, 0.7)
+        x, y, dx, dy = ox + rng.random(), oy + rng.random(), rng.integers(1, 50) / 8, rng.integers(1, 50) / 8
+        x2, y2 = x + 4 * dx, y + 4 * dy
+        px, py = x + dx * rng.integers(0, 5), y + dy * rng.integers(0, 5)
+        t = rng.integers(0, 5)
+        px, py = (px, py) if k % 2 else (x + t * dx, y + t * dy)
+        for _ in range(rng.integers(0, 3)):
+            px = float(np.nextafter(px, [np.inf, -np.inf][rng.integers(0, 2)]))
+        rows.append(tuple(map(float, (x, y, x2, y2, px, py))))
+    rows += [(0.0, 0.0, 4.0, 4.0, 2.0, 2.0), (1.0, 1.0, 1.0, 5.0, 1.0, 3.0), (0.5, 0.5, 12.0, 12.0, 24.0, 24.0), (1e100, 0.1, 1e-100, 3.0, 1e99, 2.0)]
+    df = spark.createDataFrame(rows, "x double, y double, x2 double, y2 double, px double, py double").repartition(3)
+    got = df.select("*", side(*map(F.col, ("x", "y", "x2", "y2", "px", "py"))).alias("s")).collect()
+    assert [r for r in got if r.s != exact_side(*r[:6])] == []
+    plain = [np.sign((r.x2 - r.x) * (r.py - r.y) - (r.px - r.x) * (r.y2 - r.y)) for r in got]
+    assert sum(p != r.s for p, r in zip(plain, got)) > 20  # doubles alone would be wrong here
+
+
+def test_crossing_one_step_from_touching(spark):
+    """A hole whose corner lies a single step of a double inside, on, or outside the shell's slanted edge."""
+    a, b = (6_395_000.1, 150_000.2), (6_395_010.7, 150_007.9)
+    px = 6_395_004.3
+    py = a[1] + (px - a[0]) * (b[1] - a[1]) / (b[0] - a[0])
+    texts, want = {}, {}
+    for k in range(-3, 4):
+        y = py
+        for _ in range(abs(k)):
+            y = float(np.nextafter(y, np.inf if k > 0 else -np.inf))
+        texts[k] = f"POLYGON(({a[0]!r} {a[1]!r}, {b[0]!r} 150000.0, {b[0]!r} {b[1]!r}, {a[0]!r} {a[1]!r}), ({px!r} {y!r}, {px!r} 150002.0, {px + 1!r} 150002.0, {px!r} {y!r}))"
+        want[k] = "rings_cross" if exact_side(*a, *b, px, y) > 0 else None
+    assert len(set(want.values())) == 2
+    assert {k: r.reason_code in ("rings_cross", "hole_outside_shell") for k, r in verdicts(spark, {str(k): v for k, v in texts.items()}).items()} == {str(k): v is not None for k, v in want.items()}
+
+
+def test_ring_on_itself_leaves_one_row(spark):
+    """A ring that runs along the same line over and over: many conflicting pairs, one stored row."""
+    rows = [(1, 1, 1, i + 1, float(i % 2), 0.0) for i in range(301)]
+    vertices = spark.createDataFrame(rows, "feature_id long, part int, ring int, idx int, x double, y double")
+    features = spark.createDataFrame([(1, "POLYGON")], "feature_id long, geom_type string")
+    met = geometry.meetings(geometry.polygon_segments(features, vertices)).collect()
+    assert [(r.i, r.i2) for r in met] == [(1, 2)]
+    assert geometry.ring_self_intersections(features, vertices).collect() == [(1, 1, 1, 1, 2)]
+
+
+def test_checks_by_member(spark):
+    texts = {k: CASES[k][0] for k in ("collection with a bowtie", "collection with repeats", "collection with a multipolygon", "arc", "collection with an arc", "straight compound curve")}
+    features, vertices = explode_wkt(spark.createDataFrame(list(texts.items()), "name string, geom string"), "name", "geom")
+    assert {(r.feature_id, r.part) for r in geometry.ring_self_intersections(features, vertices).collect()} == {("collection with a bowtie", 2)}
+    assert {(r.feature_id, r.part, r.first_idx) for r in geometry.repeated_points(features, vertices).collect()} == {("collection with repeats", 4, 2)}
+    assert set(map(tuple, geometry.hole_and_part_checks(features, vertices).collect())) == {("collection with a multipolygon", "parts_overlap")}
+    assert {r.feature_id for r in geometry.has_arc(features, vertices).collect()} == {"arc", "collection with an arc"}
