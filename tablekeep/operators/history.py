@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from tablekeep.config import Config
 from tablekeep.functions import naming, types
 from tablekeep.operators.conform import default_value, matching_columns, render_types
-from tablekeep.operators.ordering import cut_by_rows, neighbour
+from tablekeep.operators.ordering import cut_by_rows, neighbour, running_count
 
 KEY = ["schema_name", "table_name"]
 HEADER = ["h_type", "h_ts", "h_by"]
@@ -397,33 +397,76 @@ def propagate_renames(metadata: DataFrame, ddl_log: DataFrame) -> DataFrame:
     )
 
 
-def drop_cleanup(dropped: DataFrame, metadata: DataFrame, existing: DataFrame) -> DataFrame:
-    """History tables to drop with their parents. Metadata by stable id first, otherwise
-    the default name; history tables themselves and system schemas are ignored."""
-    parents = (
-        dropped.filter(
-            ~F.col("table_name").rlike(naming.HISTORY_SUFFIX)
-            & (F.col("schema_name") != "public")
-            & ~F.col("schema_name").rlike("^pg_")
-        )
-        .select("table_id", *KEY)
-        .distinct()
+def drops_in_scope(ddl_log: DataFrame, internal: Column | None = None) -> DataFrame:
+    """The drops that H14 cleans up after: no history table, nothing in public or a system schema,
+    and none that ``internal`` marks as a step of a restructuring or of a temporary table."""
+    own = (
+        ~F.col("table_name").rlike(naming.HISTORY_SUFFIX) & (F.col("schema_name") != "public") & ~F.col("schema_name").rlike("^pg_")
     )
-    found = parents.join(metadata.select("table_id", F.col("history_table").alias("_known")), "table_id", "left").select(
+    meant = F.lit(True) if internal is None else ~F.coalesce(internal, F.lit(False))
+    return ddl_log.filter((F.col("command") == "DROP TABLE") & own & meant)
+
+
+def drop_cleanup(ddl_log: DataFrame, metadata: DataFrame, existing: DataFrame, qa_functions: DataFrame | None = None, internal: Column | None = None) -> DataFrame:
+    """What goes with every dropped table: its history table, its QA function, its metadata row.
+
+    Names come from metadata by the stable id, otherwise they are the default ones. ``existing``
+    (tables) and ``qa_functions`` (schema_name, function_name) tell whether they are there.
+    """
+    parents = drops_in_scope(ddl_log, internal).select("table_id", *KEY).distinct()
+    named = "trigger_function" in metadata.columns
+    known = metadata.select(
+        "table_id", F.col("history_table").alias("_known"), (F.col("trigger_function") if named else F.lit(None).cast("string")).alias("_function"), F.lit(True).alias("_row")
+    )
+    function = F.coalesce("_function", F.concat(F.lit("trg_fn_"), "table_name", F.lit("_qa")))
+    found = parents.join(known, "table_id", "left").select(
         "table_id",
         *KEY,
         F.coalesce("_known", F.concat("table_name", F.lit("_h"))).alias("history_table"),
-        F.when(F.col("_known").isNotNull(), "metadata").otherwise("default_name").alias("found_by"),
+        F.when(F.col("_row"), "metadata").otherwise("default_name").alias("found_by"),
+        function.alias("function_name"),
     )
-    there = existing.select("schema_name", F.col("table_name").alias("history_table")).distinct()
-    return found.join(there.withColumn("_there", F.lit(True)), ["schema_name", "history_table"], "left").select(
-        "table_id", *KEY, "history_table", "found_by", F.coalesce("_there", F.lit(False)).alias("history_exists")
+    there = existing.select("schema_name", F.col("table_name").alias("history_table")).distinct().withColumn("_there", F.lit(True))
+    out = found.join(there, ["schema_name", "history_table"], "left").withColumn("history_exists", F.coalesce("_there", F.lit(False)))
+    columns = ["table_id", *KEY, "history_table", "found_by", "history_exists"]
+    if qa_functions is None:
+        return out.select(*columns)
+    functions = qa_functions.select("schema_name", "function_name").distinct().withColumn("_fn", F.lit(True))
+    return out.join(functions, ["schema_name", "function_name"], "left").select(
+        *columns, F.col("function_name").alias("trigger_function"), F.coalesce("_fn", F.lit(False)).alias("function_exists")
     )
 
 
-def registers_after_drop(register: DataFrame, dropped: DataFrame) -> DataFrame:
-    """H14 for a register: rows whose table was not dropped."""
-    return register.join(dropped.select(*KEY).distinct(), KEY, "left_anti")
+def metadata_after_drop(metadata: DataFrame, ddl_log: DataFrame, internal: Column | None = None) -> DataFrame:
+    """H14 for the metadata: rows whose table was dropped go. The id is never given to another table."""
+    return metadata.join(drops_in_scope(ddl_log, internal).select("table_id").distinct(), "table_id", "left_anti")
+
+
+def table_lifetimes(ddl_log: DataFrame, internal: Column | None = None) -> DataFrame:
+    """(schema_name, table_name, life, since, until): what lies between two cleaned-up drops of a name.
+
+    ``since`` is the drop before (NULL for the first life), ``until`` the drop that ends it (NULL for
+    the last). Every name in the log has a last life; names outside the scope have that one alone.
+    """
+    ends = drops_in_scope(ddl_log, internal).select(*KEY, F.col("seq").alias("until")).distinct()
+    last = ddl_log.select(*KEY).distinct().withColumn("until", F.lit(None).cast("bigint"))
+    log = cut_by_rows(ends.unionByName(last).withColumn("_at", F.coalesce("until", F.lit(2**63 - 1))), [*KEY, "_at"])
+    chained = neighbour(log, KEY, ["_at"], F.col("_piece"), F.col("until"), "since", -1)
+    numbered = running_count(chained, KEY, "_at", F.lit(True), "life", "_piece")
+    return numbered.select(*KEY, F.col("life").cast("bigint"), "since", "until")
+
+
+def registers_after_drop(register: DataFrame, ddl_log: DataFrame, written: str = "seq", internal: Column | None = None) -> DataFrame:
+    """H14 for a register: the rows that no drop of their table has cleared.
+
+    A row belongs to the life of the name in which it was written (``written``, a place in the log as
+    ``seq`` is), and goes with the drop that ends this life; a table dropped, made again and
+    registered keeps its row. A row that does not say when counts as older than the log. Only the last
+    drop of a name is needed to tell, one small row per name.
+    """
+    last = drops_in_scope(ddl_log, internal).groupBy(*KEY).agg(F.max("seq").alias("_dropped"))
+    alive = F.col("_dropped").isNull() | F.coalesce(F.col(written) > F.col("_dropped"), F.lit(False))
+    return register.join(last, KEY, "left").filter(alive).select(*register.columns)
 
 
 # ------------------------------------------------------------------ built on top

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tablekeep.config import Config
 from tablekeep.operators.alerts import suppress_alerts
 from tablekeep.plans.catalog import query
-from tablekeep.plans.governance import LOG, VALID
+from tablekeep.operators import names
+from tablekeep.plans.governance import AS_OF, FORWARD, LOG, OURS, READY, TABLE_ROWS, VALID
 from tablekeep.plans.histories import FOLD_EMPTY, HISTORY_OUT
 from tablekeep.session import scratch_path
 from tablekeep.streaming import events, stateful
@@ -107,3 +108,50 @@ def _(fx):
     fx["schema_events"].withColumn("ts", F.col("ts").cast("timestamp")).select("seq", "ts", "channel", "payload").write.parquet(path)
     stream = events.read_schema_events(fx.spark, {"path": path})
     return drained(events.dedupe_stream(stream, "60 days")).select("channel", "payload")
+
+
+def run_out(writer, spark) -> None:
+    """Start a stream writer and wait until its input is used up."""
+    writer.option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+
+
+def sliced(fx, df: DataFrame, label: str, slices: int = 3) -> DataFrame:
+    """Rows as a file stream of a few micro-batches, dealt out by hash."""
+    path = scratch_path(fx.spark, label)
+    for k in range(slices):
+        df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(slices)) == k).coalesce(1).write.mode("append").parquet(path)
+    return events.read_file_stream(fx.spark, path, df.schema, files_per_trigger=1)
+
+
+@query("s03_schema_events", """
+SELECT seq, channel, payload, CASE WHEN payload <> '' THEN 'events' ELSE 'empty' END AS sink FROM schema_events
+""")
+def _(fx):
+    path, out = scratch_path(fx.spark, "raw-events"), scratch_path(fx.spark, "schema-events")
+    fx["schema_events"].withColumn("ts", F.col("ts").cast("timestamp")).select("seq", "ts", "channel", "payload").write.parquet(path)
+    run_out(events.write_schema_events(events.raw_schema_events(fx.spark, {"path": path, "maxFilesPerTrigger": "2"}), out), fx.spark)
+    sinks = [fx.spark.read.schema(events.EVENT_SCHEMA).parquet(f"{out}/{name}").select("seq", "channel", "payload", F.lit(name).alias("sink")) for name in ("events", "empty")]
+    return sinks[0].unionByName(sinks[1])
+
+
+@query("t06_placeholder_stream", READY + f"""SELECT 'D' AS h_type, TIMESTAMP '{AS_OF}' AS h_ts, 'loader' AS h_by, r.*, true AS is_placeholder FROM r
+WHERE (r.schema_name, r.table_name) IN (SELECT (schema_name, table_name) FROM ready)
+  AND (r.schema_name, r.table_name, r.gid) IN (SELECT (schema_name, table_name, gid) FROM g)""")
+def _(fx):
+    rows, register = fx.sql(TABLE_ROWS), fx["placeholder_register"]
+    path = scratch_path(fx.spark, "placeholders")
+    # Every slice of the register comes with the first slice of the rows or before it.
+    entries = scratch_path(fx.spark, "placeholder-entries")
+    register.coalesce(1).write.parquet(entries)
+    registered = events.read_file_stream(fx.spark, entries, register.schema)
+    run_out(stateful.placeholder_stream(sliced(fx, rows, "placeholder-rows"), registered, path, AS_OF, "loader"), fx.spark)
+    return fx.spark.read.parquet(f"{path}/history").drop("batch_id")
+
+
+@query("t08_periodic_reconcile", "SELECT b.batch_id, x.* FROM (SELECT unnest([0, 1]) AS batch_id) b, (" + OURS + FORWARD + ") x")
+def _(fx):
+    path = scratch_path(fx.spark, "reconciled")
+    schemas, spaces = names.schema_names(fx["inv_tables"]), fx["external_workspaces"]
+    ticks = sliced(fx, fx["schema_events"].select("seq"), "ticks", 2)
+    run_out(events.reconcile_periodically(ticks, lambda: schemas, lambda: spaces, CFG, path), fx.spark)
+    return fx.spark.read.parquet(path)

@@ -371,6 +371,18 @@ SELECT e.event_id AS seq, e.ts, t.table_id, t.schema_name, t.table_name,
        THEN CASE e.event_id % 3 WHEN 0 THEN 'POINT' WHEN 1 THEN 'LINESTRING' ELSE 'POLYGON' END END AS geom_type
 FROM events e JOIN inv_tables t ON t.table_id = e.user_id
 """
+# Rows of the three registers with the place in the log where they were written; the upsert keeps the last.
+VIEWS["register_rows"] = """
+SELECT CASE WHEN geom_type IS NOT NULL THEN 'srid_deviation' WHEN command = 'CREATE TABLE' THEN 'pending_geometry' ELSE 'placeholder' END AS register,
+  schema_name, table_name, max(seq) AS seq
+FROM ddl_log WHERE command <> 'DROP TABLE' AND seq % 3 <> 1
+GROUP BY CASE WHEN geom_type IS NOT NULL THEN 'srid_deviation' WHEN command = 'CREATE TABLE' THEN 'pending_geometry' ELSE 'placeholder' END,
+  schema_name, table_name
+UNION ALL
+SELECT 'placeholder', history_schema, history_table, CAST(NULL AS BIGINT) FROM history_metadata
+UNION ALL
+SELECT 'placeholder', schema_name, table_name, CAST(NULL AS BIGINT) FROM placeholder_register
+"""
 VIEWS["schema_ddl"] = """
 SELECT e.event_id AS seq, t.schema_name,
   CASE e.event_type WHEN 'click' THEN concat('ALTER SCHEMA ', t.schema_name, ' RENAME TO x', CAST(e.event_id AS STRING))

@@ -165,26 +165,44 @@ def _(fx):
     return history.propagate_renames(fx["history_metadata"], fx["ddl_log"])
 
 
-@query("h14_drop_cleanup", """
+DROPS = """(SELECT * FROM ddl_log WHERE command = 'DROP TABLE' AND right(table_name, 2) <> '_h' AND schema_name <> 'public' AND left(schema_name, 3) <> 'pg_')"""
+
+
+@query("h14_drop_cleanup", f"""
 SELECT d.table_id, d.schema_name, d.table_name, coalesce(m.history_table, concat(d.table_name, '_h')) AS history_table,
   CASE WHEN m.table_id IS NULL THEN 'default_name' ELSE 'metadata' END AS found_by,
   EXISTS (SELECT 1 FROM inv_all_tables t WHERE t.schema_name = d.schema_name
-    AND t.table_name = coalesce(m.history_table, concat(d.table_name, '_h'))) AS history_exists
-FROM (SELECT DISTINCT table_id, schema_name, table_name FROM ddl_log WHERE command = 'DROP TABLE') d
+    AND t.table_name = coalesce(m.history_table, concat(d.table_name, '_h'))) AS history_exists,
+  concat('trg_fn_', d.table_name, '_qa') AS trigger_function,
+  (d.schema_name, concat('trg_fn_', d.table_name, '_qa')) IN (SELECT (schema_name, function_name) FROM qa_functions) AS function_exists
+FROM (SELECT DISTINCT table_id, schema_name, table_name FROM {DROPS}) d
 LEFT JOIN history_metadata m ON m.table_id = d.table_id
-WHERE right(d.table_name, 2) <> '_h' AND d.schema_name <> 'public' AND left(d.schema_name, 3) <> 'pg_'
 """)
 def _(fx):
-    dropped = fx["ddl_log"].filter("command = 'DROP TABLE'")
-    return history.drop_cleanup(dropped, fx["history_metadata"], fx["inv_all_tables"])
+    return history.drop_cleanup(fx["ddl_log"], fx["history_metadata"], fx["inv_all_tables"], fx["qa_functions"])
+
+
+@query("h14_registers_after_drop", f"""
+SELECT r.* FROM register_rows r WHERE NOT EXISTS (SELECT 1 FROM {DROPS} d
+  WHERE d.schema_name = r.schema_name AND d.table_name = r.table_name AND d.seq >= coalesce(r.seq, -1))
+""")
+def _(fx):
+    return history.registers_after_drop(fx["register_rows"], fx["ddl_log"])
+
+
+@query("h14_metadata_after_drop", f"SELECT * FROM history_metadata WHERE table_id NOT IN (SELECT table_id FROM {DROPS})")
+def _(fx):
+    return history.metadata_after_drop(fx["history_metadata"], fx["ddl_log"])
 
 
-@query("h14_registers_after_drop", """
-SELECT r.* FROM placeholder_register r WHERE NOT EXISTS (SELECT 1 FROM ddl_log d WHERE d.command = 'DROP TABLE'
-  AND d.schema_name = r.schema_name AND d.table_name = r.table_name)
+@query("h14_table_lifetimes", f"""
+WITH e AS (SELECT schema_name, table_name, seq AS until FROM {DROPS}
+  UNION ALL SELECT DISTINCT schema_name, table_name, CAST(NULL AS BIGINT) FROM ddl_log)
+SELECT schema_name, table_name, row_number() OVER w AS life, lag(until) OVER w AS since, until
+FROM e WINDOW w AS (PARTITION BY schema_name, table_name ORDER BY until NULLS LAST)
 """)
 def _(fx):
-    return history.registers_after_drop(fx["placeholder_register"], fx["ddl_log"].filter("command = 'DROP TABLE'"))
+    return history.table_lifetimes(fx["ddl_log"])
 
 
 @query("h15_as_of", FOLD_CURRENT + """SELECT gid, varde, detalj, skapad_tidpunkt, skapad_av FROM (

@@ -41,6 +41,21 @@ def raw_schema_events(spark: SparkSession, source: dict[str, str]) -> DataFrame:
     return rows.select(F.from_json(F.col("value").cast("string"), EVENT_SCHEMA).alias("e")).select("e.*")
 
 
+def write_schema_events(events: DataFrame, path: str):
+    """S3 as a stream writer: one reader of the source, two sinks. Events with a payload go to
+    ``path``/events, the others, for a warning, to ``path``/empty; both by batch id, so a repeated
+    batch replaces itself. ``events`` are ``raw_schema_events``."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        filled = F.coalesce(F.col("payload") != "", F.lit(False))
+        for name, part in (("events", batch.filter(filled)), ("empty", batch.filter(~filled))):
+            part.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+        batch.unpersist()
+
+    return events.writeStream.foreachBatch(run)
+
+
 def lifecycle_stream(events: DataFrame, cfg: Config) -> DataFrame:
     """T2 as a stream (update mode): the running latest state per schema. The state is one small
     mergeable aggregate per schema, combined before the shuffle."""

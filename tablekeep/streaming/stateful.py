@@ -20,14 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tablekeep.config import Config
 from tablekeep.functions import naming
 from tablekeep.operators.alerts import MICROS, fold_alerts
-from tablekeep.operators.registers import (
-    KEY,
-    _by_system_user,
-    _clears,
-    _creates_suffixed,
-    drop_placeholders,
-    governed,
-)
+from tablekeep.operators.registers import KEY, _by_system_user, _clears, _creates_suffixed, governed
 
 
 def _in_order(batches: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
@@ -180,21 +173,56 @@ def write_history_and_late(history: DataFrame, path: str, late_path: str, key: l
     return history.writeStream.foreachBatch(run)
 
 
-def placeholder_stream(rows: DataFrame, register: DataFrame, path: str, as_of: str, user: str):
-    """Stream writer that records which placeholder rows the first real rows make obsolete.
+def placeholder_stream(rows: DataFrame, registered: DataFrame, path: str, as_of: str, user: str):
+    """Stream writer that takes placeholder rows away once their table has a real row.
 
-    ``register`` is the register when the stream starts. Every batch compares its rows with what
-    earlier batches left of it; the removals of a batch are its own folder under ``path``.
+    ``rows`` (schema_name, table_name, gid and more) and ``registered`` (schema_name, table_name,
+    gid) are both streams; an entry has to come in the batch of its row or before, else the row counts
+    as real. Under ``path`` every batch writes its own folders: ``history`` (the ``D`` rows, as G13
+    has them), ``spent`` (register entries that go), and ``state``, which the next batch reads: entries that
+    stay with the row seen of each, and the tables that have real rows. A batch reads the state of the
+    batch before it alone, and removes the one before that; a repeated batch replaces its folders.
     """
-    spark = rows.sparkSession
-    removed_schema = register.schema
+    spark, columns = rows.sparkSession, rows.columns
+    image = F.struct(*columns)
+    entry_type = rows.select(*KEY, "gid").schema
+    state_type = T.StructType([*entry_type, T.StructField("real", T.BooleanType()), T.StructField("image", rows.select(image.alias("i")).schema["i"].dataType)])
+    none = F.lit(None).cast(state_type["image"].dataType)
+    both = rows.select(*KEY, "gid", image.alias("image")).unionByName(registered.select(*KEY, "gid", none.alias("image")))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        done = spark.read.schema(removed_schema.add("batch_id", "long")).option("basePath", path)
-        gone = done.parquet(f"{path}/batch_id=*").filter(F.col("batch_id") < batch_id) if batch_id else None
-        left = register if gone is None else register.join(gone, [*KEY, "gid"], "left_anti")
-        kept = drop_placeholders(batch, left, as_of, user)["register"]
-        spent = left.join(kept, [*KEY, "gid"], "left_anti")
-        spent.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return rows.writeStream.foreachBatch(run)
+        batch = batch.persist()
+        if batch_id:
+            before = spark.read.schema(state_type).parquet(f"{path}/state/batch_id={batch_id - 1}")
+        else:
+            before = spark.createDataFrame([], state_type)
+        fresh = batch.filter("image IS NULL").select(*KEY, "gid").distinct()
+        held = before.filter("gid IS NOT NULL")
+        arrived = batch.filter("image IS NOT NULL")
+        # A row seen twice keeps the first image that the state has; entries are few, rows are not.
+        entries = held.select(*KEY, "gid", "image").unionByName(fresh.join(held.select(*KEY, "gid"), [*KEY, "gid"], "left_anti").withColumn("image", none))
+        seen = arrived.join(entries.select(*KEY, "gid"), [*KEY, "gid"], "left_semi").groupBy(*KEY, "gid").agg(F.min_by("image", F.to_json("image")).alias("_seen"))
+        entries = entries.join(seen, [*KEY, "gid"], "left").select(*KEY, "gid", F.coalesce("image", "_seen").alias("image"))
+        # Real rows are counted per table before anything is joined, as in the batch operator.
+        total = arrived.groupBy(*KEY).agg(F.count("*").alias("_n"))
+        known = arrived.join(entries.select(*KEY, "gid"), [*KEY, "gid"], "left_semi").groupBy(*KEY).agg(F.count("*").alias("_k"))
+        real = total.join(known, KEY, "left").filter(F.col("_n") > F.coalesce("_k", F.lit(0))).select(*KEY)
+        real = real.unionByName(before.filter("gid IS NULL").select(*KEY)).distinct()
+        # An entry whose row is still to come stays until then, also where the table has real rows.
+        judged = entries.join(real.withColumn("_real", F.lit(True)), KEY, "left").withColumn("_gone", F.col("_real").isNotNull() & F.col("image").isNotNull())
+        stays = judged.filter("NOT _gone").select(*KEY, "gid", F.lit(False).alias("real"), "image")
+        tables = real.select(*KEY, F.lit(None).cast(entry_type["gid"].dataType).alias("gid"), F.lit(True).alias("real"), none.alias("image"))
+        gone = judged.filter("_gone")
+        history = gone.select(
+            F.lit("D").alias("h_type"), F.lit(as_of).cast("timestamp_ntz").alias("h_ts"), F.lit(user).alias("h_by"),
+            *(F.col("image")[c].alias(c) for c in columns), F.lit(True).alias("is_placeholder"),
+        )
+        history.write.mode("overwrite").parquet(f"{path}/history/batch_id={batch_id}")
+        gone.select(*KEY, "gid").write.mode("overwrite").parquet(f"{path}/spent/batch_id={batch_id}")
+        stays.unionByName(tables).write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+        if batch_id > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state/batch_id={batch_id - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        batch.unpersist()
+
+    return both.writeStream.foreachBatch(run)

@@ -38,12 +38,34 @@ def test_late_events_go_to_their_own_table(spark):
 
 def test_placeholders_go_with_the_first_real_row(spark):
     schema = "schema_name string, table_name string, gid long, body string"
-    register = spark.createDataFrame([("s", "a_p", 1), ("s", "b_p", 1)], "schema_name string, table_name string, gid long")
-    rows = stream(spark, [[("s", "a_p", 1, "placeholder"), ("s", "b_p", 1, "placeholder")], [("s", "a_p", 2, "real")], [("s", "a_p", 3, "real")]], schema)
+    entry = "schema_name string, table_name string, gid long"
+    rows = stream(
+        spark,
+        [[("s", "a_p", 1, "placeholder"), ("s", "b_p", 1, "placeholder")],
+         [("s", "a_p", 2, "real"), ("s", "a_p", 1, "seen again"), ("s", "c_p", 5, "placeholder")],
+         [("s", "a_p", 3, "real"), ("s", "c_p", 9, "real")],
+         [("s", "a_p", 7, "placeholder, registered after real rows")]],
+        schema,
+    )
+    registered = stream(spark, [[("s", "a_p", 1), ("s", "b_p", 1)], [("s", "c_p", 5)], [("s", "a_p", 7)], [("s", "b_p", 1)]], entry)
     path = scratch_path(spark, "removed")
-    drain(stateful.placeholder_stream(rows, register, path, "2024-02-01 00:00:00", "loader"), spark)
-    got = [(r.table_name, r.gid, r.batch_id) for r in spark.read.parquet(path).collect()]
-    assert got == [("a_p", 1, 1)]
+    drain(stateful.placeholder_stream(rows, registered, path, "2024-02-01 00:00:00", "loader"), spark)
+    got = sorted((r.table_name, r.gid, r.body, r.batch_id) for r in spark.read.parquet(f"{path}/history").collect())
+    assert got == [("a_p", 1, "placeholder", 1), ("a_p", 7, "placeholder, registered after real rows", 3), ("c_p", 5, "placeholder", 2)]
+    assert {(r.h_type, r.h_by, r.is_placeholder) for r in spark.read.parquet(f"{path}/history").collect()} == {("D", "loader", True)}
+    spent = sorted((r.table_name, r.gid, r.batch_id) for r in spark.read.parquet(f"{path}/spent").collect())
+    assert spent == [("a_p", 1, 1), ("a_p", 7, 3), ("c_p", 5, 2)]
+    kept = spark.read.parquet(f"{path}/state")
+    assert {r.batch_id for r in kept.select("batch_id").distinct().collect()} == {2, 3}  # earlier states are gone
+    assert [(r.table_name, r.gid) for r in kept.filter("batch_id = 3 AND gid IS NOT NULL").collect()] == [("b_p", 1)]
+
+
+def test_events_without_payload_have_their_own_sink(spark):
+    rows = stream(spark, [[(1, at(1), "schema_create", "sk0_ext_a"), (2, at(1), "schema_drop", "")], [(3, at(2), "schema_drop", None)]], events.EVENT_SCHEMA)
+    path = scratch_path(spark, "sinks")
+    drain(events.write_schema_events(rows, path), spark)
+    got = {name: sorted((r.seq, r.batch_id) for r in spark.read.parquet(f"{path}/{name}").collect()) for name in ("events", "empty")}
+    assert got == {"events": [(1, 0)], "empty": [(2, 0), (3, 1)]}
 
 
 def test_periodic_reconcile(spark):
