@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,8 +46,10 @@ SCOPES = set("html body article section div main table ul ol dl td th aside nav
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|textarea|title|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""",
+    r"|<(script|style|textarea|title|noscript|template|iframe|svg)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    # Attributes: quoted values whole, a lone quote only where no closing one follows; nothing is read twice. A tag
+    # that has no end this way ends at the next angle bracket.
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+(?=>|\Z)|[^<>]*+)(?:>|\Z|(?=<))""",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -83,6 +86,7 @@ class Page:
         self.texts: list[tuple[int, str]] = []  # (node, text of one block)
         self.pieces: list[str] = []
         self.open: list[tuple[str, int]] = []  # (tag, its node or the one around it)
+        self.inside: Counter = Counter()  # open elements by tag
         self.skipping = 0  # open elements when a dropped one began, else 0
         at = 0
         for m in TOKEN.finditer(source):
@@ -105,7 +109,7 @@ class Page:
             n = len("".join(text.split()))
             node = self.node()
             self.chars[node] += n
-            if n and any(t == "a" for t, _ in self.open):
+            if n and self.inside["a"]:
                 self.link_chars[node] += n
             self.pieces.append(text)
 
@@ -123,7 +127,7 @@ class Page:
             self.imply(tag, CLOSES[tag])
         if self.skipping:
             if tag not in VOID:
-                self.open.append((tag, self.node()))
+                self.push(tag, self.node())
             return
         block = tag in BLOCKS
         if block:
@@ -134,10 +138,10 @@ class Page:
         if tag in VOID:
             self.tags[node] += 1
             return
-        mark = furniture(tag, attributes, any(t in ("article", "main") for t, _ in self.open))
+        mark = furniture(tag, attributes, self.inside["article"] + self.inside["main"] > 0)
         if mark == CERTAIN:
             self.flush()
-            self.open.append((tag, node))
+            self.push(tag, node)
             self.skipping = len(self.open)
             return
         if block or mark:
@@ -157,10 +161,16 @@ class Page:
         else:
             self.tags[node] += 1
             self.links[node] += tag == "a"
+        self.push(tag, node)
+
+    def push(self, tag: str, node: int) -> None:
         self.open.append((tag, node))
+        self.inside[tag] += 1
 
     def imply(self, tag: str, closed: set[str]) -> None:
         """End tags that a start tag implies: up to the innermost of ``closed`` within its scope."""
+        if not any(self.inside[t] for t in closed):
+            return None
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in closed:
                 return self.close(i)
@@ -168,6 +178,8 @@ class Page:
                 return None
 
     def end(self, tag: str, attributes: str) -> None:
+        if not self.inside[tag]:
+            return None
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 return self.close(i)
@@ -177,6 +189,7 @@ class Page:
     def close(self, keep: int) -> None:
         if not self.skipping and any(t in BLOCKS or n in self.marked for t, n in self.open[keep:]):
             self.flush()
+        self.inside.subtract(t for t, _ in self.open[keep:])
         del self.open[keep:]
         if self.skipping > keep:
             self.skipping = 0
@@ -203,20 +216,18 @@ class Page:
                 while node >= 0 and node not in above:
                     above.add(node)
                     node = self.parent[node]
-        inner: list[set[int]] = [set() for _ in range(n)]  # nodes with text in each candidate, two at most
+        inner = [0] * n  # nodes with text in each subtree
         for node in {node for node, _ in self.texts}:
-            at = node
-            while at >= 0:
-                if at in self.marked and len(inner[at]) < 2:
-                    inner[at].add(node)
-                at = self.parent[at]
+            inner[node] = 1
+        for i in range(n - 1, 0, -1):
+            inner[self.parent[i]] += inner[i]
         gone = [False] * n
         for i in range(1, n):
             gone[i] = gone[self.parent[i]]
             if gone[i] or i not in self.marked:
                 continue
             linked = links[i] >= LINKED * max(chars[i], 1)
-            wraps = self.marked[i] == HINT or len(inner[i]) > 1 or chars[i] == chars[0]
+            wraps = self.marked[i] == HINT or inner[i] > 1 or chars[i] == chars[0]
             if (i in holds or 2 * chars[i] > chars[0]) and not linked and wraps:
                 continue
             sparse = chars[i] * tags[0] < SPARSE * chars[0] * tags[i]

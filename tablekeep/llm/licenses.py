@@ -132,8 +132,12 @@ def passages(block: Column, pattern: str) -> Column:
 
 
 def train(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[dict[str, list[float]], list[float], dict[str, list[list[str]]]]:
-    """Model and templates. Ordinary are the distinct passages of smallest hash that no template confirms;
-    every second one is held back for calibration."""
+    """Model and templates. Ordinary are passages that no template confirms, of blocks drawn by hash; the
+    distinct ones of smallest hash, every second of them held back for calibration.
+
+    The number of distinct blocks that have a gate word sets the share that is drawn, about twice
+    ``max_ordinary`` blocks, so only these are cut into passages and no task brings more of them with the table's size.
+    """
     spark = docs.sparkSession
     notices = [(t, FAMILIES.index(f)) for f, texts in NOTICES.items() for t in texts]
     marked = spark.createDataFrame(notices, "text string, c int").select(ngrams(F.col("text")).alias("g"), "c").collect()
@@ -143,6 +147,9 @@ def train(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[dict[str,
     pattern = gate([r.g for r in marked])
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.lower("text").rlike(pattern))
     blocks = texts.select(F.explode(F.split("text", BLANK)).alias("block")).filter(F.lower("block").rlike(pattern))
+    n_blocks = max(blocks.select(F.xxhash64("block")).distinct().count(), 1)
+    share = min(1.0, 2 * max_ordinary / n_blocks)
+    blocks = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
     scored = blocks.select(F.explode(passages(F.col("block"), pattern)).alias("p")).select("p.text").distinct().select("text", ngrams(F.col("text")).alias("g"))
     ordinary = scored.filter(~confirmed(F.col("g"), template_array([r.g for r in marked])))
     some = [r.g for r in ordinary.orderBy(F.xxhash64("text"), "text").limit(max_ordinary).select("g").collect()]

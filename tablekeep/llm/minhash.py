@@ -30,6 +30,7 @@ ROWS, BANDS = 6, 42  # a pair at 0.8 is missed by all bands with probability 3e-
 BITS = 2
 SIGMAS = 5  # how far below the threshold an estimate may be
 BLOCK = 1 << 16  # shingles hashed at once
+SLICE = 1 << 20  # bytes of text worked on at once
 
 _RANDOM = np.random.default_rng(20240229)  # the same permutations everywhere
 _TIMES = _RANDOM.integers(0, 2**31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -104,7 +105,7 @@ def _lists(rows: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 def _signatures(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 sets = shingle_sets(part.column("text"), length)
                 full = np.array([len(s) > 0 for s in sets])
                 low = minima([s for s in sets if len(s)]) if full.any() else np.zeros((0, LANES), np.uint32)
@@ -126,7 +127,7 @@ def _signatures(length: int):
 def _node_sets(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 sets = shingle_sets(part.column("text"), length)
                 lists = _lists(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "shingles"])
@@ -160,7 +161,8 @@ class _Search:
         shared = F.size(F.array_intersect("sa", "sb"))
         exact = pairs.join(b, "b").join(a, "a").withColumn("shared", shared)
         union = F.col("na") + F.col("nb") - F.col("shared")
-        return exact.filter(F.col("shared") >= self.threshold * union - 1e-9).select("a", "b")
+        # Whole numbers: no rounding decides at the threshold itself.
+        return exact.filter(100 * F.col("shared") >= round(100 * self.threshold) * union).select("a", "b")
 
     def rooted(self, nodes: DataFrame) -> DataFrame:
         return nodes.join(self.roots.toDF("node", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
