@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tablekeep.session import materialize
 
+PIECE_ROWS = 2_000_000  # rows of a piece that one task may have to hold
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -44,14 +45,18 @@ def dense_ids(
     )
 
 
-def cut_by_rows(df: DataFrame, order_by: list[str], name: str = "_piece", partitions: int | None = None) -> DataFrame:
+def cut_by_rows(df: DataFrame, order_by: list[str], name: str = "_piece", partitions: int | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """The rows with a piece number that grows with ``order_by`` and cuts the table by row count.
 
     Pieces are range partitions, so whatever the keys and times are, a group that fills most of the
     table lies in many pieces of about equal size. ``order_by`` has to tell rows apart (end it with a
     sequence number). Written once to the shared folder, which fixes the pieces for all later uses.
-    Small tables end up in few pieces; ``partitions`` sets the number.
+    A table of up to ``piece_rows`` rows may end up in few pieces or one; beyond, the row count gives
+    their number, so that a piece does not grow with the table. ``partitions`` sets it outright.
     """
+    if partitions is None:
+        wanted = -(-df.count() // piece_rows)
+        partitions = max(wanted, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if wanted > 1 else None
     ranged = df.repartitionByRange(partitions, *order_by) if partitions else df.repartitionByRange(*order_by)
     return materialize(ranged.withColumn(name, F.spark_partition_id()), "pieces")
 

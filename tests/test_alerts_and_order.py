@@ -66,3 +66,50 @@ def test_chunked_windows(spark):
             nxt = mine[n + 1][1] if n + 1 < len(mine) else None
             assert got[i] == (nxt, mine[n - 1][1] if n else None, seen, nulls)
             seen = v if v is not None else seen
+
+
+def test_pieces_stay_bounded_as_rows_double(spark):
+    from pyspark.sql import functions as F
+
+    from tablekeep.operators.ordering import cut_by_rows
+
+    for n in (4_000, 8_000, 16_000, 32_000):
+        rows = spark.range(n).select((F.col("id") % 3).alias("k"), F.col("id").alias("seq")).repartition(5)
+        pieces = cut_by_rows(rows, ["k", "seq"], piece_rows=500).groupBy("_piece").count().collect()
+        assert sum(r["count"] for r in pieces) == n
+        assert max(r["count"] for r in pieces) <= 900, n
+
+
+def test_two_writers_at_once_leave_both_changes(spark, tmp_path):
+    import threading
+
+    from tablekeep.sources import tables
+
+    path, schema = str(tmp_path / "register"), "k int, who string"
+    tables.write_register(spark.createDataFrame([(0, "first")], schema), path, ["k"])
+    failures = []
+
+    def write(n):
+        try:
+            for i in range(3):
+                tables.write_register(spark.createDataFrame([(10 * n + i, f"writer {n}")], schema), path, ["k"])
+        except Exception as exc:  # noqa: BLE001
+            failures.append(exc)
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in (1, 2, 3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert failures == []
+    assert sorted(r.k for r in tables.read_register(spark, path).collect()) == [0, 10, 11, 12, 20, 21, 22, 30, 31, 32]
+    assert tables.latest_version(spark, path) == 9
+    assert [r.k for r in tables.read_register(spark, path, 0).collect()] == [0]
+    for i in range(3):  # retention: the oldest go with their data
+        tables.write_register(spark.createDataFrame([(0, f"again {i}")], schema), path, ["k"], keep=3)
+    assert sorted(int(p.name) for p in (tmp_path / "register" / "versions").iterdir() if p.name.isdigit()) == [10, 11, 12]
+    assert len(list((tmp_path / "register" / "data").iterdir())) == 3
+    (tmp_path / "register" / "versions" / "000000000013").touch()  # a writer that died at its marker
+    assert tables.read_register(spark, path).filter("k = 0").first().who == "again 2"
+    assert tables.write_register(spark.createDataFrame([(5, "after")], schema), path, ["k"]) == 14
+    assert tables.read_register(spark, path).count() == 11
