@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekeep.llm.words import take
+from tablekeep.session import materialize
 
 # Labelled notices by family.
 NOTICES = {
@@ -136,7 +137,8 @@ def train(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[dict[str,
     distinct ones of smallest hash, every second of them held back for calibration.
 
     The number of distinct blocks that have a gate word sets the share that is drawn, about twice
-    ``max_ordinary`` blocks, so only these are cut into passages and no task brings more of them with the table's size.
+    ``max_ordinary`` blocks, so only these are cut into passages; of the passages as many are drawn, so n-grams and
+    templates are worked out for these alone, and no task brings more of them with the table's size.
     """
     spark = docs.sparkSession
     notices = [(t, FAMILIES.index(f)) for f, texts in NOTICES.items() for t in texts]
@@ -150,7 +152,10 @@ def train(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[dict[str,
     n_blocks = max(blocks.select(F.xxhash64("block")).distinct().count(), 1)
     share = min(1.0, 2 * max_ordinary / n_blocks)
     blocks = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
-    scored = blocks.select(F.explode(passages(F.col("block"), pattern)).alias("p")).select("p.text").distinct().select("text", ngrams(F.col("text")).alias("g"))
+    texts = materialize(blocks.select(F.explode(passages(F.col("block"), pattern)).alias("p")).select("p.text").distinct(), "passages")
+    share = min(1.0, 2 * max_ordinary / max(texts.count(), 1))
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    scored = some.select("text", ngrams(F.col("text")).alias("g"))
     ordinary = scored.filter(~confirmed(F.col("g"), template_array([r.g for r in marked])))
     some = [r.g for r in ordinary.orderBy(F.xxhash64("text"), "text").limit(max_ordinary).select("g").collect()]
     rows = [(r.g, r.c) for r in marked] + [(g, 0) for g in some[::2]]
