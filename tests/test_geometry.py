@@ -323,3 +323,81 @@ def test_checks_by_member(spark):
     assert {(r.feature_id, r.part, r.first_idx) for r in geometry.repeated_points(features, vertices).collect()} == {("collection with repeats", 4, 2)}
     assert set(map(tuple, geometry.hole_and_part_checks(features, vertices).collect())) == {("collection with a multipolygon", "parts_overlap")}
     assert {r.feature_id for r in geometry.has_arc(features, vertices).collect()} == {"arc", "collection with an arc"}
+
+
+def inside(p, ring):
+    """1 inside, 0 on, -1 outside of a closed ring of whole-number points."""
+    odd = False
+    for (x, y), (x2, y2) in zip(ring, ring[1:]):
+        s = (x2 - x) * (p[1] - y) - (p[0] - x) * (y2 - y)
+        if s == 0 and min(x, x2) <= p[0] <= max(x, x2) and min(y, y2) <= p[1] <= max(y, y2):
+            return 0
+        if (y > p[1]) != (y2 > p[1]) and (s > 0) == (y2 > y):
+            odd = not odd
+    return 1 if odd else -1
+
+
+def comb(teeth, height=1000, x0=0):
+    """A closed ring: a bar with upright teeth and gaps of one unit each."""
+    top = [(x0 + 2 * teeth, 0)]
+    for k in range(teeth - 1, -1, -1):
+        top += [(x0 + 2 * k + 1, height), (x0 + 2 * k, height), (x0 + 2 * k, 1), (x0 + 2 * k - 1, 1)]
+    return [(x0 - 1, 0), *top, (x0 - 1, 0)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_placement_in_cells_against_brute_force(spark, monkeypatch, seed):
+    """Large star-shaped and comb-shaped parts with triangles anywhere in and around them, corners of the grid included."""
+    monkeypatch.setattr(geometry, "CELL", [1, 2, 4, 16][seed])
+    rng = np.random.default_rng(seed)
+    angle = np.linspace(0, 2 * np.pi, 80, endpoint=False)
+    radius = rng.integers(30, 100, 80)
+    shell = [tuple(map(int, p)) for p in np.round(np.c_[np.cos(angle), np.sin(angle)] * radius[:, None])]
+    shells = {1: [*shell, shell[0]], 2: comb(40, 60, 200), 3: [(y, x) for x, y in comb(40, 60, 300)]}
+    rings = {(p, 1): r for p, r in shells.items()}
+    for part, (low, high) in {1: (-110, 110), 2: (195, 290), 3: (-20, 400)}.items():
+        for k in range(2, 40):
+            x, y = rng.integers(low, high), rng.integers(-110, 110) if part == 1 else rng.integers(-5, 70)
+            x, y = (y, x) if part == 3 else (x, y)
+            a = [(x, y), (x + rng.integers(1, 3), y), (x, y + rng.integers(1, 3))]
+            rings[part, k] = [tuple(map(int, q)) for q in [*a, a[0]]]
+    rows = [(1, p, r, i + 1, float(x), float(y)) for (p, r), pts in rings.items() for i, (x, y) in enumerate(pts)]
+    vertices = spark.createDataFrame(rows, "feature_id long, part int, ring int, idx int, x double, y double")
+    features = spark.createDataFrame([(1, "MULTIPOLYGON")], "feature_id long, geom_type string")
+    found = {(r.part, r.ring, r.reason_code, r.part2) for r in geometry.misplaced_vertices(geometry.polygon_segments(features, vertices)).collect()}
+    want = set()
+    for (p, r), pts in rings.items():
+        for q in pts[:-1]:
+            if r > 1 and inside(q, rings[p, 1]) < 0:
+                want.add((p, r, "hole_outside_shell", p))
+            for t in shells:
+                others = [inside(q, ring) for (part, k), ring in rings.items() if part == t and (part, k) != (p, r)]
+                holes = [inside(q, ring) for (part, k), ring in rings.items() if part == t == p and k > 1 and k != r]
+                if t != p and 0 not in others and others.count(1) % 2:
+                    want.add((p, r, "parts_overlap", t))
+                if t == p and r > 1 and 0 not in holes and holes.count(1) % 2:
+                    want.add((p, r, "holes_nested", p))
+    assert {f for f in found if f in want} == want
+    assert len(want) > 20 and len({w[2] for w in want}) >= 2
+    # What else is found comes from the middles of segments whose ends both touch.
+    assert all(geometry.REASONS[f[2]] for f in found - want) and len(found - want) <= 0.2 * len(want)
+
+
+def test_comb_stays_linear(spark):
+    """Rows of the cell and crossing tables of a comb grow with its teeth, not with their square."""
+    from pyspark.sql import functions as F
+
+    sizes = []
+    for teeth in (2_000, 4_000):
+        pts = comb(teeth)
+        hole = [(2, 100), (2.5, 100), (2.25, 200), (2, 100)]
+        rows = [(1, 1, r, i + 1, float(x), float(y)) for r, ring in ((1, pts), (2, hole)) for i, (x, y) in enumerate(ring)]
+        vertices = spark.createDataFrame(rows, "feature_id long, part int, ring int, idx int, x double, y double")
+        segments = geometry.polygon_segments(spark.createDataFrame([(1, "POLYGON")], "feature_id long, geom_type string"), vertices)
+        grids = geometry.part_grids(segments.filter("several"))
+        walls = segments.join(grids, ["feature_id", "part"]).withColumnsRenamed({"part": "t_part", "ring": "t_ring"})
+        cells = geometry._wall_cells(walls)
+        sizes.append((cells.count(), geometry._corner_crossings(walls).count(), cells.groupBy("cx", "cy").count().agg(F.max("count")).first()[0]))
+        assert geometry.misplaced_vertices(segments).collect() == []
+    (a, b, most), (a2, b2, most2) = sizes
+    assert a < 4 * 8_000 and a2 < 2.2 * a and b2 <= 2.2 * b and most2 <= max(most, 40)
