@@ -21,6 +21,7 @@ COLLECTION = "GEOMETRYCOLLECTION"
 NESTED_TYPES = naming.ARC_TYPES[1:] + (COLLECTION,)
 # A coordinate list (of letters only an exponent's e), a word, a separator.
 TOKEN = r"\([^()A-DF-Za-df-z]*\)|[A-Za-z]+|[(),]"
+BEGINS = r"(?i)^\s*(?:SRID=\d+;)?\s*(?:" + "|".join(NESTED_TYPES) + ")"
 WORD = r"^([A-Z]+?)(?:ZM|Z|M)?$"
 SINGLE = ("POINT", "LINESTRING", "CIRCULARSTRING")
 MULTI_SURFACES = ("MULTIPOLYGON", "MULTISURFACE")

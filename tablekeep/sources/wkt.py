@@ -141,9 +141,14 @@ def explode_wkt(df: DataFrame, id_col: str, geom_col: str) -> tuple[DataFrame, D
     """
     parsed = parse_wkt(df, id_col, geom_col)
     n_points = F.when(F.col("marked").isNotNull(), F.length(F.regexp_replace("marked", r"[^|;,]", "")) + 1).otherwise(0)
-    structure, lists = members.nested(heads(df, id_col, geom_col))
-    broken = structure.filter(~F.col("well_formed")).select("feature_id", F.lit("not_wkt").alias("_broken"))
-    judged = parsed.join(broken, "feature_id", "left").withColumn("_sound", F.col("_sound") & F.col("_broken").isNull())
+    nested = df.filter(F.col(geom_col).rlike(members.BEGINS))
+    some = not nested.isEmpty()  # else there is nothing to take apart
+    if some:
+        structure, lists = members.nested(heads(nested, id_col, geom_col))
+        broken = structure.filter(~F.col("well_formed")).select("feature_id", F.lit("not_wkt").alias("_broken"))
+        judged = parsed.join(broken, "feature_id", "left").withColumn("_sound", F.col("_sound") & F.col("_broken").isNull())
+    else:
+        judged = parsed.withColumn("_broken", F.lit(None).cast("string"))
     sound = F.col("_sound")
     features = judged.select(
         "feature_id", *(F.when(sound, F.col(c)).alias(c) for c in ("geom_type", "srid", "coord_dim")),
@@ -159,14 +164,15 @@ def explode_wkt(df: DataFrame, id_col: str, geom_col: str) -> tuple[DataFrame, D
                           F.posexplode(F.split("_ring", ",")).alias("idx", "_point"))
     place = ["feature_id", "member", "member_type", "part", "ring"]
     numbers = points.select(*place, (F.col("idx") + 1).alias("idx"), "_mark", F.split(F.trim("_point"), r"\s+").alias("_n"))
-    whole = judged.filter(sound & F.col("geom_type").isin(*members.NESTED_TYPES)).select("feature_id", "_mark")
-    inner = members.points(lists).join(whole, "feature_id").select(*place, "idx", "_mark", "_n")
+    if some:
+        whole = judged.filter(sound & F.col("geom_type").isin(*members.NESTED_TYPES)).select("feature_id", "_mark")
+        numbers = numbers.unionByName(members.points(lists).join(whole, "feature_id").select(*place, "idx", "_mark", "_n"))
 
     def number(i: int) -> Column:
         return F.get("_n", i).cast("double")
 
     third_is_m = F.col("_mark") == "M"
-    vertices = numbers.unionByName(inner).select(
+    vertices = numbers.select(
         "feature_id", "part", "ring", "idx",
         number(0).alias("x"),
         number(1).alias("y"),
