@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablekeep.operators import geometry
 from tablekeep.sources.wkt import assemble_wkt, explode_wkt
@@ -401,3 +402,15 @@ def test_comb_stays_linear(spark):
         assert geometry.misplaced_vertices(segments).collect() == []
     (a, b, most), (a2, b2, most2) = sizes
     assert a < 4 * 8_000 and a2 < 2.2 * a and b2 <= 2.2 * b and most2 <= max(most, 40)
+
+
+def test_features_are_not_broadcast(spark, monkeypatch):
+    """Stored feature keys look small on disk; joined by broadcast, all of them would pass through the driver."""
+    features = spark.range(200_000).select(F.col("id").alias("feature_id"), F.lit("POLYGON").alias("geom_type"))
+    vertices = spark.range(5_000_000).select(  # planned, never run
+        F.floor(F.col("id") / 5).alias("feature_id"), F.lit(1).alias("part"), F.lit(1).alias("ring"), (F.col("id") % 5 + 1).cast("int").alias("idx"),
+        (F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"),
+    )
+    monkeypatch.setattr(geometry, "materialize", lambda df, label: df)
+    for df in (geometry.polygon_segments(features, vertices), geometry.ring_problems(features, vertices)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
