@@ -17,6 +17,16 @@ from tablekeep.streaming import events, stateful
 CFG = Config()
 
 
+FILE_ROWS = 250_000  # rows aimed at per file of a slice
+SURE_ROWS = 10_000  # rows per file that make sure no file of a slice stays without any
+
+
+def files_per_slice(fewest: int, most: int, least: int) -> int:
+    """Files of every slice, so that a large one is written and read by many tasks. All slices need the same
+    number, since a trigger takes a number of files: few where a slice has few rows."""
+    return max(min(-(-most // FILE_ROWS), fewest // SURE_ROWS), least)
+
+
 def stream_of(fx, view: str, slices: int = 3) -> DataFrame:
     """A derived view as a file stream: consecutive time slices, one micro-batch each. The slices
     are written one after the other because a file source takes files in the order they appear."""
@@ -25,12 +35,12 @@ def stream_of(fx, view: str, slices: int = 3) -> DataFrame:
     bounds = df.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
     width = (bounds["hi"] - bounds["lo"]) // slices + 1
     part = F.floor((F.unix_micros("ts") - bounds["lo"]) / width)
-    files = 0
+    sizes = {r["k"]: r["count"] for r in df.groupBy(part.alias("k")).count().collect()}
+    rows = [sizes.get(k, 0) for k in range(slices)]
+    files = files_per_slice(min(rows), max(rows), 2)
     for k in range(slices):
-        piece = df.filter(part == k).repartition(2)
-        piece.write.mode("append").parquet(path)
-        files += 2
-    return events.read_file_stream(fx.spark, path, df.schema, files_per_trigger=files // slices)
+        df.filter(part == k).repartition(files).write.mode("append").parquet(path)
+    return events.read_file_stream(fx.spark, path, df.schema, files_per_trigger=files)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -118,9 +128,14 @@ def run_out(writer, spark) -> None:
 def sliced(fx, df: DataFrame, label: str, slices: int = 3) -> DataFrame:
     """Rows as a file stream of a few micro-batches, dealt out by hash."""
     path = scratch_path(fx.spark, label)
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(slices))
+    sizes = {r["k"]: r["count"] for r in df.groupBy(part.alias("k")).count().collect()}
+    rows = [sizes.get(k, 0) for k in range(slices)]
+    files = files_per_slice(min(rows), max(rows), 1)
     for k in range(slices):
-        df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(slices)) == k).coalesce(1).write.mode("append").parquet(path)
-    return events.read_file_stream(fx.spark, path, df.schema, files_per_trigger=1)
+        piece = df.filter(part == k)
+        (piece.coalesce(1) if files == 1 else piece.repartition(files)).write.mode("append").parquet(path)
+    return events.read_file_stream(fx.spark, path, df.schema, files_per_trigger=files)
 
 
 @query("s03_schema_events", """
@@ -142,7 +157,7 @@ def _(fx):
     path = scratch_path(fx.spark, "placeholders")
     # Every slice of the register comes with the first slice of the rows or before it.
     entries = scratch_path(fx.spark, "placeholder-entries")
-    register.coalesce(1).write.parquet(entries)
+    register.write.parquet(entries)
     registered = events.read_file_stream(fx.spark, entries, register.schema)
     run_out(stateful.placeholder_stream(sliced(fx, rows, "placeholder-rows"), registered, path, AS_OF, "loader"), fx.spark)
     return fx.spark.read.parquet(f"{path}/history").drop("batch_id")
