@@ -8,11 +8,12 @@ order already processed is never dropped silently but comes out marked late.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,6 +28,21 @@ def _in_order(batches: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(list(by), kind="stable")
 
 
+EVENT = "event"
+
+
+def _packed(*columns: Column | str) -> Column:
+    """One text column for what a fold reads: every column of a group costs a conversion per key and batch,
+    which for keys of few rows is most of the work."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias(EVENT)
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> list[list]:
+    """Packed rows of one key, ordered by the first two columns, missing values last."""
+    rows = [list(json.loads(text).values()) for batch in batches for text in batch[EVENT].tolist()]
+    return sorted(rows, key=lambda r: [(v is None, v) for v in r[:2]])
+
+
 def suppress_alerts_stream(alerts: DataFrame, cooldown_seconds: int = 300) -> DataFrame:
     """T3 as a stream over ``alerts(seq, ts, subject)``: the alerts that go out, and with ``is_late``
     those that came behind what was already decided for their subject."""
@@ -61,7 +77,7 @@ def pending_monitor(ddl_stream: DataFrame, cfg: Config, threshold: str = "2 hour
         .withWatermark("ts", lateness)
         .withColumn("mark", mark)
         .filter("mark IS NOT NULL")
-        .select(*KEY, "seq", "ts", F.unix_micros(F.col("ts")).alias("t"), "mark")
+        .select(*KEY, "ts", _packed(F.unix_micros(F.col("ts")).alias("t"), "seq", "mark"))
     )
 
     def step(key, batches, state: GroupState):
@@ -77,7 +93,7 @@ def pending_monitor(ddl_stream: DataFrame, cfg: Config, threshold: str = "2 hour
                 alerted = True
             state.update((since, alerted))
         else:
-            for t, mark_ in _in_order(batches, "t", "seq")[["t", "mark"]].itertuples(index=False):
+            for t, _, mark_ in _unpacked(batches):
                 if since is not None and not alerted and t > since + limit:
                     overdue()
                     alerted = True
@@ -91,7 +107,8 @@ def pending_monitor(ddl_stream: DataFrame, cfg: Config, threshold: str = "2 hour
             if since is not None and not alerted:
                 # Timers take milliseconds and must lie ahead of the watermark.
                 state.setTimeoutTimestamp(max((since + limit) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["schema_name", "table_name", "event", "since", "at"]).astype({"since": "int64", "at": "int64"})
+        if out:
+            yield pd.DataFrame(out, columns=["schema_name", "table_name", "event", "since", "at"])
 
     found = marked.groupBy(*KEY).applyInPandasWithState(
         step,
@@ -126,7 +143,7 @@ def history_stream(feed: DataFrame, key: str, data: list[str]) -> DataFrame:
         state_ = state.get if state.exists else (False, *([None] * 7))
         live, image, born, born_by, changed, changed_by, done_t, done_seq = state_
         out = []
-        for t, seq, op, by, now in _in_order(batches, "t", "seq")[["t", "seq", "op", "by", "image"]].itertuples(index=False):
+        for t, seq, op, by, now in _unpacked(batches):
             t, seq = int(t), int(seq)
             if done_t is not None and (t, seq) <= (done_t, done_seq):
                 out.append((op, t, by, k[0], seq, now, None, None, None, None, True))
@@ -141,14 +158,15 @@ def history_stream(feed: DataFrame, key: str, data: list[str]) -> DataFrame:
                 out.append(("D", t, by, k[0], seq, image, born, born_by, t, by, False))
                 live = False
         state.update((live, image, born, born_by, changed, changed_by, done_t, done_seq))
-        frame = pd.DataFrame(out, columns=names)
-        for c in ("born", "changed", "t", "seq"):
-            frame[c] = frame[c].astype("Int64")
-        yield frame
+        if out:
+            # Objects keep whole numbers whole beside missing ones; only the key has a type of its own.
+            frame = pd.DataFrame(out, columns=names, dtype=object)
+            frame["k"] = frame["k"].infer_objects()
+            yield frame
 
     image = F.to_json(F.struct(*data), IMAGE_OPTIONS).alias("image")
     micros = F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
-    rows = feed.select(F.col(key).alias("k"), micros, "seq", "op", F.col("changed_by").alias("by"), image)
+    rows = feed.select(F.col(key).alias("k"), _packed(micros, "seq", "op", F.col("changed_by").alias("by"), image))
     state_type = f"live boolean, image string, {stamps}, done_t long, done_seq long"
     history = rows.groupBy("k").applyInPandasWithState(step, out_type, state_type, "append", GroupStateTimeout.NoTimeout)
     back = F.from_json("image", feed.select(*data).schema, IMAGE_OPTIONS)

@@ -1,8 +1,13 @@
 """Streams: late events, placeholder removal, periodic reconciliation."""
 
 import datetime as dt
+import glob
+import json
+
+import pandas as pd
 
 from tablekeep.config import Config
+from tablekeep.plans import alerting
 from tablekeep.session import scratch_path
 from tablekeep.sources.tables import read_history
 from tablekeep.streaming import events, stateful
@@ -118,3 +123,35 @@ def test_images_are_exact_under_any_name(spark):
     path = scratch_path(spark, "exact")
     drain(found.writeStream.format("parquet").option("path", path).outputMode("append"), spark)
     assert sorted((r.gid, r.h_type, r["_x"], r.t) for r in spark.read.parquet(path).select("gid", "h_type", "_x", "t").collect()) == [(1, "U", big, moment), (2, "D", None, None)]
+
+
+def test_slices_are_many_files(spark, monkeypatch):
+    """No task writes or reads a whole slice, and every trigger takes one slice."""
+    monkeypatch.setattr(alerting, "FILE_ROWS", 100)
+    monkeypatch.setattr(alerting, "SURE_ROWS", 50)
+    paths = []
+    monkeypatch.setattr(alerting, "scratch_path", lambda spark, label: paths.append(scratch_path(spark, label)) or paths[-1])
+
+    class Inputs(dict):
+        pass
+
+    fx = Inputs(v=spark.range(1800, numPartitions=4).selectExpr("id AS seq", "timestamp_seconds(id) AS ts"))
+    fx.spark = spark
+    for streamed in (alerting.stream_of(fx, "v"), alerting.sliced(fx, fx["v"], "v")):
+        files = glob.glob(f"{paths[-1]}/*.parquet")
+        assert len(files) % 3 == 0 and len(files) >= 15
+        assert max(spark.read.parquet(f).count() for f in files) <= 200
+        batches = []
+        drain(streamed.writeStream.foreachBatch(lambda df, i: batches.append([r.seq for r in df.select("seq").collect()])), spark)
+        assert sorted(x for b in batches for x in b) == list(range(1800)) and len(batches) == 3
+        if streamed.columns and len(paths) == 1:
+            assert [sorted(b) for b in batches] == [list(range(k * 600, k * 600 + 600)) for k in range(3)]
+
+
+def test_rows_of_a_key_come_packed_and_in_order(spark):
+    rows = [(2, 9007199254740993, "a"), (None, 1, "b"), (2, 5, None), (1, 7, "c")]
+    packed = spark.createDataFrame(rows, "t long, seq long, mark string").select(stateful._packed("t", "seq", "mark"))
+    texts = [r.event for r in packed.collect()]
+    assert json.loads(texts[2]) == {"t": 2, "seq": 5, "mark": None}
+    frames = iter([pd.DataFrame({"event": texts[:2]}), pd.DataFrame({"event": texts[2:]})])
+    assert stateful._unpacked(frames) == [[1, 7, "c"], [2, 5, None], [2, 9007199254740993, "a"], [None, 1, "b"]]
