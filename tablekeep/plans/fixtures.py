@@ -8,6 +8,7 @@ table. Where the two dialects differ in how a row is repeated, the text holds ``
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -436,6 +437,8 @@ UNION ALL
 SELECT n_name, 'CUSTOM', n_regionkey, 'own row', 'x' FROM nation
 """
 
+SHARED = {"geom_vertices_base"}  # read by several stored views, each of which would work it out anew
+
 _NAMES = re.compile(r"\b(" + "|".join(sorted(VIEWS, key=len, reverse=True)) + r")\b")
 _BASES = re.compile(r"\b(" + "|".join(BASE_TABLES) + r")\b")
 _REPEAT = {
@@ -444,10 +447,10 @@ _REPEAT = {
 }
 
 
-def _needed(sql: str, seen: list[str]) -> list[str]:
+def _needed(sql: str, seen: list[str], given: Collection[str] = ()) -> list[str]:
     for name in dict.fromkeys(_NAMES.findall(sql)):
-        if name not in seen:
-            _needed(VIEWS[name], seen)
+        if name not in seen and name not in given:
+            _needed(VIEWS[name], seen, given)
             if name not in seen:
                 seen.append(name)
     return seen
@@ -456,7 +459,7 @@ def _needed(sql: str, seen: list[str]) -> list[str]:
 def with_views(sql: str, dialect: str, extra: dict[str, str] | None = None) -> str:
     """``sql`` preceded by the views it uses, in dependency order, as one WITH clause."""
     parts = [f"{n} AS ({t})" for n, t in (extra or {}).items()]
-    parts += [f"{name} AS ({VIEWS[name].strip()})" for name in _needed(sql, [])]
+    parts += [f"{name} AS ({VIEWS[name].strip()})" for name in _needed(sql, [], extra or {})]
     if parts:
         lead = "WITH RECURSIVE " if dialect == "duckdb" else "WITH "
         own = re.match(r"\s*WITH\s+", sql)
@@ -480,6 +483,8 @@ class Inputs:
     def stored(self, name: str) -> DataFrame:
         """The view written out once, like the stored table it stands for."""
         if name not in self._stored:
+            for shared in SHARED & set(_needed(VIEWS[name], [])):
+                self.stored(shared)
             self._stored[name] = materialize(self[name], name)
         return self._stored[name]
 
@@ -487,7 +492,12 @@ class Inputs:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, sql: str) -> DataFrame:
-        text = with_views(sql, "spark")
+        given = {}
+        for name, df in self._stored.items():
+            view = f"stored_{name}_{id(df)}"
+            df.createOrReplaceTempView(view)
+            given[name] = f"SELECT * FROM {view}"
+        text = with_views(sql, "spark", given)
         used = dict.fromkeys(_BASES.findall(text))
         bases = {name: f"SELECT * FROM parquet.`{self.folder}/{name}.parquet`" for name in used}
-        return self.spark.sql(with_views(sql, "spark", bases))
+        return self.spark.sql(with_views(sql, "spark", bases | given))

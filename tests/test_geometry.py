@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablekeep.operators import geometry
+from tablekeep.plans.fixtures import Inputs
 from tablekeep.sources.wkt import assemble_wkt, explode_wkt
 
 CASES = {
@@ -414,3 +415,20 @@ def test_features_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(geometry, "materialize", lambda df, label: df)
     for df in (geometry.polygon_segments(features, vertices), geometry.ring_problems(features, vertices)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_view_is_worked_out_once(spark, tmp_path):
+    """Stored views read the stored base of the vertices, not the line items again, and hold the same rows."""
+    spark.range(1).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(4).selectExpr(
+        "id AS o_orderkey", "'F' AS o_orderstatus", "'1-URGENT' AS o_orderpriority", "30000.0D AS o_totalprice"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(12).selectExpr(
+        "id % 3 AS l_orderkey", "id AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "id * 1.5D AS l_extendedprice",
+        "id * id * 1.0D AS l_quantity", "0.1D AS l_discount", "0.1D AS l_tax", "DATE'2024-01-01' AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    fx, fresh = Inputs(spark, str(tmp_path)), Inputs(spark, str(tmp_path))
+    names = ("geom_features", "geom_vertices")
+    want = {n: sorted(map(tuple, fresh[n].collect()), key=repr) for n in names}
+    assert {n: sorted(map(tuple, fx.stored(n).collect()), key=repr) for n in names} == want and len(want["geom_vertices"]) > 12
+    assert "lineitem" not in Inputs.__getitem__(fx, "geom_vertices")._jdf.queryExecution().executedPlan().toString()
