@@ -17,6 +17,7 @@ SETTINGS = {
 }
 
 
+SLICE_ROWS = 20_000  # rows of a task that works long on each
 _ROOTS: set[str] = set()  # scratch folders of this process that are marked for deletion
 
 
@@ -66,3 +67,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` in as many tasks as its rows ask for, whatever files it comes from; equal ``by`` stay together.
+
+    A small file is read by one task, and so is a row group; costly work on its rows comes behind this.
+    """
+    return df.repartition(max(1, -(-df.count() // SLICE_ROWS)), *by)

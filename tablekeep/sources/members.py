@@ -4,7 +4,8 @@ The text between the outer brackets is cut into tokens: coordinate lists, bracke
 Depth is a running sum over brackets; a closing bracket finds its opening one as its neighbour on
 the same level; a second running sum counts the collections around a token, which tells where a
 member begins. Parts, rings and pieces are running counts from there. No token looks further than
-its own feature, and only texts of nested kinds are cut at all.
+its own feature, and only texts of nested kinds are cut at all. The texts are shuffled once, as they
+are; tokens stay in the task that cut them, and only coordinate lists are written.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from tablekeep.functions import naming
 from tablekeep.functions.compute import computed
-from tablekeep.session import materialize
+from tablekeep.session import materialize, spread
 
 COLLECTION = "GEOMETRYCOLLECTION"
 NESTED_TYPES = naming.ARC_TYPES[1:] + (COLLECTION,)
@@ -32,69 +33,79 @@ STRAIGHT = {
 }
 
 
-def _rule(root: str, level: int, kinds: tuple[str, ...], words: tuple[str | None, ...]) -> Column:
-    """Elements of these kinds and words may stand on this level of a member of this type."""
-    word = F.col("word")
-    named = [w for w in words if w]
-    fits = word.isin(*named) if named else F.lit(False)
-    return (F.col("root") == root) & (F.col("r") == level) & F.col("kind").isin(*kinds) & ((word.isNull() | fits) if None in words else fits)
-
-
 def _allowed() -> Column:
-    """What each type may hold, level by level below the member's own bracket."""
-    bare, curve = (None,), (None, "CIRCULARSTRING")
-    rules = [_rule(t, 0, ("leaf", "empty"), (t,)) for t in SINGLE]
-    rules += [_rule(t, 0, ("open", "empty"), (t,)) for t in ("MULTIPOINT", "MULTILINESTRING", "COMPOUNDCURVE", "MULTICURVE", *SURFACES)]
-    rules += [_rule("MULTIPOINT", 0, ("leaf",), ("MULTIPOINT",))]
-    rules += [_rule(t, 1, ("leaf", "empty"), bare) for t in ("MULTIPOINT", "MULTILINESTRING")]
-    rules += [_rule("POLYGON", 1, ("leaf",), bare), _rule("MULTIPOLYGON", 1, ("open", "empty"), bare), _rule("MULTIPOLYGON", 2, ("leaf",), bare)]
-    rules += [_rule("COMPOUNDCURVE", 1, ("leaf",), curve), _rule("MULTISURFACE", 1, ("open", "empty"), (None, "CURVEPOLYGON"))]
+    """What each type may hold, level by level below the member's own bracket: (type, level, kind, word) as one text each."""
+    bare, curve = ("",), ("", "CIRCULARSTRING")
+    rules = [(t, 0, ("leaf", "empty"), (t,)) for t in SINGLE]
+    rules += [(t, 0, ("open", "empty"), (t,)) for t in ("MULTIPOINT", "MULTILINESTRING", "COMPOUNDCURVE", "MULTICURVE", *SURFACES)]
+    rules += [("MULTIPOINT", 0, ("leaf",), ("MULTIPOINT",))]
+    rules += [(t, 1, ("leaf", "empty"), bare) for t in ("MULTIPOINT", "MULTILINESTRING")]
+    rules += [("POLYGON", 1, ("leaf",), bare), ("MULTIPOLYGON", 1, ("open", "empty"), bare), ("MULTIPOLYGON", 2, ("leaf",), bare)]
+    rules += [("COMPOUNDCURVE", 1, ("leaf",), curve), ("MULTISURFACE", 1, ("open", "empty"), ("", "CURVEPOLYGON"))]
     for t, level in (("CURVEPOLYGON", 1), ("MULTICURVE", 1), ("MULTISURFACE", 2)):
-        rules += [_rule(t, level, ("leaf", "empty"), curve), _rule(t, level, ("open",), ("COMPOUNDCURVE",)), _rule(t, level + 1, ("leaf",), curve)]
-    return F.coalesce(F.greatest(*rules), F.lit(False))
+        rules += [(t, level, ("leaf", "empty"), curve), (t, level, ("open",), ("COMPOUNDCURVE",)), (t, level + 1, ("leaf",), curve)]
+    texts = sorted({f"{t}:{level}:{kind}:{word}" for t, level, kinds, words in rules for kind in kinds for word in words})
+    place = F.concat_ws(":", "root", F.col("r").cast("string"), "kind", F.coalesce("word", F.lit("")))
+    return F.col("root").isNotNull() & place.isin(*texts)
 
 
 def _tokens(texts: DataFrame) -> DataFrame:
-    """(feature_id, top, pos, token, kind, word) of texts(feature_id, top, body)."""
-    cut = texts.select("feature_id", "top", F.posexplode(F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
+    """Tokens of texts(feature_id, top, body, ...) with kind, word, whether they may follow the one before, and depth.
+
+    Of the texts themselves only those of coordinate lists are kept.
+    """
+    kept = [c for c in texts.columns if c not in ("top", "body")]
+    cut = texts.select(*kept, "top", F.posexplode(F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     upper = F.upper("token")
     kind = (
         F.when(F.col("token") == "(", "open").when(F.col("token") == ")", "close").when(F.col("token") == ",", "comma")
         .when(F.col("token").startswith("("), "leaf").when(upper == "EMPTY", "empty").when(upper.isin("Z", "M", "ZM"), "mark").otherwise("word")
     )
-    named = cut.select("*", kind.alias("kind")).withColumn("_type", F.when(F.col("kind") == "word", F.regexp_extract(upper, WORD, 1)))
+    named = cut.select(*kept, "pos", "token", F.when(F.col("pos") == 0, F.col("top")).alias("_top"), kind.alias("kind"))
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    typed = named.select(
+        *kept, "pos", "_top", "kind", step.alias("step"),
+        F.when(F.col("kind") == "leaf", F.col("token")).alias("token"),
+        F.when(F.col("kind") == "word", F.regexp_extract(F.upper("token"), WORD, 1)).alias("_type"),
+    )
     w = Window.partitionBy("feature_id").orderBy("pos")
-    back = lambda c, n: F.lag(c, n).over(w)
-    marked = back("kind", 1) == "mark"
-    word = F.when(F.col("pos") == 0, F.col("top")).when(marked, back("_type", 2)).otherwise(back("_type", 1))
-    before = F.when(marked, back("kind", 3)).when(back("kind", 1) == "word", back("kind", 2)).otherwise(back("kind", 1))
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    beside = typed.select(
+        "*", *(F.lag("kind", n).over(w).alias(f"_kind{n}") for n in (1, 2, 3)), *(F.lag("_type", n).over(w).alias(f"_type{n}") for n in (1, 2)),
+        F.coalesce(F.sum("step").over(earlier), F.lit(0)).alias("depth"),
+    )
+    marked = F.col("_kind1") == "mark"
+    word = F.when(F.col("pos") == 0, F.col("_top")).when(marked, F.col("_type2")).otherwise(F.col("_type1"))
+    before = F.when(marked, F.col("_kind3")).when(F.col("_kind1") == "word", F.col("_kind2")).otherwise(F.col("_kind1"))
     element = F.col("kind").isin("open", "leaf", "empty")
     follows = (
         F.when(F.col("pos") == 0, F.col("kind").isin("open", "leaf"))
         .when(element, before.isin("open", "comma"))
-        .when(F.col("kind").isin("comma", "close"), back("kind", 1).isin("leaf", "close", "empty"))
-        .when(F.col("kind") == "mark", back("kind", 1) == "word")
-        .otherwise(back("kind", 1).isin("open", "comma"))
+        .when(F.col("kind").isin("comma", "close"), F.col("_kind1").isin("leaf", "close", "empty"))
+        .when(F.col("kind") == "mark", F.col("_kind1") == "word")
+        .otherwise(F.col("_kind1").isin("open", "comma"))
+    )
+    return beside.select(
+        *kept, "pos", "kind", "token", "step", "depth", F.when(element, word).alias("word"), F.coalesce(follows, F.lit(False)).alias("follows")
     )
-    return named.select("feature_id", "top", "pos", "token", "kind", F.when(element, word).alias("word"), F.coalesce(follows, F.lit(False)).alias("follows"))
 
 
 def scan(texts: DataFrame) -> DataFrame:
-    """Tokens of texts(feature_id, top, body) with depth, member and the member's type (``root``).
+    """Tokens of texts(feature_id, top, body, ...) with depth, member and the member's type (``root``).
 
     ``r`` is the depth below the member's own bracket; ``well`` tells whether the token may stand there.
+    Further columns of the texts stay.
     """
+    kept = [c for c in texts.columns if c not in ("top", "body")]
     order = Window.partitionBy("feature_id").orderBy("pos")
     earlier, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    deep = _tokens(texts).withColumn("depth", F.coalesce(F.sum(step).over(earlier), F.lit(0)))
     # A closing bracket lies one deeper than its opening one; on that level the two are neighbours.
     bracket = F.col("kind").isin("open", "close")
     level = F.when(bracket, F.col("depth") - F.when(F.col("kind") == "close", 1).otherwise(0))
     opened = F.lag("word").over(Window.partitionBy("feature_id", "level").orderBy("pos"))
-    paired = deep.withColumn("level", level).withColumn("opened", F.when(F.col("kind") == "open", F.col("word")).otherwise(opened))
-    wrap = F.when(bracket & (F.col("opened") == COLLECTION), step).otherwise(0)
-    around = paired.withColumn("around", F.coalesce(F.sum(wrap).over(earlier), F.lit(0)))
+    paired = _tokens(texts).withColumn("level", level).withColumn("opened", F.when(F.col("kind") == "open", F.col("word")).otherwise(opened))
+    wrap = F.when(bracket & (F.col("opened") == COLLECTION), F.col("step")).otherwise(0)
+    around = paired.withColumn("around", F.coalesce(F.sum(wrap).over(earlier), F.lit(0))).drop("level", "opened")
     element = F.col("kind").isin("open", "leaf", "empty")
     begins = element & (F.col("depth") == F.col("around")) & (F.coalesce("word", F.lit("")) != COLLECTION)
     owned = around.withColumn("begins", begins).select(
@@ -108,78 +119,82 @@ def scan(texts: DataFrame) -> DataFrame:
     one_point = (F.col("word") != "POINT") | ~F.col("token").contains(",")
     inside = F.when(collection, F.col("depth") == F.col("around")).when(element, _allowed() & F.coalesce(one_point, F.lit(True))).otherwise(True)
     return placed.select(
-        "feature_id", "top", "pos", "token", "kind", "word", "member", "root", "r", step.alias("step"),
+        *kept, "pos", "token", "kind", "word", "member", "root", "r", "step",
         (F.col("follows") & once & F.coalesce(inside, F.lit(False))).alias("well"),
     )
 
 
-def leaves(tokens: DataFrame) -> DataFrame:
-    """Coordinate lists of scanned tokens: feature_id, member, member_type, arc, part, ring, piece, text.
+def lists(tokens: DataFrame) -> DataFrame:
+    """Coordinate lists of scanned tokens, and each text's first token, which may be none (``listed``).
 
+    Columns: feature_id, member, member_type, part, ring, piece, before (points of earlier pieces, each
+    joined to the next by one point), text, well (of the whole feature), first, listed, and further ones of the texts.
     Parts are numbered through the whole feature; every point of a MULTIPOINT list is one, and
-    ``part`` is then the first of them. Pieces are those of a compound curve, which is one line or ring.
+    ``part`` is then the first of them. Pieces are those of a compound curve, which is one line or
+    ring; each has to begin where the one before it ends.
     """
-    order = Window.partitionBy("feature_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    kept = [c for c in tokens.columns if c not in ("feature_id", "pos", "token", "kind", "word", "member", "root", "r", "step", "well", "junk")]
+    order = Window.partitionBy("feature_id").orderBy("pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     leaf, element, root = F.col("kind") == "leaf", F.col("kind").isin("open", "leaf"), F.col("root")
     surface, scattered = root.isin(*SURFACES), root == "MULTIPOINT"
     level = root.isin(*MULTI_SURFACES, "MULTILINESTRING", "MULTICURVE").cast("int")  # where parts begin
-    points = F.length(F.regexp_replace("token", "[^,]", "")) + 1
-    part = F.when(scattered, F.when(leaf, points).otherwise(0)).otherwise((element & (F.col("r") == level)).cast("int"))
+    size = F.length(F.regexp_replace("token", "[^,]", "")) + 1
+    part = F.when(scattered, F.when(leaf, size).otherwise(0)).otherwise((element & (F.col("r") == level)).cast("int"))
     ring = F.when(surface & element & (F.col("r") == level + 1), 1).otherwise(0)
-    numbered = tokens.withColumns({"_points": part, "_ring": ring}).select("*", F.sum("_points").over(order).alias("_part"))
-    in_part = Window.partitionBy("feature_id", "_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rings = numbered.withColumn("ring", F.when(surface, F.sum("_ring").over(in_part)).otherwise(1))
-    found = rings.filter(leaf)
+    numbered = tokens.withColumns({"_points": part, "_ring": ring}).select(
+        "*", F.sum("_points").over(so_far).alias("_part"), F.sum("_ring").over(so_far).alias("_rings"),
+        (F.min("well").over(whole) & (F.sum("step").over(whole) == 0) & ~F.col("junk")).alias("_well"),
+    )
+    # Rings are counted through the feature; those before the part are taken off.
+    outside = F.last(F.when(F.col("_points") > 0, F.col("_rings") - F.col("_ring")), ignorenulls=True).over(so_far)
+    rings = numbered.withColumn("ring", F.when(surface, F.col("_rings") - F.coalesce(outside, F.lit(0))).otherwise(1))
+    found = rings.withColumn("listed", leaf).filter(F.col("listed") | (F.col("pos") == 0))
+    numbers = lambda text: F.split(F.trim(text), r"\s+").cast("array<double>")
     first = F.when(scattered, F.col("_part") - F.col("_points") + 1).otherwise(F.col("_part"))
-    in_ring = Window.partitionBy("feature_id", "_part", "ring").orderBy("pos")
+    ends = computed(found.withColumns({"part": first, "text": F.trim(F.translate("token", "()", "  "))}), {
+        "_size": size, "_head": numbers(F.substring_index("text", ",", 1)), "_tail": numbers(F.substring_index("text", ",", -1)),
+    })
+    in_ring = Window.partitionBy("feature_id", "_part", "listed", "ring").orderBy("pos")
+    joined = ends.select(
+        "*", F.row_number().over(in_ring).alias("piece"),
+        F.coalesce(F.sum(F.col("_size") - 1).over(in_ring.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.coalesce(F.lag("_tail").over(in_ring) != F.col("_head"), F.lit(False)).alias("_gap"),
+    )
     curved = F.max(F.coalesce(F.col("word") == "CIRCULARSTRING", F.lit(False))).over(Window.partitionBy("feature_id", "member"))
+    gaps = F.max("_gap").over(Window.partitionBy("feature_id"))
     straight = F.create_map(*(F.lit(v) for pair in STRAIGHT.items() for v in pair))
+    judged = joined.withColumn("arc", curved).withColumn("well", F.coalesce(F.col("_well"), F.lit(False)) & ~gaps)
     kind = F.when(F.col("arc"), F.col("root")).otherwise(F.coalesce(straight[F.col("root")], F.col("root")))
-    out = found.select(
-        "feature_id", "member", "root", curved.alias("arc"),
-        first.cast("int").alias("part"),
-        F.col("ring").cast("int").alias("ring"),
-        F.row_number().over(in_ring).alias("piece"),
-        F.trim(F.translate("token", "()", "  ")).alias("text"),
+    return judged.select(
+        "feature_id", F.col("member").cast("int"), kind.alias("member_type"), F.col("part").cast("int"), F.col("ring").cast("int"), "piece",
+        "before", "text", "well", (F.col("pos") == 0).alias("first"), "listed", *kept,
     )
-    return out.select("feature_id", F.col("member").cast("int"), kind.alias("member_type"), "arc", "part", "ring", "piece", "text")
 
 
-def points(lists: DataFrame) -> DataFrame:
-    """(feature_id, member, member_type, part, ring, idx, _n) of ``leaves``, _n the numbers of a point.
+def points(found: DataFrame) -> DataFrame:
+    """(feature_id, _mark, member, member_type, part, ring, idx, _n) of ``lists``, _n the numbers of a point.
 
-    A piece of a compound curve begins where the one before it ends; that point is kept once, and
-    ``_gap`` tells of a piece that does not.
+    A piece of a compound curve begins where the one before it ends; that point is kept once.
     """
-    numbers = lambda text: F.split(F.trim(text), r"\s+").cast("array<double>")
-    size = F.length(F.regexp_replace("text", "[^,]", "")) + 1
-    in_ring = Window.partitionBy("feature_id", "part", "ring").orderBy("piece")
-    ends = computed(lists, {"_size": size, "_head": numbers(F.substring_index("text", ",", 1)), "_tail": numbers(F.substring_index("text", ",", -1))})
-    shifted = ends.select(
-        "*",
-        F.coalesce(F.sum(F.col("_size") - 1).over(in_ring.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        (F.lag("_tail").over(in_ring) != F.col("_head")).alias("_gap"),
-    )
     many = F.col("member_type") == "MULTIPOINT"
-    each = shifted.select("*", F.posexplode(F.split("text", ",")).alias("_i", "_point")).filter("piece = 1 OR _i > 0")
+    each = found.select("*", F.posexplode(F.split("text", ",")).alias("_i", "_point")).filter("piece = 1 OR _i > 0")
     return each.select(
-        "feature_id", "member", "member_type", F.when(many, F.col("part") + F.col("_i")).otherwise(F.col("part")).alias("part"), "ring",
-        F.when(many, 1).otherwise(F.col("_before") + F.col("_i") + 1).cast("int").alias("idx"),
-        F.split(F.trim("_point"), r"\s+").alias("_n"), F.coalesce("_gap", F.lit(False)).alias("_gap"),
+        "feature_id", "_mark", "member", "member_type", F.when(many, F.col("part") + F.col("_i")).otherwise(F.col("part")).alias("part"), "ring",
+        F.when(many, 1).otherwise(F.col("before") + F.col("_i") + 1).cast("int").alias("idx"),
+        F.split(F.trim("_point"), r"\s+").alias("_n"),
     )
 
 
-def nested(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(structure, lists) of heads(feature_id, _kind, _body) of nested kinds.
+def nested(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(structure, lists) of parsed(feature_id, _top, _inner, _mark, _sound), _inner being texts of nested kinds.
 
-    structure: feature_id, well_formed. lists: ``leaves``. Tokens are stored once for both.
+    structure: feature_id, well_formed. lists: ``lists`` of sound and well-formed features. Both are
+    read from one stored table. Texts without an id belong to no feature.
     """
-    texts = heads.filter(F.col("_kind").isin(*NESTED_TYPES) & F.col("_body").isNotNull())
-    texts = texts.select("feature_id", F.col("_kind").alias("top"), F.col("_body").alias("body"))
-    junk = texts.select("feature_id", (F.trim(F.regexp_replace("body", TOKEN, "")).rlike(r"\S")).alias("junk"))
-    tokens = materialize(scan(texts), "wkt-tokens")
-    shape = tokens.groupBy("feature_id").agg((F.min("well") & (F.sum("step") == 0)).alias("well"))
-    gaps = points(leaves(tokens)).filter("_gap").select("feature_id").distinct().withColumn("gap", F.lit(True))
-    judged = junk.join(shape, "feature_id", "left").join(gaps, "feature_id", "left")
-    well = F.coalesce("well", F.lit(False)) & ~F.col("junk") & F.col("gap").isNull()
-    return judged.select("feature_id", well.alias("well_formed")), leaves(tokens)
+    texts = parsed.filter("_inner IS NOT NULL AND feature_id IS NOT NULL")
+    junk = F.trim(F.regexp_replace("_inner", TOKEN, "")).rlike(r"\S")
+    texts = texts.select("feature_id", F.col("_top").alias("top"), F.col("_inner").alias("body"), "_mark", "_sound", junk.alias("junk"))
+    found = materialize(lists(scan(spread(texts, "feature_id"))), "wkt-lists")
+    return found.filter("first").select("feature_id", F.col("well").alias("well_formed")), found.filter("listed AND well AND _sound")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablekeep.functions import naming
 from tablekeep.functions.compute import computed
+from tablekeep.session import materialize, spread
 from tablekeep.sources import members
 
 CHUNK = 4096
@@ -112,7 +113,7 @@ def parse_wkt(df: DataFrame, id_col: str, geom_col: str) -> DataFrame:
     per_point = F.array_distinct(F.filter(F.split(F.regexp_replace(longest, "[^234]+", ","), ","), lambda x: x != ""))
     announced = F.when(F.col("_mark") == "ZM", 4).when(F.col("_mark") != "", 3)
     bad = bad | (F.size(per_point) > 1) | F.coalesce(F.get(per_point, 0).cast("int") != announced, F.lit(False))
-    known, null = F.col("_known"), F.col("_text").isNull()
+    known, null, nested = F.col("_known"), F.col("_text").isNull(), F.col("_kind").isin(*members.NESTED_TYPES)
     error = F.when(null, None).when(~known, "not_wkt").when(F.coalesce(bad, F.lit(False)), "bad_coordinate")
     error = error.when(~F.col("_nested"), "not_wkt")
     judged = computed(shaped, {"parse_error": error})
@@ -128,6 +129,7 @@ def parse_wkt(df: DataFrame, id_col: str, geom_col: str) -> DataFrame:
         F.when(sound, F.col("_marked")).alias("marked"),
         sound.alias("_sound"),
         "parse_error",
+        *(F.when(nested, F.col(c)).alias(name) for c, name in (("_kind", "_top"), ("_body", "_inner"))),
     )
 
 
@@ -137,14 +139,15 @@ def explode_wkt(df: DataFrame, id_col: str, geom_col: str) -> tuple[DataFrame, D
 
     A vertex says which member of its feature it belongs to, and of what type that member is: flat
     geometries are their own single member, collections and curve types are taken apart (``members``), and a curve
-    without any arc has the flat type of the same structure. Only their texts are shuffled.
+    without any arc has the flat type of the same structure. Texts are parsed once, in slices of bounded
+    row count, and the result is stored for both tables.
     """
-    parsed = parse_wkt(df, id_col, geom_col)
+    texts = spread(df.select(id_col, geom_col), id_col, geom_col)
+    parsed = materialize(parse_wkt(texts, id_col, geom_col), "wkt-parsed")
     n_points = F.when(F.col("marked").isNotNull(), F.length(F.regexp_replace("marked", r"[^|;,]", "")) + 1).otherwise(0)
-    nested = df.filter(F.col(geom_col).rlike(members.BEGINS))
-    some = not nested.isEmpty()  # else there is nothing to take apart
+    some = not parsed.filter("_inner IS NOT NULL").isEmpty()  # else there is nothing to take apart
     if some:
-        structure, lists = members.nested(heads(nested, id_col, geom_col))
+        structure, lists = members.nested(parsed)
         broken = structure.filter(~F.col("well_formed")).select("feature_id", F.lit("not_wkt").alias("_broken"))
         judged = parsed.join(broken, "feature_id", "left").withColumn("_sound", F.col("_sound") & F.col("_broken").isNull())
     else:
@@ -165,8 +168,7 @@ def explode_wkt(df: DataFrame, id_col: str, geom_col: str) -> tuple[DataFrame, D
     place = ["feature_id", "member", "member_type", "part", "ring"]
     numbers = points.select(*place, (F.col("idx") + 1).alias("idx"), "_mark", F.split(F.trim("_point"), r"\s+").alias("_n"))
     if some:
-        whole = judged.filter(sound & F.col("geom_type").isin(*members.NESTED_TYPES)).select("feature_id", "_mark")
-        numbers = numbers.unionByName(members.points(lists).join(whole, "feature_id").select(*place, "idx", "_mark", "_n"))
+        numbers = numbers.unionByName(members.points(lists).select(*place, "idx", "_mark", "_n"))
 
     def number(i: int) -> Column:
         return F.get("_n", i).cast("double")

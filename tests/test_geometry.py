@@ -432,3 +432,21 @@ def test_shared_view_is_worked_out_once(spark, tmp_path):
     want = {n: sorted(map(tuple, fresh[n].collect()), key=repr) for n in names}
     assert {n: sorted(map(tuple, fx.stored(n).collect()), key=repr) for n in names} == want and len(want["geom_vertices"]) > 12
     assert "lineitem" not in Inputs.__getitem__(fx, "geom_vertices")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_one_task_are_parsed_in_many(spark):
+    """Rows that come in one task, as from a small file, are parsed in slices; repeated and missing ids do not mix texts."""
+    from pyspark.sql import functions as F
+
+    flat = spark.range(0, 60_000, 1, 1).select("id", F.format_string("POINT(%d 1)", "id").alias("geom"))
+    _, vertices = explode_wkt(flat, "id", "geom")
+    assert len(vertices.inputFiles()) >= 3
+    curves = spark.range(0, 60_000, 1, 1).select("id", F.format_string("GEOMETRYCOLLECTION(POINT(%d 1), COMPOUNDCURVE((0 0, 1 1), (1 1, 2 2)))", "id").alias("geom"))
+    _, vertices = explode_wkt(curves, "id", "geom")
+    assert len([f for f in vertices.inputFiles() if "/wkt-lists-" in f]) >= 3
+    assert vertices.count() == 4 * 60_000
+    text = "GEOMETRYCOLLECTION(POLYGON((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1)), MULTISURFACE(((9 0, 10 0, 10 1, 9 0), (7 7, 8 7, 8 8, 7 7))))"
+    features, vertices = explode_wkt(spark.createDataFrame([(1, text), (None, text)], "id long, geom string"), "id", "geom")
+    assert {(r.feature_id, r.parse_error) for r in features.collect()} == {(1, None), (None, None)}
+    found = {(r.feature_id, r.member, r.part, r.ring) for r in vertices.collect()}
+    assert found == {(1, 1, 1, 1), (1, 1, 1, 2), (1, 2, 2, 1), (1, 2, 2, 2)}
