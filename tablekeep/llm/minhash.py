@@ -7,7 +7,9 @@ any size gives no more pairs than members). Pairs whose collision-corrected esti
 bits, can reach the threshold are confirmed on the full sets; pairs with too many shingles that no
 other candidate has are known to fail before. Buckets that still hold several
 components are then searched further: pairs between different components only, from ever larger
-parts of the bucket, until every such pair is tested.
+parts of the bucket, until every such pair is tested. Where a bucket needs more than a few pairs a
+member, its sets travel as their differences from one member, and a pair is confirmed where it
+meets: near copies differ little, and only links become rows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ BITS = 2
 SIGMAS = 5  # how far below the threshold an estimate may be
 BLOCK = 1 << 16  # shingles hashed at once
 SLICE = 1 << 20  # bytes of text worked on at once
+FEW = 8  # classes of a bucket that are paired with all others, each pair a row
+GROWTH = 256  # times as many in each further round
 
 _RANDOM = np.random.default_rng(20240229)  # the same permutations everywhere
 _TIMES = _RANDOM.integers(0, 2**31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -98,6 +102,13 @@ def estimate_floor(threshold: float) -> float:
     return threshold - SIGMAS * math.sqrt(p * (1 - p) / LANES) / (1 - chance)
 
 
+def alone(sets: DataFrame) -> DataFrame:
+    """(node, alone): how many shingles of a set none of the other sets has; sets without one are left out."""
+    shingles = sets.select("node", F.explode("shingles").alias("s"))
+    owners = shingles.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    return owners.filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+
+
 def _lists(rows: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(rows.ravel()))
 
@@ -164,12 +175,28 @@ class _Search:
         # Whole numbers: no rounding decides at the threshold itself.
         return exact.filter(100 * F.col("shared") >= round(100 * self.threshold) * union).select("a", "b")
 
+    def differences(self, nodes: DataFrame) -> DataFrame:
+        """Of each (node, center), the shingles that only one of the two sets has."""
+        near = nodes.join(self.sets.toDF("node", "s"), "node").join(self.sets.toDF("center", "cs"), "center")
+        return near.select("node", "center", F.array_union(F.array_except("s", "cs"), F.array_except("cs", "s")).alias("apart"))
+
+    def linked(self, na: str, nb: str, da: str, db: str) -> F.Column:
+        """Whether two sets are linked, exactly, by their differences from the same set.
+
+        What only one of them has is what only one of the differences has.
+        """
+        both, apart = F.col(na) + F.col(nb), F.size(da) + F.size(db) - 2 * F.size(F.array_intersect(da, db))
+        return 100 * (both - apart) >= round(100 * self.threshold) * (both + apart)
+
     def rooted(self, nodes: DataFrame) -> DataFrame:
         return nodes.join(self.roots.toDF("node", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
 
     def stars(self, members: DataFrame) -> None:
-        """Tests every class against one smaller class: the pivot it shares most buckets with."""
-        pivots = materialize(members.groupBy("key").agg(F.min("node").alias("pivot")), "pivots")
+        """Tests every class against one more central class: the pivot it shares most buckets with.
+
+        A bucket's pivot is the member with the fewest shingles that no other candidate has.
+        """
+        pivots = materialize(members.groupBy("key").agg(F.min(F.struct("alone", "node")).alias("p")).select("key", "p.node").toDF("key", "pivot"), "pivots")
         shared = members.select("key", "node").join(pivots, "key").filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
         best = shared.groupBy("node").agg(F.max_by("pivot", "n").alias("a")).withColumnRenamed("node", "b")
         self.roots = forest_roots(self.links(self.likely(best)).toDF("root", "node"))
@@ -177,24 +204,33 @@ class _Search:
     def rest(self, members: DataFrame) -> None:
         """Tests what the stars left: pairs of different components that meet in a bucket.
 
-        First against one class of the bucket's component of smallest root, most likely the largest.
-        Then in each round one class of a pair is among about ``part`` of its bucket, and the
-        components found lessen the pairs of the next round, with eight times the part. When no
-        part is left out, every pair has been tested or is within one component.
+        In each round one class of a pair is among about ``part`` of its bucket, or is a class of the
+        bucket's component of smallest root, most likely the largest. The components found lessen the
+        pairs of the next round, with a larger part. When no part is left out, every pair has been
+        tested or is within one component. Pairs with FEW classes are rows, confirmed on full sets;
+        further ones are confirmed in the join that finds them.
         """
         sketch = self.classes.select("node", "n", "common", "planes", "bands")
-        last, part = 0, 0
+        last, part = 0, FEW
         while True:
-            inside = materialize(self.rooted(members.select("key", "node")), "inside")
-            mixed = inside.groupBy("key").agg(F.count("*").alias("left"), F.max("root").alias("high"), F.min(F.struct("root", F.xxhash64("node").alias("h"), "node")).alias("pivot"))
+            inside = materialize(self.rooted(members.select("key", "node", "alone")), "inside")
+            least = [F.min(F.struct(*by, "node")).alias(name) for name, by in (("pivot", ["root", "alone"]), ("center", ["alone"]))]
+            mixed = inside.groupBy("key").agg(F.count("*").alias("left"), F.max("root").alias("high"), *least)
             mixed = mixed.filter((F.col("pivot.root") != F.col("high")) & (F.col("left") > last))
-            mixed = materialize(mixed.select("key", "left", F.col("pivot.node").alias("pivot")), "mixed")
+            mixed = materialize(mixed.select("key", "left", F.col("pivot.node").alias("pivot"), F.col("center.node").alias("center")), "mixed")
             if mixed.isEmpty():
                 return
             draw = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)
-            drawn = (draw * F.col("left") < part if part else F.col("node") == F.col("pivot")).alias("drawn")
-            some = materialize(inside.join(mixed, "key").select("key", "node", "root", drawn).join(sketch, "node"), "open")
-            x = some.filter("drawn").select(*(F.col(c).alias(f"x_{c}") for c in ("key", "node", "root", "n", "common", "planes", "bands")))
+            drawn = ((draw * F.col("left") < part) | (F.col("node") == F.col("pivot"))).alias("drawn")
+            # A bucket of one component stays one, so the others are all that further rounds need.
+            members = materialize(inside.join(mixed, "key").select("key", "node", "alone", "root", "center", drawn), "members")
+            rows = members.select("key", "node", "root", "center", "drawn")
+            if last:
+                apart = materialize(self.differences(rows.select("node", "center").distinct()).join(sketch, "node"), "differences")
+                some = materialize(rows.join(apart, ["node", "center"]), "open")
+            else:
+                some = materialize(rows.join(sketch, "node"), "open")
+            x = some.filter("drawn").select(*(F.col(c).alias(f"x_{c}") for c in some.columns))
             agreed = F.zip_with("x_bands", "bands", lambda p, q: p == q)
             meet = (
                 (F.col("key") == F.col("x_key"))
@@ -204,11 +240,15 @@ class _Search:
                 # In the first band they share, so that a pair comes once.
                 & (F.element_at("bands", F.array_position(agreed, F.lit(True)).cast("int")) == F.col("key"))
             )
-            pairs = some.join(x, meet).select(F.col("x_node").alias("a"), F.col("node").alias("b"), F.col("x_n").alias("na"), F.col("n").alias("nb"))
-            links = materialize(rename(self.links(pairs), self.roots).toDF("a", "b"), "near-links")
+            if last:
+                links = some.join(x, meet & self.linked("x_n", "n", "x_apart", "apart")).select(F.col("x_node").alias("a"), F.col("node").alias("b"))
+            else:
+                pairs = some.join(x, meet).select(F.col("x_node").alias("a"), F.col("node").alias("b"), F.col("x_n").alias("na"), F.col("n").alias("nb"))
+                links = self.links(pairs)
+            links = materialize(rename(links, self.roots).toDF("a", "b"), "near-links")
             if not links.isEmpty():
                 self.roots = compose(self.roots, components(links))
-            last, part = part, part * 8 or 8
+            last, part = part, part * GROWTH
 
 
 def near_duplicates(
@@ -234,27 +274,25 @@ def near_duplicates(
     classes = signed.filter("n > 0").groupBy("n", "f1", "f2").agg(first, F.first("planes").alias("planes"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
 
-    keys = classes.select("node", F.explode("bands").alias("key"))
-    buckets = materialize(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "buckets")
-    members = materialize(keys.join(buckets, "key"), "bucket-members")
-    needed = members.select("node").distinct().join(classes.select("node", "first.doc_id", "first.fp"), "node")
+    keys = classes.select("node", "n", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1")
+    buckets = materialize(buckets.select("key", "least"), "buckets")
+    members = keys.join(buckets.select("key"), "key").select("node").distinct()
+    needed = members.join(classes.select("node", "first.doc_id", "first.fp"), "node")
     needed = materialize(needed, "needed")
     same = keyed["doc_id"].eqNullSafe(needed["doc_id"]) & (keyed["fp"] == needed["fp"])
     texts = keyed.join(needed.hint("shuffle_hash"), same).select("node", "text")
     sets = materialize(texts.mapInArrow(_node_sets(length), "node long, shingles array<long>").dropDuplicates(["node"]), "node-sets")
 
     # How many of a class's shingles another candidate has at all: no link can share more.
-    shingles = sets.select("node", F.explode("shingles").alias("s"))
-    alone = shingles.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
     candidates = classes.select("node", "n", "planes", "bands").join(needed.select("node"), "node")
-    sized = candidates.join(materialize(alone, "alone"), "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    sized = candidates.join(materialize(alone(sets), "alone"), "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
     candidates = materialize(sized.drop("alone"), "candidates")
     # In a bucket, a class meets none smaller than the smallest; where even that bound says no, it leaves.
-    placed = materialize(members.join(candidates.select("node", "n", "common"), "node"), "placed-members")
-    smallest = materialize(placed.groupBy("key").agg(F.min("n").alias("least")), "bucket-sizes")
+    placed = candidates.select("node", "n", "common", F.explode("bands").alias("key")).join(buckets, "key")
     other = F.greatest(F.col("least"), threshold * F.col("n"))
     able = F.col("common") >= threshold * (F.col("n") + other - F.col("common")) - 1e-9
-    members = materialize(placed.join(smallest, "key").filter(able).select("key", "node"), "able-members")
+    members = materialize(placed.filter(able).select("key", "node", (F.col("n") - F.col("common")).alias("alone")), "able-members")
 
     search = _Search(candidates, sets, threshold)
     search.stars(members)
