@@ -12,13 +12,13 @@ SCHEMA = "doc_id long, text string"
 
 
 def near_copies(seed=3, n=150, width=160):
-    """Copies of one text with some of its words replaced, most of them linked with nothing or with few others."""
+    """Copies of one text with some words replaced, at 0.7 to 0.8 of each other; every tenth is linked with the one before it."""
     rng = random.Random(seed)
-    base = [f"w{i}" for i in range(width)]
-    rows = []
+    rows, text = [], []
     for i in range(n):
-        text = list(base)
-        for at in rng.sample(range(width), rng.choice([3, 9, 10, 11, 12])):
+        anew = i == 0 or i % 10 > 0
+        text = [f"w{k}" for k in range(width)] if anew else text
+        for at in rng.sample(range(width), rng.randint(5, 7) if anew else 1):
             text[at] = f"z{rng.randrange(40)}"
         rows.append((i, " ".join(text)))
     return rows
@@ -37,7 +37,8 @@ def test_pairs_of_a_group_of_near_copies_are_no_rows(spark, monkeypatch, few):
     got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), length=2)
     want = sorted(brute.near_duplicates(rows, 2), key=repr)
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=repr) == want
-    assert sum(tested) <= 2 * (few + 2) * len(rows)
+    # In proportion to the rows; buckets of other sizes draw other classes, so somewhat more than one draw's.
+    assert sum(tested) <= 4 * (few + 2) * len(rows)
 
 
 def test_differences_from_any_set_confirm_like_full_sets(spark):
