@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeep.llm.words import slices
+from tablekeep.llm.words import SMALL_SLICE, slices
 from tablekeep.session import materialize
 
 WHITE = b" \t\n\v\f\r"
@@ -34,7 +34,7 @@ def line_hash(line: bytes) -> tuple[int, int]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SMALL_SLICE):
             seen: Counter = Counter()
             for group, text in zip(part.column("batch").to_pylist(), part.column("text").to_pylist()):
                 seen.update({(group, *line_hash(x)) for x in (text or "").encode().split(b"\n")})
@@ -47,7 +47,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SMALL_SLICE):
             out: list[list] = [[], [], [], []]
             for doc, fp, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "fp", "text"))):
                 for h in {line_hash(x) for x in (text or "").encode().split(b"\n")} - {(0, 0)}:
@@ -66,7 +66,7 @@ def kept_lines(text: str | None, gone: list[dict] | None) -> tuple[bytes, int, i
 
 def _dropper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SMALL_SLICE):
             kept = [kept_lines(t, g) for t, g in zip(part.column("text").to_pylist(), part.column("gone").to_pylist())]
             columns = [pa.array([k[0].decode() for k in kept], pa.string()), *(pa.array([k[i] for k in kept], pa.int64()) for i in (1, 2))]
             yield pa.RecordBatch.from_arrays([part.column("row"), *columns], names=["row", "text", "n_lines", "n_dropped"])

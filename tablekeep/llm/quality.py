@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.llm.words import bytes_of, run_hashes, slices, take, word_hashes
+from tablekeep.llm.words import SMALL_SLICE, bytes_of, run_hashes, slices, take, word_hashes
 from tablekeep.session import materialize
 
 MAX_LABELLED = 20_000  # labelled documents that the weights are fitted on, at most, of each label half
@@ -96,7 +96,7 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SMALL_SLICE):
             rows = features(part.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * FEATURES), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "x"])
@@ -198,7 +198,7 @@ def train(featured: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
 def _good_only(model: Model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SMALL_SLICE):
                 ranks = features(part.column(text_col)) @ model.weights
                 yield part.filter(pa.array(ranks >= model.threshold))
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+SMALL_SLICE = 1 << 20  # where each byte makes many numbers or a line many objects
 LONG_WORD = 64  # bytes; longer words are hashed one by one
 
 _SPACE = np.zeros(256, bool)
