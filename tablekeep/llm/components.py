@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from tablekeep.session import materialize
 
 
-def forest_roots(parents: DataFrame) -> DataFrame:
-    """(node, root) from parents(node, root) with one smaller parent per node, by pointer doubling."""
+def forest_roots(parents: DataFrame, merged: bool = False) -> DataFrame:
+    """(node, root) from parents(node, root) with one smaller parent per node, by pointer doubling.
+
+    ``merged`` keeps Spark from broadcasting the table, whose rows may be many times their stored size.
+    """
     table = materialize(parents.select("node", "root"), "forest")
     while True:
         up = table.toDF("middle", "above")
+        up = up.hint("merge") if merged else up
         jump = table.join(up, F.col("root") == F.col("middle"), "left")
         jumped = materialize(jump.select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "forest")
         table = jumped.select("node", "root")

@@ -154,6 +154,11 @@ def near_codes(samples: DataFrame, symbols: int) -> DataFrame:
     return samples.select("word").mapInArrow(run, "code long, other long")
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that no size keeps from growing with the vocabulary: merged, never broadcast through the driver."""
+    return df.hint("merge")
+
+
 def near_pairs(words: DataFrame, symbols: int) -> DataFrame:
     """(a, n_a, b, n_b) of words(word, n) that differ by one edit, each pair once.
 
@@ -164,9 +169,10 @@ def near_pairs(words: DataFrame, symbols: int) -> DataFrame:
     coded = materialize(reduced_words(words, symbols), "spelling-words")
     samples = coded.groupBy("code", F.length("word").alias("length")).agg(F.min("word").alias("word"))
     codes = materialize(samples, "spelling-codes")
-    met = near_codes(codes, symbols).join(codes.select(F.col("code").alias("other")).distinct(), "other").distinct()
+    # A word makes some 17 rows a letter here, of which Spark knows nothing: it would size them as the words they come from.
+    met = near_codes(codes, symbols).join(_merged(codes.select(F.col("code").alias("other")).distinct()), "other").distinct()
     left, right = coded.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "code"), coded.toDF("b", "n_b", "other")
-    pairs = materialize(met, "spelling-codes-near").join(left, "code").join(right, "other")
+    pairs = materialize(met, "spelling-codes-near").join(_merged(left), "code").join(_merged(right), "other")
     # Within one reduced word both orders would come up.
     once = (F.col("code") < F.col("other")) | (F.col("a") < F.col("b"))
     return pairs.filter(once & (F.levenshtein("a", "b", 1) == 1)).select("a", "n_a", "b", "n_b")
@@ -205,7 +211,7 @@ def spelling_variants(
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("minus"), "near")).alias("best"))
     usual = F.col("best")["minus"] <= -ratio * F.col("n")
     formed = materialize(
-        words.join(best, "word", "left").select(
+        words.join(_merged(best), "word", "left").select(
             "word",
             "n",
             F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
@@ -214,6 +220,6 @@ def spelling_variants(
         ),
         "spelling-forms",
     )
-    roots = forest_roots(formed.filter("form IS NOT NULL").select(F.col("word").alias("node"), F.col("form").alias("root")))
-    found = formed.join(roots.withColumnRenamed("node", "word"), "word", "left")
+    roots = forest_roots(formed.filter("form IS NOT NULL").select(F.col("word").alias("node"), F.col("form").alias("root")), merged=True)
+    found = formed.join(_merged(roots.withColumnRenamed("node", "word")), "word", "left")
     return found.select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))

@@ -10,7 +10,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from tablekeep.llm import alignment, sharding, spelling
+from tablekeep.llm import alignment, components, sharding, spelling
 from tablekeep.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string"
@@ -190,6 +190,26 @@ def test_written_shards_hold_what_is_computed(spark, tmp_path):
     assert back.filter(row != F.col("doc_id")).isEmpty()
 
 
+def test_no_table_of_the_vocabulary_is_broadcast(spark, monkeypatch):
+    """Spark sizes neighbourhoods as the words they come from, and stored words smaller than they are in memory."""
+    plans = []
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(spelling, "materialize", kept)
+    monkeypatch.setattr(spelling, "forest_roots", lambda parents, **_: parents.toDF("node", "root"))
+    docs = spark.createDataFrame([(i, "letters lettres letter " * 5) for i in range(9)], SCHEMA)
+    kept(spelling.spelling_variants(docs), "result")
+    monkeypatch.undo()
+    stored = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: stored(kept(df, label), label))
+    roots = components.forest_roots(spark.createDataFrame([("b", "a"), ("c", "b")], "node string, root string"), merged=True)
+    assert collected(roots) == [("b", "a"), ("c", "a")]
+    assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
+
+
 # ---- alignment
 
 
