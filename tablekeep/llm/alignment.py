@@ -5,7 +5,8 @@ the index of their document, token byte lengths are summed up within each docume
 hash join on (document, end) finds the ends that both tokenizers share. How often an id pair is
 linked is counted per chunk (``Table.group_by``) and merged by Spark; each chunk then gets back the
 counts of its own pairs, so no task ever holds the counts of the whole corpus, and a pair that is
-in every text is one row per chunk.
+in every text is one row per chunk. A chunk is stored as rows of its documents and of its pairs,
+never as one row: Spark reads thousands of stored rows at once, whatever their size.
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ from tablekeep.llm.words import ranges, slices, take
 from tablekeep.session import materialize
 
 CHUNK_BYTES = 1 << 20
+PAIR_ROWS = 10_000  # pairs of a chunk sent at once
 CACHE_UNITS = 100_000  # units whose pieces a worker knows; when full, it starts anew
 # Fixed value: where byte-level BPE cuts a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PAIR_SHIFT = 32  # a pair is a_id << 32 | b_id
 
-CHUNKS = """chunk string, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>,
-  n_links array<bigint>, groups_sha256 array<string>, at array<int>, pair array<bigint>, times array<bigint>"""
+# A row of a document, with the places of its links among the chunk's pairs, or of a pair of the chunk.
+CHUNKS = """chunk bigint, doc_id bigint, n_a bigint, n_b bigint, groups_sha256 string, at array<int>, place int, pair bigint, times bigint"""
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -171,6 +173,15 @@ def align(a: ByteSide, b: PieceSide, texts: list[str]) -> dict[str, np.ndarray |
     }
 
 
+def _rows(chunk: int, rows: int, columns: dict) -> pa.RecordBatch:
+    """``rows`` rows of ``CHUNKS``; columns that are not given are null."""
+    given = columns | {"chunk": np.full(rows, chunk)}
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    schema = [c.split() for c in CHUNKS.split(", ")]
+    arrays = [pa.nulls(rows, types[kind]) if name not in given else pa.array(given[name], types[kind]) for name, kind in schema]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in schema])
+
+
 def _chunks(sent_a, sent_b, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _loaded(sent_a.value, sent_b.value)
@@ -184,42 +195,36 @@ def _chunks(sent_a, sent_b, chunk_bytes: int):
                 sha = [hashlib.sha256(g.encode()).hexdigest() if g is not None else "" for g in found["groups"]]
                 at = np.searchsorted(pairs, links["pair"].to_numpy()).astype(np.int32)
                 number += 1
-                row = {
-                    "chunk": [f"{TaskContext.get().partitionId()}-{number}"],
-                    "doc_id": [part.column("doc_id").to_pylist()],
-                    "n_a": [found["n_a"]],
-                    "n_b": [found["n_b"]],
-                    "n_groups": [found["n_links"]],
-                    "n_links": [found["n_links"]],
-                    "groups_sha256": [sha],
-                    "at": [at],
-                    "pair": [pairs],
-                    "times": [counts["count_all"].to_numpy()],
+                chunk = TaskContext.get().partitionId() << 32 | number
+                of_docs = {
+                    "doc_id": part.column("doc_id"),
+                    "n_a": found["n_a"],
+                    "n_b": found["n_b"],
+                    "groups_sha256": sha,
+                    "at": lists(pa.array(at), found["n_links"]),
                 }
-                types = [pa.string(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 2]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row.values(), types)], names=list(row))
-                del found, links, counts, row
+                yield _rows(chunk, part.num_rows, of_docs)
+                of_pairs = {"place": np.arange(len(pairs)), "pair": pairs, "times": counts["count_all"].to_numpy()}
+                for i in range(0, len(pairs), PAIR_ROWS):
+                    some = {c: v[i : i + PAIR_ROWS] for c, v in of_pairs.items()}
+                    yield _rows(chunk, len(some["pair"]), some)
+                del found, links, counts, of_docs, of_pairs
                 pa.default_memory_pool().release_unused()  # a chunk's arrays, or the pool keeps them
 
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a chunk's pairs, brought back as (place, n, best), summed up per document."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            cell = lambda name: batch.column(name)[i].values  # noqa: E731, B023
-            sizes, at = cell("n_links").to_numpy(), cell("at").to_numpy()
-            found = batch.column("found")[i].values
-            n, best = np.zeros((2, len(cell("pair"))), np.int64)
-            if found is not None:
-                place = found.field("place").to_numpy()
-                n[place] = found.field("n").to_numpy()
-                best[place] = found.field("best").cast(pa.int64()).to_numpy()
-            cut = np.append(0, np.cumsum(sizes))
-            summed = [np.diff(np.append(0, np.cumsum(x[at]))[cut]) for x in (best, n)]
-            columns = [cell(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, summed), cell("groups_sha256")], names=[c.split()[0] for c in RESULT.split(", ")])
+def _finish(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """Documents of a chunk with the counts of its pairs, brought back as (place, n, best), summed up per document."""
+    n, best = np.zeros((2, found.num_rows), np.int64)
+    place = found["place"].to_numpy()
+    n[place] = found["n"].to_numpy()
+    best[place] = found["best"].cast(pa.int64()).to_numpy()
+    links = pc.list_value_length(docs["at"]).cast(pa.int64())
+    at, cut = pc.list_flatten(docs["at"]).to_numpy(), np.append(0, np.cumsum(links.to_numpy()))
+    summed = [pa.array(np.diff(np.append(0, np.cumsum(x[at]))[cut])) for x in (best, n)]
+    columns = [docs["doc_id"], docs["n_a"], docs["n_b"], links, links, *summed, docs["groups_sha256"]]
+    return pa.table(columns, names=[c.split()[0] for c in RESULT.split(", ")])
 
 
 def align_tokens(
@@ -248,11 +253,11 @@ def align_tokens(
         sent_a, sent_b = spark.sparkContext.broadcast(f.read()), spark.sparkContext.broadcast(g.read())
     docs = take(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")
     chunks = materialize(docs.mapInArrow(_chunks(sent_a, sent_b, chunk_bytes), CHUNKS), "alignment-chunks")
-    each = chunks.select(F.inline(F.arrays_zip("pair", "times")))
-    counts = materialize(each.groupBy("pair").agg(F.sum("times").alias("n")), "alignment-counts")
+    pairs = chunks.filter("pair IS NOT NULL").select(F.col("chunk").alias("home"), "place", "pair", "times")
+    counts = materialize(pairs.groupBy("pair").agg(F.sum("times").alias("n")), "alignment-counts")
     b_id = F.col("pair").bitwiseAND(F.lit((1 << PAIR_SHIFT) - 1)).alias("b")
     most = counts.groupBy(b_id).agg(F.max("n").alias("most"))
     judged = counts.withColumn("b", b_id).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    wanted = chunks.select("chunk", F.posexplode("pair").alias("place", "pair"))
-    found = wanted.join(judged, "pair").groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "best")).alias("found"))
-    return chunks.join(found, "chunk", "left").mapInArrow(_finish, RESULT)
+    found = pairs.join(judged, "pair").select("home", "place", "n", "best")
+    of_docs = chunks.filter("pair IS NULL").select("chunk", "doc_id", "n_a", "n_b", "groups_sha256", "at")
+    return of_docs.groupBy("chunk").cogroup(found.groupBy("home")).applyInArrow(_finish, RESULT)

@@ -290,6 +290,18 @@ def test_alignment_of_given_documents(spark):
     assert collected(alignment.align_tokens(docs, BYTE_BPE, PIECES)) == expected_alignment(data)
 
 
+def test_no_stored_row_holds_a_chunk(spark, monkeypatch):
+    """Spark reads thousands of stored rows at once: a row may grow with its own document, not with the chunk it lies in."""
+    kept = []
+    stored = alignment.materialize
+    monkeypatch.setattr(alignment, "materialize", lambda df, label: kept.append(stored(df, label)) or kept[-1])
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1)
+    most = alignment.align_tokens(docs, BYTE_BPE, PIECES).agg(F.max("n_links"), F.sum("n_links")).first()
+    long = [F.max(F.size(c)) for df in kept for c, kind in df.dtypes if kind.startswith("array")]
+    assert 0 < most[0] * 100 < most[1]
+    assert long and all(size <= most[0] for df in kept[:1] for size in df.agg(*long).first())
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     blank = spark.createDataFrame([(None, None), (1, "")], SCHEMA)
