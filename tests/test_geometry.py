@@ -417,6 +417,33 @@ def test_features_are_not_broadcast(spark, monkeypatch):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_segments_and_their_sides_are_shuffled_once(spark, monkeypatch, tmp_path):
+    """The wide rows, vertices by ring piece and segments by feature, cross the network once, however often they are read."""
+    monkeypatch.setattr(geometry, "materialize", lambda df, label: df)
+    rows = [(f, p, 1, i + 1, float(x), float(y)) for f in range(9) for p in (1, 2) for i, (x, y) in enumerate([(0, 0), (9, p), (9, 9), (0, 0)])]
+    spark.createDataFrame(rows, "feature_id long, part int, ring int, idx int, x double, y double").write.parquet(f"{tmp_path}/vertices")
+    spark.range(9).select(F.col("id").alias("feature_id"), F.lit("MULTIPOLYGON").alias("geom_type")).write.parquet(f"{tmp_path}/features")
+    features, vertices = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("features", "vertices"))
+    adaptive, broadcast = "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"
+    before = {c: spark.conf.get(c) for c in (adaptive, broadcast)}
+    try:
+        spark.conf.set(adaptive, "false")
+        spark.conf.set(broadcast, "-1")
+        segments = geometry.polygon_segments(features, vertices)
+        segments.write.parquet(f"{tmp_path}/segments")
+        stored = spark.read.parquet(f"{tmp_path}/segments")
+        few = stored.filter("m <= 64")  # the features that are one cell
+        pairs = geometry.judged_pairs(few)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (segments, pairs)]
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    made = [[x for x in plan.splitlines() if "+- Exchange hashpartitioning" in x] for plan in plans]
+    # By ring piece: the vertices, and the facts that are joined to their segments. By feature: one side, which is the other one as well.
+    assert len([x for x in made[0] if "piece" in x]) == 2
+    assert len(made[1]) == 1 and "ReusedExchange" in plans[1]
+
+
 def test_shared_view_is_worked_out_once(spark, tmp_path):
     """Stored views read the stored base of the vertices, not the line items again, and hold the same rows."""
     spark.range(1).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
