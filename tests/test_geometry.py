@@ -444,6 +444,23 @@ def test_segments_and_their_sides_are_shuffled_once(spark, monkeypatch, tmp_path
     assert len(made[1]) == 1 and "ReusedExchange" in plans[1]
 
 
+def test_parts_that_nothing_lies_in_are_not_paired(spark):
+    """A part of one ring away from all others is tested against nothing; holes and overlapping boxes are. Extents come with grids only."""
+    square = lambda f, p, r, x, w: [(f, p, r, i + 1, x + a * w, b * w) for i, (a, b) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)])]
+    rows = [
+        *square(1, 1, 1, 0.0, 4.0), *square(1, 2, 1, 50.0, 4.0), *square(1, 3, 1, 51.0, 9.0),
+        *square(2, 1, 1, 0.0, 9.0), *square(2, 1, 2, 1.0, 2.0), *square(2, 2, 1, 50.0, 4.0),
+        *(v for p in range(1, 18) for v in square(3, p, 1, 50.0 * p, 4.0)),
+    ]
+    vertices = spark.createDataFrame(rows, "feature_id long, part int, ring int, idx int, x double, y double")
+    features = spark.createDataFrame([(f, "MULTIPOLYGON") for f in (1, 2, 3)], "feature_id long, geom_type string")
+    segments = geometry.polygon_segments(features, vertices)
+    extents = {(r.feature_id, r.m, r.fx0, r.fx1) for r in segments.collect()}
+    assert extents == {(1, 12, None, None), (2, 12, None, None), (3, 68, 50.0, 854.0)}
+    pairs = geometry._overlapping_parts(geometry.part_grids(segments.filter("several")))
+    assert sorted((r.feature_id, r.part, r.t_part) for r in pairs.collect()) == [(1, 2, 3), (1, 3, 2), (2, 1, 1)]
+
+
 def test_shared_view_is_worked_out_once(spark, tmp_path):
     """Stored views read the stored base of the vertices, not the line items again, and hold the same rows."""
     spark.range(1).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
