@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tablekeep.session import CLEANUP, materialize
+from tablekeep.session import CLEANUP, materialize_tidy
 
 
 def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
@@ -16,7 +16,7 @@ def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
 
     before, was = shuffled(), spark.conf.get(CLEANUP, None)
     df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.max("id").alias("id"))
-    kept = materialize(df.repartition("id"), "kept")
+    kept = materialize_tidy(df.repartition("id"), "kept")
     until = time.time() + 20
     while shuffled() - before and time.time() < until:
         time.sleep(0.2)
